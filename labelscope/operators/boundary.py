@@ -337,23 +337,36 @@ def exit_code(status: Column, rejected: Column | None = None) -> Column:
 
 def boundary_report(cases: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
     """One flat report row per case; raw text stays out."""
-    return report_from_encodings(three_encodings(cases, tokenizer), tokenizer, source_encoding="source_full")
+    return finish_report(truncate_encodings(attributed_cases(cases, tokenizer)), tokenizer, sliced=True)
 
 
-def report_from_encodings(
-    df: DataFrame, tokenizer: BpeTokenizer, source_encoding: str = "source_truncated"
-) -> DataFrame:
-    """Audit encodings that came with the rows.
+def attributed_cases(cases: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
+    """Full encodings and attribution, before any length limit is applied."""
+    encoded = encode_cases(normalize_cases(cases), tokenizer)
+    return attribute_tokens(encoded, tokenizer, source_encoding="source_full")
 
-    ``source_encoding`` names the encoding the source reasons are read from;
-    reasons past the retained length never count.
+
+def report_from_encodings(df: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
+    """Audit the three encodings that came with the rows.
+
+    Rows hold the case, the ``source_*``/``combined_*`` normalization columns and
+    one struct column per encoding (``schemas.ENCODING``).
+    """
+    out = df
+    for name in ENCODINGS:
+        out = bpe.from_struct(out, name)
+    return finish_report(attribute_tokens(out, tokenizer), tokenizer, sliced=False)
+
+
+def finish_report(attributed: DataFrame, tokenizer: BpeTokenizer, sliced: bool) -> DataFrame:
+    """Diagnostics and report of attributed rows with their truncated encodings.
+
+    ``sliced`` says the truncation is a slice of the full encoding made here.
     """
-    out = attribute_tokens(df, tokenizer, source_encoding)
     kept = F.size("combined_truncated__ids")
     cutoff = F.size("source_truncated__ids")
-    # A truncation made here is a slice of the full encoding.
-    proven = F.lit(True) if source_encoding == "source_full" else bpe.exact_prefix("combined_full", "combined_truncated")
-    out = out.withColumns({
+    proven = F.lit(True) if sliced else bpe.exact_prefix("combined_full", "combined_truncated")
+    out = attributed.withColumns({
         "cutoff": cutoff,
         "exact_prefix": proven,
         "base_reasons": F.concat(

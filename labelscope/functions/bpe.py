@@ -70,14 +70,17 @@ class BpeTokenizer:
 
     def ids(self, pieces: Column) -> Column:
         """Vocabulary id of every piece."""
-        if len(self.vocab) <= JVM_VOCAB_LIMIT:
-            table = F.create_map(*[F.lit(x) for item in self.vocab.items() for x in item])
-            known = F.transform(pieces, lambda p: F.try_element_at(table, p).cast("bigint"))
-        else:
+        if len(self.vocab) > JVM_VOCAB_LIMIT:
             known = _dictionary_lookup(dict(self.vocab))(pieces)
-        return F.zip_with(known, pieces, lambda i, p: F.coalesce(i, self._fallback(p)))
-
-    def _fallback(self, piece: Column) -> Column:
+            return F.zip_with(known, pieces, lambda i, p: F.coalesce(i, self._unlisted(p)))
+        table = F.create_map(*[F.lit(x) for item in self.vocab.items() for x in item])
+        listed = lambda p: F.coalesce(F.try_element_at(table, p).cast("bigint"), self._unlisted(p))
+        if self.codepoint_base is None or any(len(p) == 1 for p in self.vocab):
+            return F.transform(pieces, listed)
+        # Only merged pieces are listed, so single code points skip the table.
+        return F.transform(pieces, lambda p: F.when(F.char_length(p) == 1, self._unlisted(p)).otherwise(listed(p)))
+
+    def _unlisted(self, piece: Column) -> Column:
         unknown = F.lit(self.unknown_id).cast("bigint")
         if self.codepoint_base is None:
             return unknown
@@ -86,9 +89,9 @@ class BpeTokenizer:
 
     def shown(self, ids: Column, pieces: Column) -> Column:
         """Pieces as an encoding reports them: unknown ones by the unknown piece."""
-        return F.zip_with(
-            ids, pieces, lambda i, p: F.when(i == self.unknown_id, F.lit(self.unknown_piece)).otherwise(p)
-        )
+        replaced = F.zip_with(
+            ids, pieces, lambda i, p: F.when(i == self.unknown_id, F.lit(self.unknown_piece)).otherwise(p))
+        return F.when(F.array_contains(ids, F.lit(self.unknown_id).cast("bigint")), replaced).otherwise(pieces)
 
 
 def _dictionary_lookup(vocab: dict[str, int]):
@@ -124,44 +127,46 @@ def char_spans(pieces: Column) -> Column:
     return F.zip_with(starts, lengths, lambda s, n: F.struct(s.alias("start"), (s + n).alias("end")))
 
 
-def raw_offsets(raw_pieces: Column, offsets: Column) -> Column:
-    """Reported offset of every piece; NULL ``offsets`` means identity."""
-    return let(
-        offsets,
-        lambda at: F.transform(
-            char_spans(raw_pieces),
-            lambda s: F.when(at.isNull(), s).otherwise(
-                F.struct(F.get(at, s["start"]).alias("start"), (F.get(at, s["end"] - 1) + 1).alias("end"))
-            ),
-        ),
-    )
+def raw_offsets(spans: Column, offsets: Column) -> Column:
+    """Reported offset of every normalized span; NULL ``offsets`` means identity."""
+    moved = let(offsets, lambda at: F.transform(spans, lambda s: F.struct(
+        F.get(at, s["start"]).alias("start"), (F.get(at, s["end"] - 1) + 1).alias("end"))))
+    return F.when(offsets.isNull(), spans).otherwise(moved)
 
 
 VECTORS = ("ids", "pieces", "offsets", "type_ids", "special_tokens_mask", "attention_mask")
 
 
-def with_encodings(df: DataFrame, tokenizer: BpeTokenizer, names: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Adds the six vectors ``{name}__*``, prefix token included, for each name.
+def with_pieces(df: DataFrame, tokenizer: BpeTokenizer, names: tuple[str, ...]) -> DataFrame:
+    """Adds ``{name}_raw``, ``{name}_ids`` and ``{name}_spans`` of ``{name}_encoder_text``."""
+    out = df.withColumns({f"{n}_raw": tokenizer.pieces(F.col(f"{n}_encoder_text")) for n in names})
+    columns = {}
+    for n in names:
+        columns[f"{n}_ids"] = tokenizer.ids(F.col(f"{n}_raw"))
+        columns[f"{n}_spans"] = char_spans(F.col(f"{n}_raw"))
+    return out.withColumns(columns)
+
+
+def with_vectors(df: DataFrame, tokenizer: BpeTokenizer, names: Mapping[str, str]) -> DataFrame:
+    """Adds the six vectors ``{output}__*``, prefix token included; ``names`` maps text to output.
 
-    ``names`` maps an output name to its text and origin-offset columns. Vectors
-    stay flat columns until a report is built: the optimizer would copy a
-    struct's field expressions to every place that reads one.
+    Vectors stay flat columns until a report is built: the optimizer would copy
+    a struct's field expressions to every place that reads one.
     """
-    out = df.withColumns({f"_{n}_raw": tokenizer.pieces(F.col(text)) for n, (text, _) in names.items()})
-    out = out.withColumns({f"_{n}_ids": tokenizer.ids(F.col(f"_{n}_raw")) for n in names})
     origin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
     columns = {}
-    for n, (_, offsets) in names.items():
-        raw, ids = F.col(f"_{n}_raw"), F.col(f"_{n}_ids")
+    for text, n in names.items():
+        raw, ids = F.col(f"{text}_raw"), F.col(f"{text}_ids")
         columns |= {
             f"{n}__ids": F.concat(F.array(F.lit(tokenizer.bos_id).cast("bigint")), ids),
             f"{n}__pieces": F.concat(F.array(F.lit(tokenizer.bos_piece)), tokenizer.shown(ids, raw)),
-            f"{n}__offsets": F.concat(F.array(origin), raw_offsets(raw, F.col(offsets))),
+            f"{n}__offsets": F.concat(
+                F.array(origin), raw_offsets(F.col(f"{text}_spans"), F.col(f"{text}_origin_offsets"))),
             f"{n}__type_ids": F.array_repeat(F.lit(0), F.size(raw) + 1),
             f"{n}__special_tokens_mask": F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), F.size(raw))),
             f"{n}__attention_mask": F.array_repeat(F.lit(1), F.size(raw) + 1),
         }
-    return out.withColumns(columns).drop(*[f"_{n}_{part}" for n in names for part in ("raw", "ids")])
+    return df.withColumns(columns)
 
 
 def with_truncations(df: DataFrame, names: Mapping[str, str], max_length: Column) -> DataFrame:

@@ -14,8 +14,10 @@ ENCODER_SPACE = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
 
 
 def _strip_end(text: Column, space: str) -> Column:
-    # The lookbehind makes every run of spaces tried once, from its start.
-    return F.regexp_replace(text, rf"(?<![{space}])[{space}]++\z", "")
+    # Most texts end in no space and skip the regex; the lookbehind makes every
+    # run of spaces tried once, from its start.
+    stripped = F.regexp_replace(text, rf"(?<![{space}])[{space}]++\z", "")
+    return F.when(F.right(text, F.lit(1)).rlike(f"[{space}]"), stripped).otherwise(text)
 
 
 def right_strip(text: Column) -> Column:

@@ -47,7 +47,8 @@ def _inert_class() -> str:
 
 def may_change(text: Column) -> Column:
     """True unless every code point is inert."""
-    return text.rlike(f"[^{_inert_class()}]")
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return ~ascii_only & text.rlike(f"[^{_inert_class()}]")
 
 
 @pandas_udf(T.StringType())

@@ -64,9 +64,9 @@ def normalization_snapshot(name: str) -> Column:
 
 
 def encode_cases(normalized: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
-    """Adds the untruncated encodings ``source_full`` and ``combined_full``."""
-    names = {f"{n}_full": (f"{n}_encoder_text", f"{n}_origin_offsets") for n in ("source", "combined")}
-    return bpe.with_encodings(normalized, tokenizer, names)
+    """Adds pieces and the untruncated encodings ``source_full`` and ``combined_full``."""
+    pieces = bpe.with_pieces(normalized, tokenizer, ("source", "combined"))
+    return bpe.with_vectors(pieces, tokenizer, {n: f"{n}_full" for n in ("source", "combined")})
 
 
 def truncate_encodings(encoded: DataFrame) -> DataFrame:
@@ -199,15 +199,101 @@ def runtime_matches(text: str) -> Column:
     return F.col(f"{text}_encoder_text") == F.col(f"{text}_normalized")
 
 
-def attribute_tokens(df: DataFrame, tokenizer: BpeTokenizer, source_encoding: str = "source_truncated") -> DataFrame:
-    """Adds ``source_walk``, ``full_walk`` and ``full_tokens``, the full attribution."""
+def attribute_tokens(df: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
+    """Adds ``source_walk``, ``full_walk`` and ``full_tokens`` for supplied encodings."""
     out = df.withColumns({
-        "source_walk": _walk(source_encoding, "source", runtime_matches("source"), tokenizer),
+        "source_walk": _walk("source_truncated", "source", runtime_matches("source"), tokenizer),
         "full_walk": _walk("combined_full", "combined", runtime_matches("combined"), tokenizer),
     })
     return out.withColumn("full_tokens", _tokens("combined_full", "full_walk"))
 
 
+def _own_walk(text: str, tokenizer: BpeTokenizer) -> Column:
+    """As :func:`_walk`, for pieces made here: they spell the encoder's text and
+    their offsets follow from the provenance, so there is little to check."""
+    raw, ids = F.col(f"{text}_raw"), F.col(f"{text}_ids")
+    usable = F.col(f"{text}_complete") & runtime_matches(text)
+    first_unknown = F.nullif(
+        F.array_position(ids, F.lit(tokenizer.unknown_id).cast("bigint")).cast("int"), F.lit(0))
+    misaligned = F.when(~runtime_matches(text), _first_misaligned(raw, F.col(f"{text}_normalized")))
+
+    def flags(x: Column) -> Column:
+        bad = F.least(x["unknown"] - 1, x["misaligned"], F.size(raw))
+        unaligned = F.when(bad < F.size(raw), first_index(
+            ids, lambda t, i: (i >= bad) & (t != tokenizer.unknown_id)) + 1)
+        aligned = F.array_join(F.slice(raw, F.lit(1), bad), "")
+        return F.struct(
+            x["unknown"].alias("first_unknown"), unaligned.alias("first_unaligned"),
+            F.when(~usable & (bad > 0), F.lit(1)).alias("first_untraced"),
+            F.lit(None).cast("int").alias("first_bad_offset"),
+            F.when(bad == F.size(raw), runtime_matches(text) | (F.char_length(aligned) == F.char_length(f"{text}_normalized")))
+            .otherwise(F.char_length(aligned) == F.char_length(f"{text}_normalized")).alias("consumed"),
+            F.when(usable, bad).otherwise(0).alias("traced"),
+        )
+
+    return let(F.struct(first_unknown.alias("unknown"), misaligned.alias("misaligned")), flags)
+
+
+def _cuts(pieces: Column, low: Column, high: Column) -> Column:
+    """How many leading pieces end by ``low``, and how many begin before ``high``."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("ends"), F.lit(0).alias("begins"))
+
+    def step(acc: Column, p: Column) -> Column:
+        end = acc["at"] + F.char_length(p)
+        return F.struct(
+            end.alias("at"), (acc["ends"] + (end <= low).cast("int")).alias("ends"),
+            (acc["begins"] + (acc["at"] < high).cast("int")).alias("begins"))
+
+    return F.aggregate(pieces, zero, step)
+
+
+def attributed_cases(cases: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
+    """Full encodings and attribution, before any length limit is applied.
+
+    Tokens follow the text, so ownership is a run of source tokens, those across
+    the boundary, the target's, then whatever could not be traced. The run ends
+    ``source_end``, ``cross_end`` and ``target_end`` say it all; position lists
+    and counts of any truncation are arithmetic on them.
+    """
+    out = encode_cases(normalize_cases(cases), tokenizer)
+    out = out.withColumns({
+        "source_walk": _own_walk("source", tokenizer), "full_walk": _own_walk("combined", tokenizer)})
+    b = F.col("boundary")
+    count = lambda column, test: let(b, lambda at: F.size(F.filter(column, lambda v: test(v, at))))
+    # Normalized positions wholly before, and beginning before, the boundary.
+    low = F.when(F.col("combined_starts").isNull(), b).otherwise(count("combined_ends", lambda v, at: v <= at))
+    high = F.when(F.col("combined_starts").isNull(), b).otherwise(count("combined_starts", lambda v, at: v < at))
+    traced = F.slice("combined_raw", F.lit(1), F.col("full_walk.traced"))
+    cuts = let(F.struct(low.alias("low"), high.alias("high")), lambda x: _cuts(traced, x["low"], x["high"]))
+    out = out.withColumn("_cuts", cuts)
+    return out.withColumns({
+        "source_end": F.col("_cuts.ends") + 1,
+        "cross_end": F.col("_cuts.begins") + 1,
+        "target_end": F.col("full_walk.traced") + 1,
+        "token_count": F.size("combined_raw") + 1,
+    }).drop("_cuts")
+
+
+def _own_tokens() -> Column:
+    """Per-position attribution of an encoding made here."""
+    nothing = empty("int")
+    owner = lambda i, x: F.when(i < x["s"], "source").when(i < x["c"], "cross_boundary").when(
+        i < x["t"], "target").otherwise("ambiguous")
+    bounds = F.struct(
+        F.col("source_end").alias("s"), F.col("cross_end").alias("c"), F.col("target_end").alias("t"),
+        F.col("combined_starts").alias("starts"), F.col("combined_ends").alias("ends"))
+    body = let(bounds, lambda x: F.transform(F.col("combined_spans"), lambda span, i: F.struct(
+        owner(i + 1, x).alias("ownership"),
+        (i + 1).alias("position"),
+        F.when(i + 1 >= x["t"], nothing)
+        .when(x["starts"].isNull(), F.sequence(span["start"], span["end"] - 1))
+        .otherwise(F.sequence(F.get(x["starts"], span["start"]), F.get(x["ends"], span["end"] - 1) - 1))
+        .alias("raw_origins"),
+    )))
+    head = F.struct(F.lit("injected_prefix").alias("ownership"), F.lit(0).alias("position"), nothing.alias("raw_origins"))
+    return F.concat(F.array(head), body)
+
+
 def attribution_reasons(walk: str, text: str, kept: Column, must_consume: Column) -> Column:
     """Reasons raised by the first ``kept`` tokens of an attributed encoding."""
     w = lambda field: F.col(f"{walk}.{field}")
@@ -251,17 +337,14 @@ def _owned(owners: str, owner: str, extra=None) -> Column:
     return positions_where(F.col(owners), test)
 
 
-def add_diagnostics(df: DataFrame) -> DataFrame:
-    """Cutoffs, positions, counts, causes, classifications and status.
+def add_positions(df: DataFrame) -> DataFrame:
+    """Positions, oracle cutoff and target counts from per-position owners.
 
-    Needs ``full_owners``, ``kept_owners``, ``cutoff``, ``exact_prefix`` and
-    ``base_reasons`` (before target absence is known).
+    Needs ``full_owners``, ``kept_owners``, ``cutoff``, ``kept`` and ``mask_end``.
     """
-    kept = F.size("kept_owners")
-    out = df.withColumn("mask_end", F.least(F.col("cutoff"), kept))
     first_target = F.array_position(F.col("kept_owners"), "target").cast("int") - 1
     first_ambiguous = F.array_position(F.col("kept_owners"), "ambiguous").cast("int") - 1
-    out = out.withColumns({
+    out = df.withColumns({
         "prompt_leakage_positions": let(
             F.col("mask_end"), lambda m: _owned("kept_owners", "source", lambda i: i >= m)),
         "masked_retained_target_positions": let(
@@ -273,13 +356,18 @@ def add_diagnostics(df: DataFrame) -> DataFrame:
         "full_target_token_count": F.size(_owned("full_owners", "target")),
         "retained_target_token_count": F.size(_owned("kept_owners", "target")),
         "_supervised_ambiguous": F.array_contains(
-            F.slice(F.col("kept_owners"), F.col("mask_end") + 1, kept), "ambiguous"),
+            F.slice(F.col("kept_owners"), F.col("mask_end") + 1, F.col("kept")), "ambiguous"),
     })
+    return out.withColumn(
+        "supervised_target_token_count",
+        F.col("retained_target_token_count") - F.size("masked_retained_target_positions"))
+
+
+def add_classes(df: DataFrame) -> DataFrame:
+    """Reasons, causes, classifications and status from positions and counts."""
     full, retained = F.col("full_target_token_count"), F.col("retained_target_token_count")
-    out = out.withColumn(
-        "supervised_target_token_count", retained - F.size("masked_retained_target_positions"))
     absent = (full == 0) & (F.size("cross_boundary_positions") == 0) & (F.size("ambiguous_positions") == 0)
-    out = out.withColumns({
+    out = df.withColumns({
         "truncated_target_token_count": full - retained,
         "indeterminate_reasons": F.array_sort(F.array_distinct(F.concat(
             F.col("base_reasons"),
@@ -337,38 +425,60 @@ def exit_code(status: Column, rejected: Column | None = None) -> Column:
 
 def boundary_report(cases: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
     """One flat report row per case; raw text stays out."""
-    return finish_report(truncate_encodings(attributed_cases(cases, tokenizer)), tokenizer, sliced=True)
+    return limited_report(attributed_cases(cases, tokenizer))
 
 
-def attributed_cases(cases: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
-    """Full encodings and attribution, before any length limit is applied."""
-    encoded = encode_cases(normalize_cases(cases), tokenizer)
-    return attribute_tokens(encoded, tokenizer, source_encoding="source_full")
+def limited_report(attributed: DataFrame) -> DataFrame:
+    """Apply ``max_length`` to attributed rows and report.
+
+    The truncated encoding is a slice of the full one, so it is always an exact
+    prefix and every diagnostic is arithmetic on the run ends.
+    """
+    out = truncate_encodings(attributed)
+    limit = F.col("max_length")
+    cutoff = F.least(F.size("source_raw") + 1, limit)
+    kept = F.least(F.col("token_count"), limit)
+    out = out.withColumns({"cutoff": cutoff, "kept": kept, "mask_end": F.least(cutoff, kept), "exact_prefix": F.lit(True)})
+    m, k = F.col("mask_end"), F.col("kept")
+    s, c, t, n = F.col("source_end"), F.col("cross_end"), F.col("target_end"), F.col("token_count")
+    zero = F.lit(0)
+    out = out.withColumns({
+        "prompt_leakage_positions": int_range(F.greatest(F.lit(1), m), F.least(s, k)),
+        "masked_retained_target_positions": int_range(c, F.least(t, m)),
+        "cross_boundary_positions": int_range(s, c),
+        "ambiguous_positions": int_range(t, n),
+        "oracle_cutoff": F.when(c < F.least(t, k), c),
+        "full_target_token_count": t - c,
+        "retained_target_token_count": F.greatest(zero, F.least(t, k) - c),
+        "supervised_target_token_count": F.greatest(zero, F.least(t, k) - F.greatest(c, m)),
+        "_supervised_ambiguous": F.greatest(t, m) < k,
+        "base_reasons": F.concat(
+            attribution_reasons("source_walk", "source", cutoff, cutoff < limit),
+            attribution_reasons("full_walk", "combined", n, F.lit(True))),
+        "full_tokens": _own_tokens(),
+    })
+    out = out.withColumn("kept_tokens", F.slice("full_tokens", F.lit(1), k))
+    return _report_columns(add_classes(out))
 
 
 def report_from_encodings(df: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
     """Audit the three encodings that came with the rows.
 
     Rows hold the case, the ``source_*``/``combined_*`` normalization columns and
-    one struct column per encoding (``schemas.ENCODING``).
+    one struct column per encoding (``schemas.ENCODING``). Nothing about them is
+    taken for granted: pieces are followed along the text, offsets are checked
+    against provenance and the truncation against the full encoding.
     """
     out = df
     for name in ENCODINGS:
         out = bpe.from_struct(out, name)
-    return finish_report(attribute_tokens(out, tokenizer), tokenizer, sliced=False)
-
-
-def finish_report(attributed: DataFrame, tokenizer: BpeTokenizer, sliced: bool) -> DataFrame:
-    """Diagnostics and report of attributed rows with their truncated encodings.
-
-    ``sliced`` says the truncation is a slice of the full encoding made here.
-    """
-    kept = F.size("combined_truncated__ids")
-    cutoff = F.size("source_truncated__ids")
-    proven = F.lit(True) if sliced else bpe.exact_prefix("combined_full", "combined_truncated")
-    out = attributed.withColumns({
+    out = attribute_tokens(out, tokenizer)
+    kept, cutoff = F.size("combined_truncated__ids"), F.size("source_truncated__ids")
+    out = out.withColumns({
         "cutoff": cutoff,
-        "exact_prefix": proven,
+        "kept": kept,
+        "mask_end": F.least(cutoff, kept),
+        "exact_prefix": bpe.exact_prefix("combined_full", "combined_truncated"),
         "base_reasons": F.concat(
             attribution_reasons("source_walk", "source", cutoff, cutoff < F.col("max_length")),
             attribution_reasons("full_walk", "combined", F.size("combined_full__ids"), F.lit(True)),
@@ -383,8 +493,10 @@ def finish_report(attributed: DataFrame, tokenizer: BpeTokenizer, sliced: bool)
         "full_owners": F.transform("full_tokens", lambda t: t["ownership"]),
         "kept_owners": F.transform("kept_tokens", lambda t: t["ownership"]),
     })
-    out = add_diagnostics(out)
-    kept_count = F.size("kept_owners")
+    return _report_columns(add_classes(add_positions(out)))
+
+
+def _report_columns(out: DataFrame) -> DataFrame:
     return out.select(
         "case_id", "max_length", "status", "primary_classification", "classifications",
         F.struct(
@@ -401,7 +513,7 @@ def finish_report(attributed: DataFrame, tokenizer: BpeTokenizer, sliced: bool)
             F.lit(S.MASK_ALGORITHM).alias("algorithm"),
             "cutoff",
             int_range(0, F.col("mask_end")).alias("masked_positions"),
-            int_range(F.col("mask_end"), kept_count).alias("supervised_positions"),
+            int_range(F.col("mask_end"), F.col("kept")).alias("supervised_positions"),
         ).alias("legacy_mask"),
         F.col("full_tokens").alias("full_attribution"),
         F.col("kept_tokens").alias("truncated_attribution"),

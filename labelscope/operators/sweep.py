@@ -31,7 +31,7 @@ def truncation_sweep(cases: DataFrame, tokenizer: BpeTokenizer, lengths=DEFAULT_
     """
     attributed = boundary.attributed_cases(cases.drop("max_length"), tokenizer)
     grid = attributed.withColumn("max_length", _each(lengths))
-    return boundary.finish_report(boundary.truncate_encodings(grid), tokenizer, sliced=True)
+    return boundary.limited_report(grid)
 
 
 def sweep_table(reports: DataFrame) -> DataFrame:

@@ -455,8 +455,8 @@ def encodings(spark, d):
 
 
 def token_ownership(spark, d):
-    rows = B.attributed_cases(_pairs(spark, d), TOKENIZER)
-    count = lambda owner: F.size(F.filter("full_tokens", lambda t: t["ownership"] == owner)).alias(owner)
+    rows = _reports(spark, d)
+    count = lambda owner: F.size(F.filter("full_attribution", lambda t: t["ownership"] == owner)).alias(owner)
     return _flat(rows.select("case_id", *[count(o) for o in S.OWNERSHIPS]))
 
 

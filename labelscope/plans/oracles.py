@@ -139,7 +139,6 @@ _QUIET = ("(SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND (conv_i
 _LONG = ("(SELECT conv_id, turn + d AS turn, role, repeat('x', (8000 + conv_id % 900)::INT) AS text "
          "FROM conversations, (VALUES (0), (100)) AS v(d))")
 _TEN = "(substr(example_id, 6)::BIGINT) % 10"
-_IDS = ("list_transform(list_concat([1], {ids})[1:256], lambda t: t)")
 
 
 def _list_ids(pieces: str) -> str:
@@ -162,7 +161,6 @@ ranked AS (SELECT *, (conv_id * 64 + turn) // 4096 AS shard,
     (row_number() OVER (PARTITION BY (conv_id * 64 + turn) // 4096 ORDER BY conv_id * 64 + turn) - 1) // 8 AS batch FROM train),
 wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch) AS width FROM ranked)"""
 
-_JSON_STR = "to_json({c})::VARCHAR"
 _CASE_DOC = ("'{\"case_id\":' || to_json(case_id)::VARCHAR || ',\"max_length\":' || {n} || "
              "',\"schema_version\":\"token-boundary-synthetic-case-v1\",\"source\":' || to_json(source)::VARCHAR || "
              "',\"target\":' || to_json(target)::VARCHAR || '}' || chr(10)")
@@ -383,13 +381,15 @@ enc AS (SELECT case_id, length(source) AS b,
     out["artifact_manifest"] = f"SELECT 'doc/' || doc_id AS path, strlen(text) AS bytes, sha256({blob}) AS sha256 FROM documents"
     out["bound_identity"] = "SELECT 'doc/5' AS path, NULL::VARCHAR AS code WHERE EXISTS (SELECT 1 FROM documents WHERE doc_id = 5)"
     out["file_drift"] = (
-        "SELECT path, code FROM (SELECT 'doc/' || doc_id AS path, CASE WHEN doc_id % 7 = 1 THEN 'file.missing' WHEN doc_id = 0 THEN 'file.unlisted' "
-        "WHEN doc_id % 7 = 2 THEN 'file.byte_length' WHEN doc_id % 7 = 3 AND contains(text, 'e') THEN 'file.sha256' END AS code FROM documents) WHERE code IS NOT NULL")
+        "SELECT path, code FROM (SELECT 'doc/' || doc_id AS path, CASE WHEN lang = 'de' AND strlen(text) > 200 THEN 'file.missing' "
+        "WHEN lang <> 'de' AND strlen(text) <= 200 THEN 'file.unlisted' WHEN lang = 'fr' THEN 'file.byte_length' "
+        "WHEN lang = 'es' AND contains(text, 'e') THEN 'file.sha256' END AS code FROM documents) WHERE code IS NOT NULL "
+        "UNION ALL SELECT 'old/doc/' || doc_id, 'file.missing' FROM documents WHERE strlen(text) <= 200")
     out["semantic_props"] = (
         "SELECT event_id, sha256('{\"k\":' || (props->>'$.k') || '}' || chr(10)) AS semantic_sha256 FROM events")
     out["golden_drift"] = (
-        "SELECT * FROM (SELECT 'doc/' || doc_id AS name, CASE doc_id % 5 WHEN 1 THEN 'golden.extra' WHEN 2 THEN 'golden.missing' "
-        "WHEN 3 THEN CASE WHEN upper(text) <> text THEN 'golden.content' END END AS code FROM documents) WHERE code IS NOT NULL")
+        "SELECT * FROM (SELECT 'doc/' || doc_id AS name, CASE lang WHEN 'de' THEN 'golden.extra' WHEN 'fr' THEN 'golden.missing' "
+        "WHEN 'es' THEN 'golden.content' END AS code FROM documents) WHERE code IS NOT NULL")
     out["expectation_mismatches"] = _report(
         "SELECT case_id, 'status' AS field, 'pass' AS expected, stat AS observed FROM reports WHERE stat <> 'pass' "
         "UNION ALL SELECT case_id, 'primary_classification', 'aligned', prim FROM reports WHERE prim <> 'aligned'")

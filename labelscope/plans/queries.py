@@ -537,14 +537,15 @@ def _inventory(spark, d):
 
 
 def file_drift(spark, d):
-    docs = _documents(spark, d)
-    k = F.col("doc_id") % 7
-    now = docs.where(k != 1).select(
+    """German files are gone, French ones grew, Spanish ones changed in place."""
+    docs, lang = _documents(spark, d), F.col("lang")
+    now = docs.where(lang != "de").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
-        F.encode(F.when(k == 2, F.concat("text", F.lit("!"))).when(k == 3, F.replace("text", F.lit("e"), F.lit("a")))
+        F.encode(F.when(lang == "fr", F.concat("text", F.lit("!"))).when(lang == "es", F.replace("text", F.lit("e"), F.lit("a")))
                  .otherwise(F.col("text")), "UTF-8").alias("content"))
-    manifest = R.file_identities(_inventory(spark, d).where(F.col("path") != "doc/0"))
-    return R.attest_files(now, manifest).where(F.col("code").isNotNull())
+    listed = _inventory(spark, d).withColumn("path", F.when(F.octet_length("content") > 200, F.col("path"))
+                                             .otherwise(F.concat(F.lit("old/"), "path")))
+    return R.attest_files(now, R.file_identities(listed)).where(F.col("code").isNotNull())
 
 
 def file_identities(spark, d):
@@ -565,11 +566,12 @@ def semantic_props(spark, d):
 
 
 def golden_drift(spark, d):
-    docs = _documents(spark, d)
+    """German documents are new, French ones lost, Spanish ones changed."""
+    docs, lang = _documents(spark, d), F.col("lang")
     name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("name")
-    expected = docs.where(F.col("doc_id") % 5 != 1).select(name, F.sha2("text", 256).alias("sha256"))
-    actual = docs.where(F.col("doc_id") % 5 != 2).select(name, F.sha2(
-        F.when(F.col("doc_id") % 5 == 3, F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"))
+    expected = docs.where(lang != "de").select(name, F.sha2("text", 256).alias("sha256"))
+    actual = docs.where(lang != "fr").select(name, F.sha2(
+        F.when(lang == "es", F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
     return R.golden_drift(actual, expected)
 
 

@@ -15,7 +15,10 @@ def read_sft(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_inventory(spark: SparkSession, root: str, max_bytes: int = MAX_INVENTORY_BYTES) -> DataFrame:
-    """``path, bytes, content`` of every file below ``root``; paths relative to it."""
+    """``path, bytes, content`` of every file below ``root``; paths relative to it.
+
+    Spark's file scans leave out files of zero bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), base, -1)

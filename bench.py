@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from labelscope.functions import text  # noqa: E402
 from labelscope.operators import boundary, preprocess, sweep, topology  # noqa: E402
 from labelscope.plans import corpus, queries as Q  # noqa: E402
 from labelscope.session import local_session  # noqa: E402
@@ -17,6 +18,8 @@ from labelscope.session import local_session  # noqa: E402
 
 def workloads(spark, folder):
     turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    # The test file is one row group, hence one task; spread its whole texts first.
+    documents = spark.read.parquet(f"{folder}/documents.parquet").repartition(spark.sparkContext.defaultParallelism)
     pairs = corpus.reply_pairs(turns, 512)
     return {
         "quarantine_split": lambda: Q.quarantine_counts(spark, folder),
@@ -28,8 +31,9 @@ def workloads(spark, folder):
         "batch_collate": lambda: preprocess.pad_collate(preprocess.assign_batches(
             preprocess.preprocess_pairs(pairs.withColumn("row", F.col("conv_id") * 64 + F.col("turn")), Q.TOKENIZER,
                                         keep=("case_id", "row")), "row", 32), 0),
-        "document_tokens": lambda: Q.token_lengths(spark, folder),
-        "document_strip": lambda: Q.stripped_documents(spark, folder),
+        "document_tokens": lambda: preprocess.token_lengths(
+            preprocess.tokenize(documents, {"text": "ids"}, Q.TOKENIZER, 1 << 30), {"ids": "tokens"}).select("doc_id", "tokens"),
+        "document_strip": lambda: documents.select("doc_id", text.right_strip(F.col("text")).alias("text")),
         "file_identities": lambda: Q.file_identities(spark, folder),
     }
 

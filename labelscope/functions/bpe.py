@@ -13,6 +13,7 @@ from labelscope.functions.arrays import empty, let
 
 JVM_VOCAB_LIMIT = 64
 CLOSURE_VOCAB_LIMIT = 1_000_000
+PRIVATE_USE, PRIVATE_USE_END = 0xE000, 0xF8FF
 
 # --- fixed values: the pinned 15-piece vocabulary and its one merge ---------
 PINNED_VOCAB = {
@@ -52,11 +53,37 @@ class BpeTokenizer:
             built.add(left + right)
 
     def pieces(self, text: Column) -> Column:
-        """Pieces of ``text`` before unknown ones are replaced.
+        """Pieces of ``text`` before unknown ones are replaced, lowest rank first.
 
-        Every piece is kept between two NULs, so one rank of the merge table is
-        one literal replacement over the whole text, lowest rank first.
+        Each rank folds its pair into one private-use code point, so a merge is
+        one literal replacement over the whole text and the rest is a split into
+        code points. Texts that already use those code points are marked instead.
         """
+        last = PRIVATE_USE + len(self.merges) - 1
+        if last > PRIVATE_USE_END:
+            pieces = self._marked_pieces(text)
+        elif not self.merges:
+            pieces = F.split(text, "")
+        else:
+            reserved = (F.octet_length(text) != F.char_length(text)) & text.rlike(f"[\\x{{{PRIVATE_USE:X}}}-\\x{{{last:X}}}]")
+            pieces = F.when(reserved, self._marked_pieces(text)).otherwise(self._folded_pieces(text))
+        return F.when(F.length(text) == 0, empty("string")).otherwise(pieces)
+
+    def _folded_pieces(self, text: Column) -> Column:
+        code: dict[str, str] = {}
+        folded = text
+        for rank, (left, right) in enumerate(self.merges):
+            merged = chr(PRIVATE_USE + rank)
+            folded = F.replace(folded, F.lit(code.get(left, left) + code.get(right, right)), F.lit(merged))
+            code[left + right] = merged
+        spelled = F.array(*[F.lit(left + right) for left, right in self.merges])
+        low, high = chr(PRIVATE_USE), chr(PRIVATE_USE + len(self.merges) - 1)
+        return F.transform(
+            F.split(folded, ""),
+            lambda p: F.when(p.between(low, high), F.get(spelled, F.ascii(p) - PRIVATE_USE)).otherwise(p))
+
+    def _marked_pieces(self, text: Column) -> Column:
+        """The same with every piece kept between two NULs, which no text holds."""
         nul = "\x00"
         marked = F.regexp_replace(text, "(?s)(.)", f"{nul}$1{nul}")
         for left, right in self.merges:
@@ -65,8 +92,7 @@ class BpeTokenizer:
                 F.lit(f"{nul}{left}{nul}{nul}{right}{nul}"),
                 F.lit(f"{nul}{left}{right}{nul}"),
             )
-        inner = let(marked, lambda m: F.split(F.substring(m, F.lit(2), F.length(m) - 2), f"{nul}{nul}"))
-        return F.when(F.length(text) == 0, empty("string")).otherwise(inner)
+        return let(marked, lambda m: F.split(F.substring(m, F.lit(2), F.length(m) - 2), f"{nul}{nul}"))
 
     def ids(self, pieces: Column) -> Column:
         """Vocabulary id of every piece."""

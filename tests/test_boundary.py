@@ -167,7 +167,7 @@ def test_against_a_tokenizer_library(spark):
     theirs.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Strip(left=False, right=True)])
     theirs.post_processor = processors.TemplateProcessing(single="<bos> $A", pair="<bos> $A $B", special_tokens=[("<bos>", 1)])
     texts = ["thethe inging", "aaaaa aab", "a\U0001f600b the", "éx the ẹ́ ", "zz\x1c", "각x",
-             "à̕x", "̈́x", "thhe iing\n\n", "aaaaaaaab"]
+             "à̕x", "̈́x", "thhe iing\n\n", "aaaaaaaab", "th\ue000e the\ue003"]
     frame = cases_frame(spark, [(f"t{i}", t, "x", 6) for i, t in enumerate(texts)])
     rows = B.three_encodings(frame, ours).select("source", "source_full__ids", "source_full__pieces", "source_full__offsets").collect()
     for r in rows:

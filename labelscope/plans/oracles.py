@@ -393,6 +393,19 @@ enc AS (SELECT case_id, length(source) AS b,
     out["expectation_mismatches"] = _report(
         "SELECT case_id, 'status' AS field, 'pass' AS expected, stat AS observed FROM reports WHERE stat <> 'pass' "
         "UNION ALL SELECT case_id, 'primary_classification', 'aligned', prim FROM reports WHERE prim <> 'aligned'")
+    probes = "('the end'), ('h'), ('é'), (chr(769) || ' tail')"
+    # A composing accent leaves one normalized character across the boundary.
+    crossing = _OWNED.replace("case_id, b, u.k", "case_id, lo, hi, u.k").replace(
+        "CASE WHEN e <= b THEN 'source' WHEN e - length(p) >= b THEN", "CASE WHEN e <= lo THEN 'source' WHEN e - length(p) >= hi THEN")
+    out["input_matrix"] = f"""WITH grid AS (
+  SELECT conv_id, turn, text AS source, probe, text || probe AS raw, nfc_normalize(text || probe) AS form
+  FROM conversations, (VALUES {probes}) AS p(probe) WHERE role = 'user'),
+enc AS (
+  SELECT conv_id || '/' || turn || '/' || probe AS case_id, length(source) AS hi,
+    length(source) - (length(raw) - length(form)) AS lo,
+    regexp_extract_all(source, '{_PATTERN}') AS sp, regexp_extract_all(form, '{_PATTERN}') AS cp FROM grid)""" + (
+        crossing + _CUT.replace("{lengths}", "32, 128") +
+        " SELECT classes AS classifications, count(*) AS cases FROM reports GROUP BY 1")
     sweep = "64, 128, 256, 512"
     out["truncation_sweep"] = _report(
         "SELECT case_id, max_length::BIGINT AS max_length, CASE WHEN stat = 'pass' THEN 0 ELSE 1 END::BIGINT AS exit_code, stat AS status, prim AS primary_classification, "

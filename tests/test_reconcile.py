@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,20 @@ def test_expectations(spark):
     want = spark.createDataFrame([("a", "pass", 0), ("b", "pass", 1), ("c", "fail", 1)], "case_id string, status string, exit int")
     rows = R.check_expectations(have, want, "case_id", ("status", "exit")).collect()
     assert sorted(map(tuple, rows)) == sorted([("b", "status", "pass", "fail"), ("c", "status", "fail", None), ("c", "exit", "1", None)])
+
+
+def test_manifest_and_training_rows(spark, tmp_path):
+    entry = {"path": "a.txt", "byte_length": 2, "line_count": 1, "git_mode": "100644", "sha256": hashlib.sha256(b"a\n").hexdigest(),
+             "git_blob_sha1": hashlib.sha1(b"blob 2\x00a\n").hexdigest()}
+    path = tmp_path / "manifest.json"
+    path.write_text(json.dumps({"schema_version": 1, "kind": "k", "files": [entry, {**entry, "path": "b.txt"}]}, indent=1))
+    manifest = tables.read_manifest(spark, str(path))
+    assert [r.path for r in manifest.orderBy("path").collect()] == ["a.txt", "b.txt"]
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.txt").write_bytes(b"a\n")
+    bound = R.bind_identity(tables.scan_inventory(spark, str(root)), manifest, "a.txt").collect()
+    assert [(r.path, r.code) for r in bound] == [("a.txt", None)]
+    spark.createDataFrame([("i", "o", 1)], "instruction string, output string, extra int").write.parquet(str(tmp_path / "sft"))
+    rows = tables.read_sft(spark, str(tmp_path / "sft"))
+    assert rows.columns == ["instruction", "output"] and rows.count() == 1

@@ -70,17 +70,16 @@ def retention_matrix(reports: DataFrame, lengths=DEFAULT_LENGTHS) -> DataFrame:
         "max_length", list(lengths)).agg(F.first("cell"))
 
 
-def input_matrix(sources: DataFrame, targets, lengths) -> DataFrame:
-    """Cases for every source row with each listed target and length.
+def input_matrix(sources: DataFrame, targets) -> DataFrame:
+    """``case_id, source`` rows against each listed target.
 
-    Targets and lengths are parameters, so rows grow linearly with ``sources``.
+    Targets are parameters, so rows grow linearly with ``sources``.
     """
-    grid = sources.withColumn("target", _each(targets))
-    return grid.withColumn("max_length", _each(lengths))
+    return sources.withColumn("target", _each(targets))
 
 
-def input_matrix_counts(cases: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
-    """Number of cases per combination of classifications."""
-    reports = boundary.boundary_report(cases, tokenizer)
+def input_matrix_counts(cases: DataFrame, tokenizer: BpeTokenizer, lengths) -> DataFrame:
+    """Number of (case, length) cells per combination of classifications."""
+    reports = truncation_sweep(cases, tokenizer, lengths)
     return reports.groupBy(F.array_join("classifications", "|").alias("classifications")).agg(
         F.count(F.lit(1)).alias("cases"))

@@ -606,7 +606,7 @@ def input_matrix(spark, d):
     sources = _turns(spark, d).where(F.col("role") == "user").select(
         F.concat(F.lit("turn-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("case_id"),
         F.col("text").alias("source"))
-    return G.input_matrix_counts(G.input_matrix(sources, PROBES, (32, 128)), TOKENIZER)
+    return G.input_matrix_counts(G.input_matrix(sources, PROBES), TOKENIZER, (32, 128))
 
 
 QUERIES = (

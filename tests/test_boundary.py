@@ -1,4 +1,6 @@
+import hashlib
 import itertools
+import json
 import unicodedata
 
 import pytest
@@ -49,6 +51,15 @@ def test_case_digest(spark, cases):
     assert row.canonical_sha256 == "c1d9ab41a7e3b0ce5cd6f14fd0b119dd9f6ea47d43ce3477cdd3bbab38ae934c"
 
 
+def test_report_json_is_canonical(spark, cases):
+    reports = B.boundary_report(cases, pinned_tokenizer())
+    for r in B.report_json(reports, {"z": ["a", "c"], "b": True}, {"s": None}).collect():
+        document = json.loads(r.report)
+        assert json.dumps(document, separators=(",", ":"), sort_keys=True) == r.report
+        assert r.report_sha256 == hashlib.sha256((r.report + "\n").encode()).hexdigest()
+        assert document["artifact_identity"] == {"b": True, "z": ["a", "c"]} and document["scope"] == {"s": None}
+
+
 def test_sweep(spark, cases):
     reports = G.truncation_sweep(cases, pinned_tokenizer())
     grid = {r[0]: ",".join(r[1:]) for r in G.retention_matrix(reports).collect()}
@@ -57,7 +68,7 @@ def test_sweep(spark, cases):
 
 def test_input_matrix(spark):
     sources = spark.createDataFrame([("m", t) for t in MATRIX_TEXTS], "case_id string, source string")
-    rows = G.input_matrix_counts(G.input_matrix(sources, MATRIX_TEXTS, (2, 3, 4, 8)), pinned_tokenizer()).collect()
+    rows = G.input_matrix_counts(G.input_matrix(sources, MATRIX_TEXTS), pinned_tokenizer(), (2, 3, 4, 8)).collect()
     assert {r.classifications: r.cases for r in rows} == MATRIX_COUNTS
 
 

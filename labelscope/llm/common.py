@@ -42,6 +42,18 @@ def even_share(key: Column) -> Column:
     return (F.xxhash64(key).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))).cast("double")
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks; the latest three things."""
+    if key not in _KEPT:
+        while len(_KEPT) >= 3:
+            del _KEPT[next(iter(_KEPT))]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 class WordTable:
     """Values of distinct words, computed once while they stay in the table.
 

@@ -10,6 +10,7 @@ with score 0, as is every text when no row was labelled. Repeated rows and tied
 languages change nothing: ties go to the language that sorts first.
 """
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import WordTable, blocks, even_share, fold_of, segment_sums, table, utf8
+from labelscope.llm.common import WordTable, blocks, even_share, fold_of, kept, segment_sums, table, utf8
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -85,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scorer(spark, model: Model):
     """A column function ``text -> struct(lang_pred, score)``."""
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: Model = shared.value
@@ -97,7 +98,7 @@ def scorer(spark, model: Model):
             flat = np.fromiter((b for h in hashed for b in h), np.int64, starts[-1])
             return segment_sums(known.log_prob[flat].astype(float), starts).reshape(len(words), size)
 
-        cache = WordTable(rows, 400_000)
+        cache = kept(("language", name), lambda: WordTable(rows, 400_000))
         for texts in parts:
             names, scores = [], []
             for held, starts in blocks(texts.tolist(), bytes.split):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import WordTable, cut, table, utf8
+from labelscope.llm.common import WordTable, cut, kept, table, utf8
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 SYMBOLS = b"#*$%&|<>"
@@ -39,6 +39,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def word_table() -> WordTable:
+    """Word hashes, kept by the worker."""
+    return kept(("hashes",), lambda: WordTable(word_hashes, 400_000))
+
+
 def windows(h: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every run of ``size`` words."""
     n = len(h) - size + 1
@@ -84,7 +89,7 @@ def counts_column(text: Column) -> Column:
     """``struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines>``."""
 
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordTable(word_hashes, 400_000)
+        hashes = word_table()
         names = [c.split()[0] for c in COUNTS.split(", ")]
         for texts in parts:
             yield pd.DataFrame([text_counts(t, hashes) for t in texts.tolist()], columns=names, dtype="int64")

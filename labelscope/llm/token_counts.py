@@ -93,7 +93,7 @@ def op5_token_rollups(spark, sf_dir: str) -> DataFrame:
     rollup.commit("b2", removed, ["b1"])
     rollup.commit("b2", removed, ["b1"])
     moved = docs.where("lang <> 'en'")
-    revised = events(moved.withColumn("text", F.upper("text")), "revise", "bytes-1").unionByName(events(moved, "insert", "words-2"))
+    revised = events(moved.withColumn("text", F.concat("text", F.lit(" again"))), "revise", "bytes-1").unionByName(events(moved, "insert", "words-2"))
     rollup.commit("b3", revised, ["b1", "b2"])
     return rollup.totals(["b1", "b2", "b3"])
 
@@ -103,6 +103,6 @@ WITH t AS (SELECT *, coalesce(text, '') AS body FROM documents),
 counted AS (
   SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS tokens FROM t WHERE doc_id % 10 <> 3
   UNION ALL SELECT source, lang, 'words-2', len(regexp_extract_all(body, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) FROM t WHERE lang <> 'en'
-  UNION ALL SELECT source, lang, 'bytes-1', 1 + octet_length(encode(CASE WHEN lang <> 'en' THEN upper(body) ELSE body END)) FROM t)
+  UNION ALL SELECT source, lang, 'bytes-1', 1 + octet_length(encode(CASE WHEN lang <> 'en' THEN coalesce(text || ' again', '') ELSE body END)) FROM t)
 SELECT source, lang, version, count(*) AS n_docs, sum(tokens)::BIGINT AS n_tokens FROM counted GROUP BY source, lang, version
 """

@@ -17,6 +17,8 @@ blanks are encoded whole; repeated rows are encoded alike.
 """
 
 import hashlib
+import re
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,12 +26,11 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import table
+from labelscope.llm.common import kept, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BLANK = "▁"
@@ -47,6 +48,7 @@ class PieceModel:
     bos: int
     eos: int
     number: dict[str, int] = field(init=False)
+    sizes: list[int] = field(init=False)
     shorter: list[int] = field(init=False)  # longest piece that is a proper prefix, or -1
     automaton: ahocorasick.Automaton = field(init=False)
     inner: frozenset[str] = field(init=False)
@@ -54,6 +56,7 @@ class PieceModel:
 
     def __post_init__(self):
         self.number = {p: i for i, p in enumerate(self.pieces)}
+        self.sizes = [len(p) for p in self.pieces]
         # Pieces that merging their own text does not give are never met.
         reachable = [len(p) == 1 or self.merged(p) == [p] for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
@@ -62,7 +65,7 @@ class PieceModel:
         for i, piece in enumerate(self.pieces):
             inner.update(piece[k:k + 2] for k in range(len(piece) - 1))
             if reachable[i]:
-                self.automaton.add_word(piece, i)
+                self.automaton.add_word(piece, (i, len(piece)))
                 self.shorter[i] = next((n for k in range(len(piece) - 1, 0, -1)
                                         if (n := self.number.get(piece[:k], -1)) >= 0 and reachable[n]), -1)
         self.automaton.make_automaton()
@@ -102,10 +105,10 @@ class PieceModel:
     def encode_part(self, text: str) -> list[int]:
         """Ids of a part, by backtracking; characters without a piece fall back to bytes."""
         longest = [-1] * len(text)
-        for end, n in self.automaton.iter(text):
-            start = end - len(self.pieces[n]) + 1
-            if longest[start] < 0 or len(self.pieces[longest[start]]) < len(self.pieces[n]):
-                longest[start] = n
+        for end, (n, size) in self.automaton.iter(text):
+            longest[end - size + 1] = n  # ends grow, so the last piece met at a place is its longest
+        if -1 not in longest:
+            return self._search(longest, 0, len(text))
         out: list[int] = []
         at = 0
         while at < len(text):
@@ -116,83 +119,82 @@ class PieceModel:
             stop = at
             while stop < len(text) and longest[stop] >= 0:
                 stop += 1
-            out.extend(self.ids[n] for n in self._search(longest, at, stop))
+            out += self._search(longest, at, stop)
             at = stop
         return out
 
     def _search(self, longest: list[int], start: int, stop: int) -> list[int]:
+        sizes, shorter, compatible = self.sizes, self.shorter, self.compatible
         chosen: list[int] = []
-        dead = bytearray((stop - start) // 8 + 1)  # one bit a place: nothing goes on from here
-        at, offer = start, longest[start]
-        while True:
+        dead: bytearray | None = None  # a bit for each place: nothing goes on from here
+        at, offer, last = start, longest[start], -1
+        while at < stop:
             while offer >= 0:
-                end = at + len(self.pieces[offer]) - start
-                if (end + start <= stop and not dead[end >> 3] & (1 << (end & 7))
-                        and (not chosen or self.joins(chosen[-1], offer))):
+                end = at + sizes[offer]
+                if end <= stop and (dead is None or not dead[(end - start) >> 3] >> ((end - start) & 7) & 1) and (
+                        last < 0 or (compatible[last, offer] if (last, offer) in compatible else self.joins(last, offer))):
                     break
-                offer = self.shorter[offer]
+                offer = shorter[offer]
             if offer >= 0:
                 chosen.append(offer)
-                at = end + start
-                if at == stop:
-                    return chosen
-                offer = longest[at]
+                at, last = end, offer
+                offer = longest[at] if at < stop else -1
             else:
                 if not chosen:
                     raise ValueError("the vocabulary cannot spell this text")
-                here = at - start
-                dead[here >> 3] |= 1 << (here & 7)
-                last = chosen.pop()
-                at -= len(self.pieces[last])
-                offer = self.shorter[last]
+                dead = bytearray((stop - start) // 8 + 1) if dead is None else dead
+                dead[(at - start) >> 3] |= 1 << ((at - start) & 7)
+                offer = chosen.pop()
+                at -= sizes[offer]
+                offer, last = shorter[offer], chosen[-1] if chosen else -1
+        return [self.ids[n] for n in chosen]
+
+
+#: Latin letters; a vocabulary that joins one to another kind of character is cut more coarsely.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
 class Encoder:
     """Whole texts to ids, with a bounded table of parts."""
 
-    #: Letters, blanks before them, and single other characters; parts are cut finer below.
-    parts = regex.compile(rf"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+")
-
-    def __init__(self, model: PieceModel, limit: int = 300_000):
+    def __init__(self, model: PieceModel, limit: int = 500_000):
         self.model, self.limit = model, limit
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in model.pieces):
             raise ValueError("a piece holds a blank after another character, or a line end")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        letter = re.compile(f"[{_LETTER}]")
+        mixed = any(BLANK not in pair and bool(letter.match(pair[0])) != bool(letter.match(pair[1])) for pair in model.inner)
+        self.parts = re.compile(rf"{BLANK}+[^{BLANK}\n]*|\n|[^{BLANK}\n]+" if mixed else
+                                rf"{BLANK}*[{_LETTER}]+|{BLANK}*[^{_LETTER}{BLANK}\n]+|\n|{BLANK}+").findall
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids, with begin and end."""
         ends = np.array([self.model.bos, self.model.eos], "<u4").tobytes()
         if not text:
             return ends
-        found = self.parts.findall(BLANK + text.replace(" ", BLANK))
-        known = self.chunks
+        found = self.parts(BLANK + text.replace(" ", BLANK))
+        known = self.known
         new = set(found).difference(known)
         if new:
             if len(known) + len(new) > self.limit:
                 known.clear()
                 new = set(found)
-            for chunk in new:
-                known[chunk] = b"".join(map(self._word, self._split(chunk)))
+            for part in new:
+                known[part] = struct.pack(f"<{len(ids)}I", *ids) if (ids := self._part(part)) else b""
         return b"".join([ends[:4], *map(known.__getitem__, found), ends[4:]])
 
-    def _split(self, chunk: str) -> list[str]:
-        inner, cuts = self.model.inner, [0]
-        cuts += [k for k in range(1, len(chunk)) if chunk[k - 1:k + 1] not in inner]
-        return [chunk[a:b] for a, b in zip(cuts, [*cuts[1:], len(chunk)], strict=True)]
-
-    def _word(self, part: str) -> bytes:
-        got = self.words.get(part)
-        if got is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
-            got = self.words[part] = np.array(self.model.encode_part(part), "<u4").tobytes()
-        return got
+    def _part(self, part: str) -> list[int]:
+        inner, start, out = self.model.inner, 0, []
+        for k in range(1, len(part) + 1):
+            if k == len(part) or part[k - 1:k + 1] not in inner:
+                out += self.model.encode_part(part[start:k])
+                start = k
+        return out
 
 
 def encode(texts: Iterator[pd.Series], path: str = MODEL) -> Iterator[pd.Series]:
     """Batches of texts to batches of packed ids."""
-    encoder = Encoder(PieceModel.load(path))
+    encoder = kept(("pieces", path), lambda: Encoder(PieceModel.load(path)))
     for part in texts:
         yield pd.Series([encoder.ids(t or "") for t in part.tolist()])
 

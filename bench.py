@@ -29,8 +29,8 @@ def workloads(spark, folder):
         "boundary_classes": lambda: boundary.boundary_report(pairs, Q.TOKENIZER).select("case_id", "classifications"),
         "truncation_sweep": lambda: sweep.sweep_table(sweep.truncation_sweep(pairs, Q.TOKENIZER, Q.SWEEP)),
         "batch_collate": lambda: preprocess.pad_collate(preprocess.assign_batches(
-            preprocess.preprocess_pairs(pairs.withColumn("row", F.col("conv_id") * 64 + F.col("turn")), Q.TOKENIZER,
-                                        keep=("case_id", "row")), "row", 32), 0),
+            preprocess.preprocess_pairs(pairs, Q.TOKENIZER, keep=("case_id", "conv_id", "turn")),
+            ("conv_id", "turn"), 32, shard=Q.batch_shard()), 0),
         "document_tokens": lambda: preprocess.token_lengths(
             preprocess.tokenize(documents, {"text": "ids"}, Q.TOKENIZER, 1 << 30), {"ids": "tokens"}).select("doc_id", "tokens"),
         "document_strip": lambda: documents.select("doc_id", text.right_strip(F.col("text")).alias("text")),
@@ -41,9 +41,6 @@ def workloads(spark, folder):
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "labelscope-bench")
-    # Small bytes, much CPU per row: keep every core busy instead of folding tasks.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))
     spark.range(1000).select(F.sum("id")).collect()
     seconds = {}
     for name, build in workloads(spark, folder).items():

@@ -50,15 +50,19 @@ def preprocess_pairs(
         *keep, "input_ids", mask_by_source_length(F.col("input_ids"), F.size("_source_ids")).alias("labels"))
 
 
-def assign_batches(rows: DataFrame, order: str, batch_size: int, shard_width: int = 1 << 20) -> DataFrame:
+def assign_batches(
+    rows: DataFrame, order: str | tuple[str, ...], batch_size: int, shard_width: int = 1 << 20, shard: Column | None = None
+) -> DataFrame:
     """Adds ``shard`` and ``batch``: consecutive rows of ``order`` in equal batches.
 
-    ``order`` is a unique integer, so a shard (a range of ``shard_width`` values)
-    holds at most that many rows and no global sort is needed. Each shard closes
-    with one possibly short batch.
+    ``order`` is a unique integer, or several columns that are unique together.
+    A shard is a range of ``shard_width`` values of the one, or what ``shard``
+    says of the several; no global sort is needed. Each shard closes with one
+    possibly short batch.
     """
-    sharded = rows.withColumn("shard", F.floor(F.col(order) / shard_width))
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy(order)) - 1
+    order = (order,) if isinstance(order, str) else order
+    sharded = rows.withColumn("shard", F.floor(F.col(order[0]) / shard_width) if shard is None else shard)
+    rank = F.row_number().over(Window.partitionBy("shard").orderBy(*order)) - 1
     return sharded.withColumn("batch", F.floor(rank / batch_size))
 
 

@@ -112,8 +112,54 @@ def attribution_rules(name: str, encoding: str, raw_count: Column, boundary: Col
     ]
 
 
+#: Every stored field, by the section whose name its code carries. Only ``oracle_cutoff`` may be NULL.
+_COUNTS = ("raw_codepoint_count", "nfc_codepoint_count", "normalized_codepoint_count", "trailing_normalized_codepoints_removed")
+_POSITIONS = ("prompt_leakage_positions", "masked_retained_target_positions", "cross_boundary_positions", "ambiguous_positions")
+_TARGET_COUNTS = ("full_target_token_count", "retained_target_token_count", "supervised_target_token_count", "truncated_target_token_count")
+_VECTORS = ("ids", "pieces", "offsets", "type_ids", "special_tokens_mask", "attention_mask")
+_SCALARS = {
+    "input_identity": ("input", ("case_id", "canonical_sha256", "source_codepoints", "target_codepoints", "boundary_codepoint", "max_length")),
+    "source_normalization": ("normalization", (*_COUNTS, "provenance_complete")),
+    "combined_normalization": ("normalization", (*_COUNTS, "provenance_complete")),
+    "legacy_mask": ("legacy_mask", ("algorithm", "cutoff")),
+    "diagnostics": ("diagnostics", _TARGET_COUNTS),
+}
+_LISTS = {
+    "source_normalization": ("normalization", ("cross_boundary_output_positions",)),
+    "combined_normalization": ("normalization", ("cross_boundary_output_positions",)),
+    "source_truncated": ("encoding", _VECTORS), "combined_full": ("encoding", _VECTORS), "combined_truncated": ("encoding", _VECTORS),
+    "legacy_mask": ("legacy_mask", ("masked_positions", "supervised_positions")),
+    "diagnostics": ("diagnostics", (*_POSITIONS, "elimination_causes", "indeterminate_reasons")),
+}
+
+
+def presence_rules() -> list[tuple[Column, str]]:
+    """A rule for each field that must be there, its elements included."""
+    incomplete = lambda values: values.isNull() | F.coalesce(F.exists(values, lambda x: x.isNull()), F.lit(False))
+    rules = [(F.col(f).isNull(), f"report.{f}") for f in ("case_id", "max_length", "status", "primary_classification")]
+    rules.append((incomplete(F.col("classifications")), "report.classifications"))
+    for section, (prefix, fields) in _SCALARS.items():
+        rules += [(F.col(f"{section}.{f}").isNull(), f"{prefix}.{f}") for f in fields]
+    for section, (prefix, fields) in _LISTS.items():
+        rules += [(incomplete(F.col(f"{section}.{f}")), f"{prefix}.{f}") for f in fields]
+    for section in ("source_truncated", "combined_full", "combined_truncated"):
+        bent = F.exists(f"{section}.offsets", lambda o: (F.size(o) != 2) | F.exists(o, lambda x: x.isNull()))
+        rules.append((F.coalesce(bent, F.lit(False)), "encoding.offsets"))
+    for section in ("full_attribution", "truncated_attribution"):
+        tokens = F.col(section)
+        rules.append((incomplete(tokens), f"report.{section}"))
+        absent = lambda f, tokens=tokens: F.coalesce(F.exists(tokens, lambda t: t[f].isNull()), F.lit(False))
+        rules += [(absent(f), f"attribution.{f}") for f in ("ownership", "position")]
+        rules.append((F.coalesce(F.exists(tokens, lambda t: incomplete(t["raw_origins"])), F.lit(False)), "attribution.raw_origins"))
+    return rules
+
+
 def validate_report_values(reports: DataFrame, tokenizer) -> DataFrame:
-    """Adds ``value_codes``: field-level rules broken by each report."""
+    """Adds ``value_codes``: field-level rules broken by each report.
+
+    Presence comes first: a report with a missing field is judged by that alone,
+    so no later rule compares with NULL.
+    """
     identity, mask, d = (lambda f, p=p: F.col(f"{p}.{f}") for p in ("input_identity", "legacy_mask", "diagnostics"))
     rules = [
         (~F.coalesce(identity("case_id").rlike(S.ID_PATTERN), F.lit(False)), "input.case_id"),
@@ -124,6 +170,7 @@ def validate_report_values(reports: DataFrame, tokenizer) -> DataFrame:
          "input.codepoint_bounds"),
         (identity("boundary_codepoint") != identity("source_codepoints"), "input.boundary_codepoint"),
         (~identity("max_length").between(S.MIN_MODEL_LENGTH, S.MAX_MODEL_LENGTH), "input.max_length"),
+        *[(F.col(f"{s}.{f}") < 0, f"normalization.{f}") for s in ("source_normalization", "combined_normalization") for f in _COUNTS],
         *normalization_rules("source_normalization"), *normalization_rules("combined_normalization"),
         *encoding_rules("source_truncated", tokenizer), *encoding_rules("combined_full", tokenizer),
         *encoding_rules("combined_truncated", tokenizer),
@@ -142,7 +189,9 @@ def validate_report_values(reports: DataFrame, tokenizer) -> DataFrame:
         (~_ordered_subset(d("elimination_causes"), S.ELIMINATION_CAUSES), "diagnostics.elimination_causes"),
         (~_ordered_subset(d("indeterminate_reasons"), S.INDETERMINATE_REASONS), "diagnostics.indeterminate_reasons"),
     ]
-    return reports.withColumn("value_codes", F.array_distinct(compact_codes(*rules)))
+    missing = reports.withColumn("missing_codes", F.array_distinct(compact_codes(*presence_rules())))
+    values = F.array_distinct(compact_codes(*rules))
+    return missing.withColumn("value_codes", F.when(F.size("missing_codes") > 0, F.col("missing_codes")).otherwise(values))
 
 
 def revalidate_reports(reports: DataFrame, tokenizer) -> DataFrame:
@@ -274,8 +323,9 @@ def revalidate_reports(reports: DataFrame, tokenizer) -> DataFrame:
         (~F.col("classifications").eqNullSafe(want_classes), "report.classifications"),
         (F.col("status") != want_status, "report.status"),
     ]
-    out = out.withColumn("report_codes", F.array_distinct(compact_codes(*rules)))
-    out = out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = out.withColumn("report_codes", F.when(
+        F.size("missing_codes") == 0, F.array_distinct(compact_codes(*rules))).otherwise(F.array().cast("array<string>")))
+    out = out.drop("missing_codes", *[c for c in out.columns if c.startswith("_")])
     return out.withColumn("first_code", F.get(F.concat("value_codes", "report_codes"), F.lit(0)))
 
 

@@ -8,7 +8,6 @@ from labelscope.functions.bpe import BpeTokenizer
 from labelscope.operators import boundary
 
 DEFAULT_LENGTHS = tuple(range(2, 10))
-MAX_GRID_VALUES = 512
 # --- fixed values: one letter per primary class ------------------------------
 CLASS_LETTERS = {
     "aligned": "A", "boundary_drift": "D", "cross_boundary_token": "X",
@@ -18,8 +17,6 @@ CLASS_LETTERS = {
 
 
 def _each(values) -> Column:
-    if len(values) > MAX_GRID_VALUES:
-        raise ValueError("a grid dimension is a short list of parameters")
     return F.explode(F.array(*map(F.lit, values)))
 
 

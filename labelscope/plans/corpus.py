@@ -8,31 +8,71 @@ from pyspark.sql import functions as F
 
 from labelscope import schemas as S
 from labelscope.functions.arrays import let
-from labelscope.operators.contract import conversation_code, message_code
+from labelscope.operators.contract import conversation_code, message_code, validate_traces
+
+
+#: Ids of over-long conversations are broadcast up to this many, and joined by shuffle beyond.
+BROADCAST_IDS = 1_000_000
+#: Turns of a conversation that are ordered in one task.
+TURN_BLOCK = 4096
 
 
 def assemble_conversations(turns: DataFrame) -> DataFrame:
     """``example_id, conv_id, messages, error_code``, one row per conversation.
 
-    The contract allows 64 messages, so a conversation is settled by its first
-    65: the row-number limit runs inside every map task before the one exchange
-    on ``conv_id``, and no group grows past it however hot its key is. A text
-    over the message limit is known to be a reject and is not shuffled.
+    Turns are counted first, on the key alone. A conversation past the contract's
+    64 messages is a reject with a code and no messages, and its texts never
+    move; every other conversation is gathered whole, in one exchange.
     """
-    coded = turns.select(
-        "conv_id", "turn", "role",
-        F.when(F.octet_length("text") <= S.MAX_MESSAGE_BYTES, F.col("text")).alias("content"),
-        F.octet_length("text").alias("bytes"),
-        message_code(F.col("role"), F.col("text")).alias("code"),
-    )
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    head = coded.withColumn("n", F.row_number().over(order)).where(F.col("n") <= S.MAX_MESSAGES + 1)
-    grouped = head.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "role", "content", "bytes", "code"))).alias("messages"))
-    return grouped.select(
-        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("example_id"),
-        "conv_id", "messages", conversation_code(F.col("messages")).alias("error_code"),
-    )
+    limit = S.MAX_MESSAGES
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    long = sizes.where(F.col("n") > limit).select("conv_id")
+    found = long.limit(BROADCAST_IDS + 1).count()
+    if found:
+        ids = long.withColumnRenamed("conv_id", "_long")
+        ids = F.broadcast(ids) if found <= BROADCAST_IDS else ids
+        turns = turns.join(ids, F.col("conv_id").eqNullSafe(F.col("_long")), "left_anti")
+    coded = turns.select("conv_id", F.struct(
+        "turn", "role", F.col("text").alias("content"), F.octet_length("text").alias("bytes"),
+        message_code(F.col("role"), F.col("text")).alias("code")).alias("m"))
+    grouped = coded.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
+    whole = grouped.select("conv_id", "messages", conversation_code(F.col("messages")).alias("error_code"))
+    if found:
+        whole = whole.unionByName(long.select("conv_id", F.lit("messages.count").alias("error_code")), allowMissingColumns=True)
+    return whole.select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("example_id"), "conv_id", "messages", "error_code")
+
+
+def _in_blocks(turns: DataFrame) -> tuple[DataFrame, Window]:
+    """Turns with their ``block`` of a conversation, and the order inside one."""
+    blocked = turns.withColumn("block", F.floor(F.col("turn") / TURN_BLOCK))
+    return blocked, Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+
+
+def turn_orders(turns: DataFrame) -> DataFrame:
+    """``conv_id, error_code``: the turn-order rule on conversations of any length.
+
+    Places come from the order inside a block of turns and the number of turns in
+    earlier blocks, so that a long conversation spreads over tasks.
+    """
+    blocked, inside = _in_blocks(turns.select("conv_id", "turn", "role", "text"))
+    placed = blocked.select("conv_id", "block", "role", (F.row_number().over(inside) - 1).alias("i"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("conv_id", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("i") == 0, F.col("role"))).alias("first"))
+    head = F.first("first").over(Window.partitionBy("conv_id").orderBy("block"))
+    starts = blocks.select(
+        F.col("conv_id").alias("_conv"), F.col("block").alias("_block"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), head.alias("first"))
+    here = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("block").eqNullSafe(F.col("_block"))
+    rows = placed.join(starts, here).select(
+        "conv_id", "role", (F.col("i") + F.col("before")).alias("i"),
+        F.when(F.col("first") == "system", 1).otherwise(0).alias("skip"))
+    expected = F.when(F.pmod(F.col("i") - F.col("skip"), F.lit(2)) == 0, "user").otherwise("assistant")
+    fits = F.coalesce(F.when(F.col("i") < F.col("skip"), True).otherwise(F.col("role") == expected), F.lit(False))
+    # Pairs to the end: an even number of turns follows the system turn, and at least two.
+    rest = F.count(F.lit(1)) - F.max("skip")
+    return rows.groupBy("conv_id").agg(
+        F.when(~(F.bool_and(fits) & (rest > 0) & (rest % 2 == 0)), "messages.turn_order").alias("error_code"))
 
 
 def words(text: Column) -> Column:
@@ -84,27 +124,34 @@ def conversation_traces(conversations: DataFrame, pad_to: int = 8) -> DataFrame:
     )
 
 
+def coded_traces(turns: DataFrame) -> DataFrame:
+    """Traces of the conversations that meet the contract, each with its own code."""
+    return validate_traces(conversation_traces(assemble_conversations(turns).where(F.col("error_code").isNull())))
+
+
 def valid_traces(turns: DataFrame) -> DataFrame:
-    """Traces of the conversations that meet the contract."""
-    return conversation_traces(assemble_conversations(turns).where(F.col("error_code").isNull()))
+    """Traces that meet the contract, as their conversations do."""
+    return coded_traces(turns).where(F.col("error_code").isNull()).drop("error_code")
 
 
 def reply_pairs(turns: DataFrame, max_length: int = 512) -> DataFrame:
-    """User turns with the assistant turn that follows, as boundary cases.
+    """User turns that the next existing turn answers as assistant, as boundary cases.
 
-    A reply is keyed by the turn it answers, so both halves meet on
-    ``(conv_id, turn)`` in one exchange and a hot conversation spreads out.
+    Turns follow each other inside blocks of a conversation; the last turn of a
+    block looks at the first one of the next block there is, so a hot
+    conversation spreads over tasks.
     """
-    asks = F.col("role") == "user"
-    keyed = turns.where(F.col("role").isin("user", "assistant")).select(
-        "conv_id",
-        F.when(asks, F.col("turn")).otherwise(F.col("turn") - 1).alias("turn"),
-        F.when(asks, F.col("text")).alias("source"),
-        F.when(~asks, F.col("text")).alias("target"),
-    )
-    paired = keyed.groupBy("conv_id", "turn").agg(F.max("source").alias("source"), F.max("target").alias("target"))
-    return paired.where(F.col("source").isNotNull() & F.col("target").isNotNull()).select(
+    blocked, inside = _in_blocks(turns.select("conv_id", "turn", "role", "text"))
+    ahead = blocked.select(
+        "*", F.lead(F.struct("role", "text")).over(inside).alias("reply"), F.row_number().over(inside).alias("n"))
+    asks = ahead.where((F.col("role") == "user") & F.col("text").isNotNull())
+    heads = ahead.where("n = 1").select("conv_id", "block", F.struct("role", F.when(F.col("role") == "assistant", F.col("text")).alias("text")).alias("head"))
+    following = heads.select("conv_id", "block", F.lead("head").over(Window.partitionBy("conv_id").orderBy("block")).alias("reply"))
+    last = asks.where(F.col("reply").isNull()).drop("reply").join(following.where("reply.role = 'assistant'"), ["conv_id", "block"])
+    columns = ["conv_id", "turn", "text", "reply"]
+    paired = asks.where("reply.role = 'assistant'").select(*columns).union(last.select(*columns))
+    return paired.where(F.col("reply.text").isNotNull()).select(
         "conv_id", "turn",
         F.concat(F.lit("pair-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("case_id"),
-        "source", "target", F.lit(max_length).alias("max_length"),
+        F.col("text").alias("source"), F.col("reply.text").alias("target"), F.lit(max_length).alias("max_length"),
     )

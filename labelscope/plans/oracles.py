@@ -29,10 +29,13 @@ codes AS (
   FROM flags JOIN orders USING (conv_id))"""
 
 _TOKENS = """,
-valid AS (SELECT conv_id, 'conv-' || conv_id AS example_id FROM codes WHERE error_code IS NULL),
-msg AS (
+sound AS (SELECT conv_id, 'conv-' || conv_id AS example_id FROM codes WHERE error_code IS NULL),
+sound_msg AS (
   SELECT c.conv_id, v.example_id, c.i, c.role, c.text, regexp_extract_all(c.text, '[^ \\n\\t\\r]+') AS w
-  FROM coded c JOIN valid v USING (conv_id)),
+  FROM coded c JOIN sound v USING (conv_id)),
+valid AS (
+  SELECT conv_id, example_id FROM sound_msg GROUP BY ALL HAVING ((2 + sum(2 + len(w)) + 7) // 8) * 8 <= 4096),
+msg AS (SELECT m.* FROM sound_msg m JOIN valid USING (conv_id)),
 cells AS (
   SELECT example_id, -1 AS i, 0 AS k, 1 AS token, 'boundary' AS cat FROM valid
   UNION ALL SELECT example_id, i, 0, CASE role WHEN 'system' THEN 10 WHEN 'user' THEN 20 ELSE 30 END, 'boundary' FROM msg
@@ -57,9 +60,10 @@ message_spans AS (
 
 _PAIRS = """
 pairs AS (
-  SELECT u.conv_id, u.turn, 'pair-' || u.conv_id || '-' || u.turn AS case_id, u.text AS source, a.text AS target
-  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-  WHERE u.role = 'user' AND a.role = 'assistant')"""
+  SELECT conv_id, turn, 'pair-' || conv_id || '-' || turn AS case_id, text AS source, next_text AS target
+  FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM {turns}
+        WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  WHERE role = 'user' AND next_role = 'assistant' AND text IS NOT NULL AND next_text IS NOT NULL)"""
 
 _PATTERN = "(?s)the|th|ing|in|er|."
 _ID = ("CASE {p} WHEN 'th' THEN 2 WHEN 'the' THEN 3 WHEN 'in' THEN 4 WHEN 'ing' THEN 5 WHEN 'er' THEN 6 "
@@ -126,18 +130,25 @@ def _trace(select: str, turns: str = "conversations", extra: str = "") -> str:
     return "WITH " + _CODED.replace("{turns}", turns) + _TOKENS + extra + " " + select
 
 
-def _pair(select: str, extra: str = "") -> str:
-    return "WITH " + _PAIRS + extra + " " + select
+def _pair(select: str, extra: str = "", turns: str = "conversations") -> str:
+    return "WITH " + _PAIRS.replace("{turns}", turns) + extra + " " + select
 
 
 def _report(select: str, lengths: str = "256") -> str:
-    return "WITH " + _PAIRS + _ENCODED + _OWNED + _CUT.replace("{lengths}", lengths) + " " + select
+    return "WITH " + _PAIRS.replace("{turns}", "conversations") + _ENCODED + _OWNED + _CUT.replace("{lengths}", lengths) + " " + select
 
 
 _QUIET = ("(SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 = 0 THEN '' "
           "ELSE text END AS text FROM conversations)")
 _LONG = ("(SELECT conv_id, turn + d AS turn, role, repeat('x', (8000 + conv_id % 900)::INT) AS text "
          "FROM conversations, (VALUES (0), (100)) AS v(d))")
+_STRETCHED = """(SELECT conv_id, turn * 3 + conv_id % 5 AS turn, role, text FROM conversations WHERE conv_id % 3 <> 0
+  UNION ALL SELECT -1 - conv_id % 2, conv_id * 64 + turn + k * 1000000, role, text
+    FROM conversations, range(30) AS r(k) WHERE conv_id % 3 = 0
+  UNION ALL SELECT c, t, role, text FROM (
+    SELECT c, conv_id * 2 + turn AS t, role, text, row_number() OVER (PARTITION BY c ORDER BY conv_id * 2 + turn) AS n
+    FROM conversations, (VALUES (-65), (-66)) AS v(c) WHERE turn < 2 AND role IN ('user', 'assistant') AND conv_id < 40) WHERE n <= -c)"""
+_SHORT_WORDS = "(SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN repeat('a ', 2100) ELSE text END AS text FROM conversations)"
 _TEN = "(substr(example_id, 6)::BIGINT) % 10"
 
 
@@ -157,8 +168,8 @@ ex AS (
 seq AS (SELECT *, {_INPUT_IDS} AS ids, least(len(sp0) + 1, 256) AS cutoff FROM ex),
 train AS (SELECT *, list_transform(ids, lambda t, i: CASE WHEN i <= cutoff THEN -100 ELSE t END) AS labels FROM seq)"""
 _BATCHES = _EXAMPLES + """,
-ranked AS (SELECT *, (conv_id * 64 + turn) // 4096 AS shard,
-    (row_number() OVER (PARTITION BY (conv_id * 64 + turn) // 4096 ORDER BY conv_id * 64 + turn) - 1) // 8 AS batch FROM train),
+sharded AS (SELECT *, (floor(conv_id / 64) * 1048576 + floor(turn / 4096))::BIGINT AS shard FROM train),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY conv_id, turn) - 1) // 8 AS batch FROM sharded),
 wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch) AS width FROM ranked)"""
 
 _CASE_DOC = ("'{\"case_id\":' || to_json(case_id)::VARCHAR || ',\"max_length\":' || {n} || "
@@ -202,6 +213,14 @@ def sql() -> dict[str, str]:
     out["content_limits"] = _conv("SELECT conv_id, error_code FROM codes", _LONG)
     out["conversation_codes"] = _conv("SELECT conv_id, error_code FROM codes")
     out["turn_order_codes"] = _conv("SELECT conv_id, CASE WHEN NOT ok THEN 'messages.turn_order' END AS error_code FROM orders")
+    out["long_conversation_codes"] = _conv(
+        "SELECT conv_id, error_code, CASE WHEN n <= 64 THEN n ELSE 0 END AS messages FROM codes JOIN (SELECT conv_id, n FROM flags) USING (conv_id)", _STRETCHED)
+    out["long_turn_orders"] = _conv("SELECT conv_id, CASE WHEN NOT ok THEN 'messages.turn_order' END AS error_code FROM orders", _STRETCHED)
+    out["gapped_reply_pairs"] = _pair(
+        "SELECT conv_id, turn, md5(source) AS source_md5, md5(target) AS target_md5 FROM pairs", turns=_STRETCHED)
+    out["gated_traces"] = _conv(
+        "SELECT 'conv-' || conv_id AS example_id, CASE WHEN ((2 + sum(2 + len(regexp_extract_all(text, '[^ \\n\\t\\r]+'))) + 7) // 8) * 8 > 4096 "
+        "THEN 'token_ids.count' END AS error_code FROM coded JOIN codes USING (conv_id) WHERE error_code IS NULL GROUP BY conv_id", _SHORT_WORDS)
     out["quarantine_counts"] = _conv("SELECT coalesce(error_code, 'valid') AS outcome, count(*) AS conversations FROM codes GROUP BY 1")
     out["redacted_rejects"] = _conv(
         "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'internal.error' ELSE error_code END AS error_code "
@@ -321,9 +340,9 @@ def sql() -> dict[str, str]:
         "least(cutoff, len(ids))::BIGINT AS masked FROM train", _EXAMPLES)
     padded = "list_concat(labels, list_transform(range(0, width - len(ids)), lambda x: -100))"
     out["padded_batches"] = _pair(
-        f"SELECT case_id, shard, batch, width, md5({_joined(padded)}) AS labels_md5 FROM wide", _BATCHES)
+        f"SELECT case_id, shard, batch, width, md5({_joined(padded)}) AS labels_md5 FROM wide", _BATCHES, _STRETCHED)
     out["attention_masks"] = _pair(
-        "SELECT case_id, len(list_filter(ids, lambda t: t <> 0)) AS attended, width FROM wide", _BATCHES)
+        "SELECT case_id, len(list_filter(ids, lambda t: t <> 0)) AS attended, width FROM wide", _BATCHES, _STRETCHED)
     out["sampled_examples"] = _pair("SELECT case_id, source, target FROM pairs ORDER BY md5(case_id || ':7'), case_id LIMIT 3")
     apart = "replace(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)), 'ç', 'c' || chr(807))"
     out["nfc_documents"] = f"SELECT doc_id, md5(nfc_normalize({apart})) AS nfc_md5 FROM documents"
@@ -344,7 +363,7 @@ def sql() -> dict[str, str]:
     out["encodings"] = _pair(
         f"SELECT case_id, {cut('(' + _list_ids('sp') + ')[1:256]')} AS source_truncated_md5, {cut(_list_ids('cp'))} AS combined_full_md5, "
         f"{cut('(' + _list_ids('cp') + ')[1:256]')} AS combined_truncated_md5, {cut(ends)} AS offsets_md5, true AS exact_prefix FROM enc", _ENCODED)
-    out["token_ownership"] = "WITH " + _PAIRS + _ENCODED + _OWNED + (
+    out["token_ownership"] = "WITH " + _PAIRS.replace("{turns}", "conversations") + _ENCODED + _OWNED + (
         " SELECT case_id, 1::BIGINT AS injected_prefix, count(*) FILTER (owner = 'source') AS source, count(*) FILTER (owner = 'target') AS target, "
         "count(*) FILTER (owner = 'cross_boundary') AS cross_boundary, 0::BIGINT AS ambiguous FROM owned GROUP BY 1")
     out["nonprefix_ownership"] = _report(
@@ -357,7 +376,7 @@ def sql() -> dict[str, str]:
         "full_n - kept_n AS truncated_target_token_count, causes AS elimination_causes, reasons AS indeterminate_reasons FROM reports")
     out["boundary_classes"] = _report("SELECT case_id, stat AS status, prim AS primary_classification, classes AS classifications FROM reports")
     out["mask_positions"] = _report("SELECT case_id, least(cutoff, kept) AS masked, kept - least(cutoff, kept) AS supervised FROM reports")
-    swapped = _PAIRS + f", shifted AS (SELECT conv_id, turn, case_id, source || 'e' AS source, target AS target FROM pairs)"
+    swapped = _PAIRS.replace("{turns}", "conversations") + f", shifted AS (SELECT conv_id, turn, case_id, source || 'e' AS source, target AS target FROM pairs)"
     # After NFC the accent folds into the source's last e: the composed token is the only one across.
     out["unicode_boundary_classes"] = "WITH " + swapped + f""",
 enc AS (SELECT case_id, length(source) AS b,
@@ -371,7 +390,10 @@ enc AS (SELECT case_id, length(source) AS b,
         "SELECT CASE WHEN least(cutoff, kept) % 4 = 1 THEN 'report.legacy_cutoff' WHEN least(cutoff, kept) % 4 = 2 THEN 'report.retained_target_count' "
         "WHEN least(cutoff, kept) % 4 = 3 THEN CASE WHEN stat = 'indeterminate' THEN 'none' ELSE 'report.status' END ELSE 'none' END AS first_code, "
         "count(*) AS reports FROM reports GROUP BY 1")
-    out["report_violation_rows"] = _report("SELECT case_id, max_length::INT AS max_length, '' AS code FROM reports WHERE false")
+    out["report_violation_rows"] = _report(
+        "SELECT case_id, ['report.status', 'legacy_mask.cutoff', 'normalization.raw_codepoint_count', 'attribution.ownership', "
+        "'report.full_attribution.length', 'diagnostics.full_target_token_count'][1 + least(cutoff, kept) % 7] AS first_code "
+        "FROM reports WHERE least(cutoff, kept) % 7 < 6")
     blob = "encode(text)"
     lines = ("(len(regexp_extract_all({t}, '\\r\\n|\\n|\\r')) + CASE WHEN regexp_matches({t}, '[^\\r\\n]$') THEN 1 ELSE 0 END)::BIGINT")
     git = "sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text))"

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,8 +132,43 @@ def conversation_codes(spark, d):
 
 
 def turn_order_codes(spark, d):
-    return _conversations(spark, d).select(
-        "conv_id", V.turn_order_code(F.transform("messages", lambda m: m["role"])).alias("error_code"))
+    return corpus.turn_orders(_turns(spark, d))
+
+
+def _stretched(spark, d) -> DataFrame:
+    """The turn table with gaps between turns, and with conversations of 65, 66 and thousands of turns.
+
+    Every third conversation goes into one of a few long ones, repeated at far
+    apart turns; two more take 65 and 66 turns of the table in order.
+    """
+    turns = _turns(spark, d)
+    gapped = turns.where("conv_id % 3 <> 0").withColumn("turn", F.col("turn") * 3 + F.col("conv_id") % 5)
+    long = turns.where("conv_id % 3 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29)))).select(
+        (-1 - F.col("conv_id") % 2).alias("conv_id"), (F.col("conv_id") * 64 + F.col("turn") + F.col("k") * 1_000_000).alias("turn"), "role", "text")
+    fixed = turns.where("turn < 2 and role in ('user', 'assistant') and conv_id < 40").withColumn("c", F.explode(F.expr("array(-65L, -66L)"))).select(
+        F.col("c").alias("conv_id"), (F.col("conv_id") * 2 + F.col("turn")).alias("turn"), "role", "text")
+    size = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return gapped.unionByName(long).unionByName(
+        fixed.withColumn("_n", size).where("_n <= -conv_id").drop("_n"))
+
+
+def long_conversation_codes(spark, d):
+    return corpus.assemble_conversations(_stretched(spark, d)).select("conv_id", "error_code", F.coalesce(F.size("messages"), F.lit(0)).cast("bigint").alias("messages"))
+
+
+def long_turn_orders(spark, d):
+    return corpus.turn_orders(_stretched(spark, d))
+
+
+def gapped_reply_pairs(spark, d):
+    return corpus.reply_pairs(_stretched(spark, d), LIMIT).select(
+        "conv_id", "turn", F.md5("source").alias("source_md5"), F.md5("target").alias("target_md5"))
+
+
+def gated_traces(spark, d):
+    """Traces of conversations with many short words: over the token limit, they are no audit's input."""
+    words = F.when(F.col("conv_id") % 5 == 0, F.repeat(F.lit("a "), 2100)).otherwise(F.col("text"))
+    return corpus.coded_traces(_turns(spark, d).withColumn("text", words)).select("example_id", "error_code")
 
 
 def quarantine_counts(spark, d):
@@ -379,9 +414,14 @@ def masked_examples(spark, d):
 
 
 def _batches(spark, d):
-    pairs = _pairs(spark, d).withColumn("row", F.col("conv_id") * 64 + F.col("turn"))
-    rows = P.preprocess_pairs(pairs, TOKENIZER, LIMIT, keep=("case_id", "row"))
-    return P.pad_collate(P.assign_batches(rows, "row", batch_size=8, shard_width=4096), PAD)
+    pairs = corpus.reply_pairs(_stretched(spark, d), LIMIT)
+    rows = P.preprocess_pairs(pairs, TOKENIZER, LIMIT, keep=("case_id", "conv_id", "turn"))
+    return P.pad_collate(P.assign_batches(rows, ("conv_id", "turn"), batch_size=8, shard=batch_shard()), PAD)
+
+
+def batch_shard():
+    """Sixty-four conversations, or 4096 turns of one: numbers that meet merge two shards, and no more."""
+    return F.floor(F.col("conv_id") / 64) * (1 << 20) + F.floor(F.col("turn") / 4096)
 
 
 def padded_batches(spark, d):
@@ -527,8 +567,20 @@ def report_violations(spark, d):
 
 
 def report_violation_rows(spark, d):
+    """Six kinds of damage to stored reports, from missing fields to attribution, and the first code of each."""
     stored = reliable_checkpoint(_reports(spark, d))
-    return R.report_violations(stored, TOKENIZER)
+    k = F.size("legacy_mask.masked_positions") % 7
+    put = lambda at, section, field, value: {section: F.when(k == at, F.col(section).withField(field, value)).otherwise(F.col(section))}
+    tokens = F.col("full_attribution")
+    changed = stored.withColumns({
+        "status": F.when(k != 0, F.col("status")),
+        **put(1, "legacy_mask", "cutoff", F.lit(None).cast("int")),
+        **put(2, "source_normalization", "raw_codepoint_count", F.lit(-1)),
+        **put(5, "diagnostics", "full_target_token_count", F.lit(-1)),
+        "full_attribution": F.when(k == 3, F.transform(tokens, lambda t, i: F.when(i == 0, t.withField("ownership", F.lit("nobody"))).otherwise(t)))
+        .when(k == 4, F.slice(tokens, F.lit(1), F.size(tokens) - 1)).otherwise(tokens),
+    })
+    return R.revalidate_reports(changed, TOKENIZER).where(F.col("first_code").isNotNull()).select("case_id", "first_code")
 
 
 def _inventory(spark, d):
@@ -612,6 +664,7 @@ def input_matrix(spark, d):
 QUERIES = (
     sft_prompts, concatenated_pairs, case_identities, case_codes,
     message_codes, content_limits, conversation_codes, turn_order_codes, quarantine_counts, redacted_rejects,
+    long_conversation_codes, long_turn_orders, gapped_reply_pairs, gated_traces,
     trace_exit_codes, trace_codes, trace_part_codes, trace_document_codes, case_document_codes,
     trace_summaries, padding_starts, eligible_positions, boundary_positions, token_category_counts, built_labels,
     label_codes, label_counts, supervised_positions, supervised_runs, label_digests, empty_targets,

@@ -3,6 +3,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixtures import CASES, MATRIX_TEXTS
 from labelscope import schemas as S
@@ -124,3 +125,45 @@ def test_manifest_and_training_rows(spark, tmp_path):
     spark.createDataFrame([("i", "o", 1)], "instruction string, output string, extra int").write.parquet(str(tmp_path / "sft"))
     rows = tables.read_sft(spark, str(tmp_path / "sft"))
     assert rows.columns == ["instruction", "output"] and rows.count() == 1
+
+
+def _without(schema, at=()):
+    """Every field below ``schema``, as a path of names; ``[]`` steps into an array."""
+    for f in schema.fields:
+        here = (*at, f.name)
+        yield here
+        kind = f.dataType
+        if isinstance(kind, T.StructType):
+            yield from _without(kind, here)
+        elif isinstance(kind, T.ArrayType):
+            yield (*here, "[]")
+            if isinstance(kind.elementType, T.StructType):
+                yield from _without(kind.elementType, (*here, "[]"))
+
+
+def test_every_missing_field_has_a_code(spark, stored):
+    row = stored.where("case_id = 'aligned'").first().asDict(recursive=True)
+
+    def cleared(value, path):
+        if not path:
+            return None
+        if path[0] == "[]":
+            return [cleared(value[0], path[1:]), *value[1:]] if value else value
+        return {**value, path[0]: cleared(value[path[0]], path[1:])}
+
+    def nullable(kind):
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+        return T.ArrayType(nullable(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
+
+    def filled(path):
+        value = row
+        for step in path:
+            value = (value[0] if value else None) if step == "[]" else value[step]
+        return value is not None
+
+    paths = [p for p in _without(stored.schema) if filled(p) and p != ("diagnostics", "oracle_cutoff")]
+    assert len(paths) > 60
+    damaged = spark.createDataFrame([cleared(row, p) for p in paths], nullable(stored.schema)).withColumn("n", F.monotonically_increasing_id())
+    got = R.revalidate_reports(reliable_checkpoint(damaged), TOKENIZER).orderBy("n").select("first_code").collect()
+    assert [p for p, r in zip(paths, got, strict=True) if r.first_code is None] == []

@@ -1,19 +1,25 @@
 """Byte-pair pieces and ids as Spark expressions."""
 
-from collections.abc import Mapping
+import heapq
+import re
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from labelscope.functions.arrays import empty, let
 
-JVM_VOCAB_LIMIT = 64
-CLOSURE_VOCAB_LIMIT = 1_000_000
-PRIVATE_USE, PRIVATE_USE_END = 0xE000, 0xF8FF
+#: Up to so many merges or pieces an expression spells them out; beyond, a broadcast
+#: table serves an Arrow function. Both give the same pieces and ids.
+EXPRESSION_LIMIT = 64
+#: Distinct chunks whose pieces a task keeps.
+CHUNK_TABLE = 200_000
+PRIVATE_USE = 0xE000
 
 # --- fixed values: the pinned 15-piece vocabulary and its one merge ---------
 PINNED_VOCAB = {
@@ -41,8 +47,6 @@ class BpeTokenizer:
     bos_piece: str = "<bos>"
 
     def __post_init__(self):
-        if len(self.vocab) > CLOSURE_VOCAB_LIMIT:
-            raise ValueError("vocabulary is too large to ship with each task")
         built: set[str] = set()
         for left, right in self.merges:
             for part in (left, right):
@@ -55,14 +59,15 @@ class BpeTokenizer:
     def pieces(self, text: Column) -> Column:
         """Pieces of ``text`` before unknown ones are replaced, lowest rank first.
 
-        Each rank folds its pair into one private-use code point, so a merge is
-        one literal replacement over the whole text and the rest is a split into
-        code points. Texts that already use those code points are marked instead.
+        In a short table each rank folds its pair into one private-use code point,
+        so a merge is one literal replacement over the whole text and the rest is a
+        split into code points; texts that already use those code points are marked
+        instead. A longer table is broadcast and merged by rank per distinct chunk.
         """
         last = PRIVATE_USE + len(self.merges) - 1
-        if last > PRIVATE_USE_END:
-            pieces = self._marked_pieces(text)
-        elif not self.merges:
+        if len(self.merges) > EXPRESSION_LIMIT:
+            return _ranked_pieces(self.merges)(text)
+        if not self.merges:
             pieces = F.split(text, "")
         else:
             reserved = (F.octet_length(text) != F.char_length(text)) & text.rlike(f"[\\x{{{PRIVATE_USE:X}}}-\\x{{{last:X}}}]")
@@ -96,7 +101,7 @@ class BpeTokenizer:
 
     def ids(self, pieces: Column) -> Column:
         """Vocabulary id of every piece."""
-        if len(self.vocab) > JVM_VOCAB_LIMIT:
+        if len(self.vocab) > EXPRESSION_LIMIT:
             known = _dictionary_lookup(dict(self.vocab))(pieces)
             return F.zip_with(known, pieces, lambda i, p: F.coalesce(i, self._unlisted(p)))
         table = F.create_map(*[F.lit(x) for item in self.vocab.items() for x in item])
@@ -120,14 +125,74 @@ class BpeTokenizer:
         return F.when(F.array_contains(ids, F.lit(self.unknown_id).cast("bigint")), replaced).otherwise(pieces)
 
 
+def _shared(value):
+    """``value`` sent once to each executor."""
+    return SparkSession.active().sparkContext.broadcast(value)
+
+
 def _dictionary_lookup(vocab: dict[str, int]):
+    shared = _shared(vocab)
+
     @pandas_udf(T.ArrayType(T.LongType()))
     def lookup(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda row: None if row is None else [vocab.get(p) for p in row])
+        table = shared.value
+        flat = [p for row in rows if row is not None for p in row]
+        codes, distinct = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, int), [])
+        found = np.array([table.get(p) for p in distinct], object)[codes] if flat else codes
+        ends = np.cumsum([0 if row is None else len(row) for row in rows])
+        return pd.Series([None if row is None else found[end - len(row):end] for row, end in zip(rows, ends, strict=True)], dtype=object)
 
     return lookup
 
 
+def merge_by_rank(text: str, ranks: Mapping[tuple[str, str], int]) -> list[str]:
+    """Pieces of a chunk: the lowest-ranked neighbouring pair first, leftmost among equals."""
+    pieces: list[str | None] = list(text)
+    after, before = list(range(1, len(pieces) + 1)), list(range(-1, len(pieces) - 1))
+    heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False)) if (rank := ranks.get((a, b))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if pieces[i] != left or j >= len(pieces) or pieces[j] != right:
+            continue  # one of the two has been merged meanwhile
+        pieces[i], pieces[j] = left + right, None
+        after[i] = k = after[j]
+        if k < len(pieces):
+            before[k] = i
+            if (rank := ranks.get((pieces[i], pieces[k]))) is not None:
+                heapq.heappush(heap, (rank, i, pieces[i], pieces[k]))
+        h = before[i]
+        if h >= 0 and (rank := ranks.get((pieces[h], pieces[i]))) is not None:
+            heapq.heappush(heap, (rank, h, pieces[h], pieces[i]))
+    return [p for p in pieces if p is not None]
+
+
+def _ranked_pieces(merges: tuple[tuple[str, str], ...]):
+    shared = _shared({pair: rank for rank, pair in enumerate(merges)})
+    # Where no merge joins white space to anything else, words are chunks of their own.
+    split = not any(bool(re.search(r"\s", a + b)) and bool(re.search(r"\S", a + b)) for a, b in merges)
+    chunks = re.compile(r"\s+|\S+" if split else r"(?s).+").findall
+
+    @pandas_udf(T.ArrayType(T.StringType()))
+    def pieces(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ranks, known = shared.value, {}
+        for rows in parts:
+            out = []
+            for text in rows:
+                found: list[str] = []
+                for chunk in chunks(text or ""):
+                    if chunk not in known:
+                        if len(known) >= CHUNK_TABLE:
+                            known.clear()
+                        known[chunk] = merge_by_rank(chunk, ranks)
+                    found += known[chunk]
+                out.append(None if text is None else found)
+            yield pd.Series(out, dtype=object)
+
+    return pieces
+
+
 def pinned_tokenizer() -> BpeTokenizer:
     return BpeTokenizer()
 

@@ -155,57 +155,52 @@ def with_policies(traces: DataFrame) -> DataFrame:
     return out.withColumn("labels", build_labels(F.col("trace"), F.col("messages"), F.col("policy")))
 
 
-def internal_violations(audits: DataFrame) -> DataFrame:
-    """Audits of built labels that break an invariant; always empty when correct."""
-    some = lambda c: F.size(c) > 0
-    return audits.where(
-        some("off_policy_supervision_positions") | some("missing_eligible_positions")
-        | ((F.col("policy") == S.ASSISTANT_ONLY)
-           & (some("boundary_leakage_positions") | some("padding_leakage_positions"))))
+def _policy_struct(policy: str, labels: Column) -> Column:
+    """Row-local audit of ``labels`` against a policy, in report form.
 
-
-_POLICY_FIELDS = (
-    "boundary_leakage_positions", "boundary_supervised_token_count", "eligible_token_count", "ignored_token_count",
-    "labels", "labels_sha256", "missing_eligible_positions", "off_policy_supervision_positions",
-    "padding_leakage_positions", "policy", "supervised_runs", "supervised_token_count",
-)
-
-
-def _policy_struct(policy: str) -> Column:
-    """Row-local audit of built labels, in report form."""
-    cells = F.col("_categories")
+    Every list and count is read off the labels; only eligibility comes from the
+    token categories.
+    """
     good = lambda c: (c != "padding") if policy == S.ALL_TOKENS else (c == "assistant")
-    labels = F.zip_with(F.col("trace.token_ids"), cells, lambda t, c: F.when(good(c), t).otherwise(S.IGNORE_INDEX))
-    count = lambda test: F.size(F.filter(cells, test))
-    nothing = empty("int")
-    return let(labels, lambda l: F.struct(
-        nothing.alias("boundary_leakage_positions"),
-        count(lambda c: good(c) & (c == "boundary")).alias("boundary_supervised_token_count"),
-        count(good).alias("eligible_token_count"),
-        count(lambda c: ~good(c)).alias("ignored_token_count"),
-        l.alias("labels"),
-        labels_sha256(l).alias("labels_sha256"),
-        nothing.alias("missing_eligible_positions"),
-        nothing.alias("off_policy_supervision_positions"),
-        nothing.alias("padding_leakage_positions"),
-        F.lit(policy).alias("policy"),
-        supervised_runs(l).alias("supervised_runs"),
-        count(good).alias("supervised_token_count"),
-    ))
-
 
-def audit_traces(traces: DataFrame) -> DataFrame:
+    def report(l: Column) -> Column:
+        cells = F.zip_with(F.col("_categories"), l, lambda c, x: F.struct(
+            c.alias("c"), good(c).alias("e"), (x != S.IGNORE_INDEX).alias("on")))
+        return let(cells, lambda z: body(l, z))
+
+    def body(l: Column, z: Column) -> Column:
+        count = lambda test: F.size(F.filter(z, test))
+        at = lambda test: positions_where(z, lambda x, i: test(x))
+        return F.struct(
+            at(lambda x: x["on"] & ~x["e"] & (x["c"] == "boundary")).alias("boundary_leakage_positions"),
+            count(lambda x: x["on"] & (x["c"] == "boundary")).alias("boundary_supervised_token_count"),
+            count(lambda x: x["e"]).alias("eligible_token_count"),
+            count(lambda x: ~x["on"]).alias("ignored_token_count"),
+            l.alias("labels"),
+            labels_sha256(l).alias("labels_sha256"),
+            at(lambda x: ~x["on"] & x["e"]).alias("missing_eligible_positions"),
+            at(lambda x: x["on"] & ~x["e"]).alias("off_policy_supervision_positions"),
+            at(lambda x: x["on"] & (x["c"] == "padding")).alias("padding_leakage_positions"),
+            F.lit(policy).alias("policy"),
+            supervised_runs(l).alias("supervised_runs"),
+            count(lambda x: x["on"]).alias("supervised_token_count"),
+        )
+
+    return let(labels, report)
+
+
+def audit_traces(traces: DataFrame, labels: dict[str, Column] | None = None) -> DataFrame:
     """One nested audit row per valid trace, both policies inside.
 
-    Built labels supervise exactly the eligible positions, so their leakage
-    lists are empty by construction; :func:`internal_violations` checks that.
+    The labels are those the policies build, or the columns given for a policy.
+    :func:`invariant_violations` says where built labels break an invariant.
     """
+    built = {p: build_labels(F.col("trace"), F.col("messages"), p) for p in S.POLICIES} | (labels or {})
     out = trace_summary(traces).withColumn("_categories", token_categories(F.col("trace"), F.col("messages")))
     out = out.withColumns({
         "empty_assistant_message_indices": empty_assistant_indices(F.col("trace"), F.col("messages")),
         "input_sha256": trace_sha256(F.col("example_id"), F.col("messages"), F.col("trace")),
-        S.ALL_TOKENS: _policy_struct(S.ALL_TOKENS),
-        S.ASSISTANT_ONLY: _policy_struct(S.ASSISTANT_ONLY),
+        **{p: _policy_struct(p, built[p]) for p in S.POLICIES},
     })
     failed = F.size("empty_assistant_message_indices") > 0
     return out.select(
@@ -223,9 +218,20 @@ def audit_traces(traces: DataFrame) -> DataFrame:
     )
 
 
+def invariant_violations(audits: DataFrame) -> DataFrame:
+    """``example_id, policy, code`` where the labels of :func:`audit_traces` do not fit their policy; empty when correct."""
+    each = audits.select("example_id", F.explode(F.array(*[F.col(f"policies.{p}") for p in S.POLICIES])).alias("a"))
+    lists = ("off_policy_supervision_positions", "missing_eligible_positions", "boundary_leakage_positions", "padding_leakage_positions")
+    broken = F.col("a.supervised_token_count") != F.col("a.eligible_token_count")
+    for name in lists:
+        broken = broken | (F.size(f"a.{name}") > 0)
+    return each.where(broken).select("example_id", "a.policy", F.lit("audit.internal_invariant").alias("code"))
+
+
 def audit_report_json(audits: DataFrame) -> DataFrame:
     """Canonical JSON of each audit row and its hash."""
     no = F.lit(False)
+    # The published scope of an audit.
     scope = F.struct(
         no.alias("causal_shift_or_loss_computed"),
         F.lit("caller-supplied-synthetic-pretokenized-json").alias("input_class"),

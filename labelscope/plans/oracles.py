@@ -280,6 +280,10 @@ def sql() -> dict[str, str]:
         "CASE WHEN e IS NULL THEN '' ELSE 'assistant_target.empty' END AS issue_codes FROM quiet", _QUIET, empties)
     out["supplied_label_audit"] = _trace(
         _AUDIT.format(on="cat <> 'padding'").replace(" el", " (cat = 'assistant')") + " FROM tok GROUP BY 1")
+    out["audit_invariants"] = _trace(
+        "SELECT example_id, 'assistant_only' AS policy, 'audit.internal_invariant' AS code, 'damaged' AS labels FROM tok "
+        "WHERE (substr(example_id, 6)::BIGINT) % 3 < 2 GROUP BY example_id "
+        "HAVING any_value(substr(example_id, 6)::BIGINT) % 3 = 0 OR count(*) FILTER (cat = 'assistant') > 0")
     out["trace_audit_rollup"] = _trace(
         "SELECT CASE WHEN e IS NULL THEN 'pass' ELSE 'fail' END AS status, count(DISTINCT example_id) AS traces, "
         "count(*) FILTER (cat = 'assistant') AS supervised_token_count, count(*) FILTER (cat <> 'assistant') AS ignored_token_count, "

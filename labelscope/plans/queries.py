@@ -361,6 +361,22 @@ def trace_audit_rollup(spark, d):
         F.sum("trace_summary.padding_token_count").alias("padding_token_count"))
 
 
+def _damaged_audits(spark, d):
+    """Audits of labels whose first position is supervised, and whose first target is not, in every third trace."""
+    rows = _traces(spark, d)
+    built = L.build_labels(F.col("trace"), F.col("messages"), S.ASSISTANT_ONLY)
+    first = F.array_min(L.supervised_positions(built))
+    hit = F.regexp_extract("example_id", r"(\d+)", 1).cast("bigint") % 3
+    changed = F.transform(built, lambda l, i: F.when((hit == 0) & (i == 0), 1).when((hit == 1) & (i == first), S.IGNORE_INDEX).otherwise(l))
+    return L.audit_traces(rows, {S.ASSISTANT_ONLY: changed})
+
+
+def audit_invariants(spark, d):
+    """No audit of built labels breaks an invariant, and damaged labels do."""
+    sound = L.invariant_violations(L.audit_traces(_traces(spark, d))).withColumn("labels", F.lit("built"))
+    return sound.unionByName(L.invariant_violations(_damaged_audits(spark, d)).withColumn("labels", F.lit("damaged")))
+
+
 def trace_audit_reports(spark, d):
     return L.audit_report_json(L.audit_traces(_traces(spark, d))).select("example_id", "status", "audit_sha256")
 
@@ -668,7 +684,7 @@ QUERIES = (
     trace_exit_codes, trace_codes, trace_part_codes, trace_document_codes, case_document_codes,
     trace_summaries, padding_starts, eligible_positions, boundary_positions, token_category_counts, built_labels,
     label_codes, label_counts, supervised_positions, supervised_runs, label_digests, empty_targets,
-    supplied_label_audit, trace_audit_rollup, trace_audit_reports, trace_digests, injected_faults, policy_comparison,
+    audit_invariants, supplied_label_audit, trace_audit_rollup, trace_audit_reports, trace_digests, injected_faults, policy_comparison,
     token_lengths, masked_examples, padded_batches, attention_masks, sampled_examples,
     nfc_documents, stripped_documents, document_pieces, normalization_snapshots, encodings, token_ownership,
     nonprefix_ownership, boundary_diagnostics, boundary_classes, mask_positions, unicode_boundary_classes, report_digests,

@@ -192,6 +192,26 @@ def test_merge_table_is_checked():
         bpe.BpeTokenizer(vocab={"abc": 2}, merges=(("ab", "c"),))
 
 
+@pytest.mark.parametrize("n", [10, 64, 65, 5000])
+def test_pieces_on_both_sides_of_the_switch(spark, n):
+    """Merges by rule, against an independent library, over whole documents."""
+    models = pytest.importorskip("tokenizers.models")
+    letters = "etaoinshrdlucmfwygpbvkxqjz"
+    two = [(a, b) for a in letters for b in letters]
+    merges = (two + [(a + b, c) for a, b in two for c in letters])[:n]
+    tokenizer = bpe.open_text_tokenizer(tuple(merges))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select("text")
+    odd = spark.createDataFrame([("",), (None,), ("theth  \n the\ue000th",), ("et" * 3000,)], "text string")
+    rows = docs.union(odd).select("text", tokenizer.pieces(F.col("text")).alias("p"), tokenizer.ids(tokenizer.pieces(F.col("text"))).alias("i")).collect()
+    vocab = {c: i for i, c in enumerate(sorted({c for r in rows for c in r.text or ""} | set(letters)))}
+    vocab |= {a + b: len(vocab) + i for i, (a, b) in enumerate(merges)}
+    library = models.BPE(vocab=vocab, merges=merges)
+    for r in rows:
+        assert r.p == (None if r.text is None else [t.value for t in library.tokenize(r.text)] if r.text else [])
+        if r.text is not None:
+            assert r.i == [tokenizer.vocab.get(p, 1024 + ord(p[0])) for p in r.p]
+
+
 def test_large_vocabulary_lookup(spark):
     vocab = {"<unk>": 0, "<bos>": 1, **{chr(0x4E00 + i): i + 2 for i in range(100)}}
     tokenizer = bpe.BpeTokenizer(vocab=vocab, merges=())

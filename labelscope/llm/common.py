@@ -71,7 +71,8 @@ class WordTable:
         return self.rows[at]
 
     def ids(self, words: Sequence[bytes]) -> np.ndarray:
-        new = list(set(words).difference(self.index))
+        known = self.index
+        new = list({w for w in words if w not in known})
         if new or self.rows is None:
             if len(self.index) + len(new) > self.limit:
                 self.index, self.rows, new = {}, None, list(set(words))

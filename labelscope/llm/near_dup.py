@@ -5,14 +5,15 @@
 2. Representatives are banded: ``BANDS`` bands of ``ROWS`` MinHash values. A pair
    at the similarity threshold shares no band with probability
    (1 - 0.8 ** ROWS) ** BANDS, about 3e-6.
-3. In a bucket every member is paired with the smallest one. Signatures are
+3. A document is paired with the smallest one of its buckets. Signatures are
    compared batch by batch; a pair is pruned once its posterior chance to reach
    the threshold is under ``MISS`` (uniform prior). Survivors are confirmed on
    their full sets, and links make components.
 4. Where a bucket still holds several components, all members outside its largest
-   one are compared with all others in blocks, again batch by batch; survivors
-   are confirmed and components made again. So no link between members of a
-   bucket is lost, and members that are joined already cost nothing.
+   one are compared with all others, as pairs or, in buckets over ``SMALL``, in
+   blocks, again batch by batch; survivors are confirmed and components made
+   again. So no link between members of a bucket is lost, and members that are
+   joined already cost nothing.
 
 No group meets in one task: centres and buckets are split into blocks or left to
 joins that split by size, and pairs inside a joined group are never made.
@@ -33,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import WordTable, cut, table, utf8
+from labelscope.llm.common import cut, table, utf8
 from labelscope.llm.components import components
-from labelscope.llm.quality import windows, word_table
+from labelscope.llm.quality import windows, word_hashes
 
 BANDS, ROWS = 42, 6
 VALUES = BANDS * ROWS
@@ -44,21 +45,22 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Values compared at a time, and the chance to lose a true pair in a comparison.
 BATCH, MISS = 42, 1e-6
 #: Members of a bucket, or pairs of a centre, that meet in one group.
-BLOCK = 1024
+BLOCK = 256
+#: Pairs of buckets up to this size are made; those of larger ones are compared in blocks.
+SMALL = 16
 _PREPARED = "doc_id long, n_shingles long, key binary, signature binary"
-_SETS = "a long, b long, salt int, own binary"
 
 
 # --- sets and signatures ---------------------------------------------------------
 
 
-def shingle_set(words: list[bytes], hashes: WordTable, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hashes.values(words)
-    if len(words) < size:
-        return windows(h ^ np.uint64(len(words)), len(words))  # unlike a shingle of ``size`` words
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text, A-Z in lower case."""
+    h = word_hashes(text.lower())
+    if not len(h):
+        return h
+    if len(h) < size:
+        return windows(h ^ np.uint64(len(h)), len(h))  # unlike a shingle of ``size`` words
     w = windows(h, size)
     w.sort()
     return w[np.concatenate([[True], w[1:] != w[:-1]])]
@@ -81,19 +83,15 @@ def signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
     return (least ^ (least >> np.uint32(16))).astype(np.uint16)
 
 
-def split_words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def prepare(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, key, signature``; key and signature are NULL for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (factors, shifts) = word_table(), _permutations()
+        factors, shifts = _permutations()
         for batch in batches:
             sizes, keys, signatures = [], [], []
             for text in batch["text"].to_pylist():
-                s = shingle_set(split_words(text), hashes, size)
+                s = shingle_set(text, size)
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 signatures.append(signature(s, factors, shifts).tobytes() if len(s) else None)
@@ -161,11 +159,23 @@ def pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.where(check("_left", "_right")).select("a", "b").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, own``: the packed full sets of the documents in ``nodes``; the texts move once."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8(F.col("text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t, size).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(own, pa.binary())], ["node", "own"])
+
+    return texts.join(nodes.select("node").distinct(), "node").select("node", "text").mapInArrow(run, "node long, own binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``a, b`` whose full shingle sets reach the threshold.
 
-    Texts meet their pairs once. Sets then gather by ``a``: its own first, those
-    of its partners after; a busy ``a`` is repeated over blocks of its partners.
+    Sets gather by ``a``: its own first, those of its partners after; a busy ``a``
+    is repeated over blocks of its partners.
     """
     pairs = cut(pairs)
     salts = pairs.groupBy("a").agg((1 + F.floor((F.count("*") - 1) / BLOCK)).cast("int").alias("salts"))
@@ -173,17 +183,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     # b is NULL in the row that brings the set of a itself.
     owners = salts.select(F.col("a").alias("node"), "a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     wanted = owners.union(salted.select(F.col("b").alias("node"), "a", "b", "salt"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8(F.col("text")).alias("text"))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_table()
-        for batch in batches:
-            own, last, made = [], None, b""
-            for text in batch["text"].to_pylist():
-                if text != last:
-                    last, made = text, shingle_set(split_words(text), hashes, size).tobytes()
-                own.append(made)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["salt"], pa.array(own, pa.binary())], ["a", "b", "salt", "own"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own = None, []
@@ -200,8 +199,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                     right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    made = texts.join(wanted, "node").select("a", "b", "salt", "text").mapInArrow(sets, _SETS)
-    return made.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long").distinct()
+    met = sets.join(wanted, "node").select("a", "b", "salt", "own")
+    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(verify, "a long, b long").distinct()
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -217,36 +216,54 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def band_members(reps: DataFrame) -> DataFrame:
-    """``bucket, node``: the bands of every representative."""
-    key = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(signature, i * {2 * ROWS} + 1, {2 * ROWS}), i)))")
-    return reps.select("node", key.alias("bucket"))
+    """``band, bucket, node``: the bands of every representative."""
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(substring(signature, i * {2 * ROWS} + 1, {2 * ROWS}), i))")
+    return reps.select("node", F.posexplode(keys).alias("band", "bucket"))
 
 
-def left_over(members: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFrame:
-    """Plausible pairs across components inside buckets of three and more.
+def split_buckets(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """``band, bucket, node, component, members, outsiders, outer`` of buckets that hold several components.
 
-    Each member outside a bucket's largest component meets every member of the
-    bucket: blocks of the first against blocks of all, one group a pair of blocks.
+    ``outer`` marks the members outside a bucket's largest component.
     """
-    placed = members.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    placed = members.join(joined, "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     split = parts.groupBy("bucket").agg(
-        F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main")).where("parts > 1 and members > 2")
-    outside = F.col("members") - F.col("main.n")
-    rows = placed.join(split, "bucket").select(
-        "bucket", "node", "component", (F.col("component") != F.col("main.component")).alias("outer"),
-        (1 + F.floor((F.col("members") - 1) / BLOCK)).cast("int").alias("blocks"), (1 + F.floor((outside - 1) / BLOCK)).cast("int").alias("outers"))
+        F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main")).where("parts > 1")
+    return placed.join(split, "bucket").select(
+        "band", "bucket", "node", "component", "members", (F.col("members") - F.col("main.n")).alias("outsiders"),
+        (F.col("component") != F.col("main.component")).alias("outer"))
+
+
+def pairs_across(split: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` across components inside small buckets."""
+    small = split.where(F.col("members") <= SMALL)
+    left = small.where("outer").select("bucket", F.col("node").alias("x"), F.col("component").alias("p"))
+    right = small.select("bucket", F.col("node").alias("y"), F.col("component").alias("q"))
+    return left.join(right, "bucket").where("p <> q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links_across(split: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` across components inside larger buckets.
+
+    Each member outside the largest component meets every member of the bucket:
+    blocks of the first against blocks of all, one group a pair of blocks. A pair
+    is compared in the first band that it shares, signatures first and full sets
+    then, and only until its member is linked to the other component.
+    """
+    large = split.where(F.col("members") > SMALL).select(
+        "*", (1 + F.floor((F.col("members") - 1) / BLOCK)).cast("int").alias("blocks"), (1 + F.floor((F.col("outsiders") - 1) / BLOCK)).cast("int").alias("outers"))
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    lefts = rows.where("outer").select("bucket", place(F.col("outers")).alias("p"), every(F.col("blocks")).alias("q"), F.lit(0).alias("side"), "node", "component")
-    rights = rows.select("bucket", every(F.col("outers")).alias("p"), place(F.col("blocks")).alias("q"), F.lit(1).alias("side"), "node", "component")
+    lefts = large.where("outer").select("band", "bucket", place(F.col("outers")).alias("p"), every(F.col("blocks")).alias("q"), F.lit(0).alias("side"), "node", "component")
+    rights = large.select("band", "bucket", every(F.col("outers")).alias("p"), place(F.col("blocks")).alias("q"), F.lit(1).alias("side"), "node", "component")
     needed = least_matches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for batch in batches:
-            found: list[np.ndarray] = []
-            columns = [batch[c].to_pylist() for c in ("bucket", "p", "q", "side", "node", "component", "signature")]
+            found: list[tuple[int, int]] = []
+            columns = [batch[c].to_pylist() for c in ("bucket", "p", "q", "band", "side", "node", "component", "signature", "own")]
             for bucket, p, q, *row in zip(*columns, strict=True):
                 if (bucket, p, q) != group:
                     found += _across(held, needed)
@@ -255,28 +272,40 @@ def left_over(members: DataFrame, reps: DataFrame, joined: DataFrame) -> DataFra
             yield _pairs(found)
         yield _pairs(_across(held, needed))
 
-    meeting = lefts.union(rights).join(reps.select("node", "signature"), "node")
-    ordered = meeting.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return ordered.select("bucket", "p", "q", "side", "node", "component", "signature").mapInArrow(compare, "a long, b long").distinct()
+    whole = reps.select("node", "signature").join(sets, "node")
+    ordered = lefts.union(rights).join(whole, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    return ordered.select("bucket", "p", "q", "band", "side", "node", "component", "signature", "own").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _across(held: list[list], needed: list[tuple[int, int]]) -> list[np.ndarray]:
-    left, right = [r for r in held if r[0] == 0], [r for r in held if r[0] == 1]
+def _across(held: list[list], needed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    left, right = [r for r in held if r[1] == 0], [r for r in held if r[1] == 1]
     if not left or not right:
         return []
-    nodes, parts = np.array([r[1] for r in right]), np.array([r[2] for r in right])
-    signatures, found = _stack([r[3] for r in right]), []
-    for _, node, part, own in left:
+    nodes, parts = np.array([r[2] for r in right]), np.array([r[3] for r in right])
+    signatures, own = _stack([r[4] for r in right]), [np.frombuffer(r[5], np.uint64) for r in right]
+    found = []
+    for band, _, node, part, raw, shingles in left:
         others = np.flatnonzero(parts != part)
-        if len(others):
-            near = others[plausible(np.broadcast_to(np.frombuffer(own, np.uint16), (len(others), VALUES)), signatures[others], needed)]
-            found.append(np.stack([np.minimum(node, nodes[near]), np.maximum(node, nodes[near])], axis=1))
+        if not len(others):
+            continue
+        this, mine = np.frombuffer(raw, np.uint16), np.frombuffer(shingles, np.uint64)
+        near = others[plausible(np.broadcast_to(this, (len(others), VALUES)), signatures[others], needed)]
+        equal = signatures[near] == this
+        near, equal = near[first := _first_band(equal) == band], equal[first]
+        linked: set[int] = set()
+        for i in near[np.argsort(-equal.sum(axis=1), kind="stable")].tolist():
+            if parts[i] not in linked and _linked(mine, own[i]):
+                linked.add(int(parts[i]))
+                found.append((min(node, int(nodes[i])), max(node, int(nodes[i]))))
     return found
 
 
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.concatenate([*found, np.zeros((0, 2), np.int64)]).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _first_band(equal: np.ndarray) -> np.ndarray:
+    return equal.reshape(len(equal), BANDS, ROWS).all(axis=2).argmax(axis=1)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -286,11 +315,13 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
     bands = band_members(reps)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    members = cut(bands.join(shared, "bucket").select("bucket", "node", "a", "n"))
-    stars = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = cut(confirmed(pruned(stars, reps), docs, size))
-    joined = components(links)
-    rest = cut(confirmed(left_over(members.where("n > 2").select("bucket", "node"), reps, joined), docs, size))
+    members = cut(bands.join(shared, "bucket").select("band", "bucket", "node", "a"))
+    sets = cut(shingle_sets(docs, members, size))
+    # One pair a member first: with the least of all the members it shares a bucket with.
+    stars = members.where("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+    joined = components(confirmed(pruned(stars, reps), sets))
+    split = cut(split_buckets(members, joined))
+    rest = cut(confirmed(pruned(pairs_across(split), reps), sets).union(links_across(split, reps, sets)))
     if not rest.isEmpty():
         joined = components(joined.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
     named = reps.select("key", F.col("node")).join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))

@@ -17,11 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import WordTable, cut, kept, table, utf8
+from labelscope.llm.common import cut, kept, table, utf8
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 SYMBOLS = b"#*$%&|<>"
@@ -35,13 +34,54 @@ SALTS = 64
 _NO_CHARACTER = BLANKS + bytes(range(0x80, 0xC0))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+#: An odd multiplier and its inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes hashed at once; a longer word is taken whole.
+_CHUNK = 1 << 20
+_IS_BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
-def word_table() -> WordTable:
-    """Word hashes, kept by the worker."""
-    return kept(("hashes",), lambda: WordTable(word_hashes, 400_000))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, kept by the worker."""
+    size = 1 << max(12, (n - 1).bit_length())
+
+    def make() -> tuple[np.ndarray, np.ndarray]:
+        grow = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
+        return grow(_BASE), grow(_INVERSE)
+
+    return kept(("powers", size), make)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word, from running sums over the bytes: no word is looked at on its own."""
+    if len(text) > _CHUNK:
+        parts, start = [], 0
+        while start < len(text):
+            end = min(start + _CHUNK, len(text))
+            while end < len(text) and text[end] not in BLANKS:
+                end += 1
+            parts.append(_hashes(text[start:end]))
+            start = end
+        return np.concatenate(parts)
+    return _hashes(text)
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    codes = np.frombuffer(text, np.uint8)
+    blank = np.ones(len(codes) + 2, bool)
+    blank[1:-1] = _IS_BLANK[codes]
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    powers, inverses = _powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + np.uint64(1)) * powers[:len(codes)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverses[starts]
+    h ^= (h >> np.uint64(32)) + (ends - starts).astype(np.uint64)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -70,8 +110,8 @@ def repeated_words(h: np.ndarray, size: int = 3) -> int:
     return int(covered.sum())
 
 
-def text_counts(text: bytes, hashes: WordTable) -> tuple[int, ...]:
-    words = text.split()
+def text_counts(text: bytes) -> tuple[int, ...]:
+    words = word_hashes(text)
     seen: set[bytes] = set()
     lines = again = 0
     for line in text.split(b"\n"):
@@ -81,7 +121,7 @@ def text_counts(text: bytes, hashes: WordTable) -> tuple[int, ...]:
             seen.add(line)
     return (
         len(words), len(text.translate(None, _NO_CHARACTER)), len(text) - len(text.translate(None, SYMBOLS)),
-        again, repeated_words(hashes.values(words)) if len(words) >= 3 else 0, lines,
+        again, repeated_words(words), lines,
     )
 
 
@@ -89,10 +129,9 @@ def counts_column(text: Column) -> Column:
     """``struct<n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines>``."""
 
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = word_table()
         names = [c.split()[0] for c in COUNTS.split(", ")]
         for texts in parts:
-            yield pd.DataFrame([text_counts(t, hashes) for t in texts.tolist()], columns=names, dtype="int64")
+            yield pd.DataFrame([text_counts(t) for t in texts.tolist()], columns=names, dtype="int64")
 
     count.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(count, COUNTS).asNondeterministic()(utf8(text))

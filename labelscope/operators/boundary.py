@@ -557,8 +557,8 @@ def _literal(value) -> Column:
     return F.lit(value)
 
 
-def report_json(reports: DataFrame, artifact_identity: Mapping, scope: Mapping) -> DataFrame:
-    """Canonical ASCII JSON and its hash; identity and scope are the caller's.
+def report_text(artifact_identity: Mapping, scope: Mapping) -> Column:
+    """Canonical ASCII JSON of a report row; identity and scope are the caller's.
 
     Report structs already declare their fields alphabetically.
     """
@@ -577,5 +577,10 @@ def report_json(reports: DataFrame, artifact_identity: Mapping, scope: Mapping)
         _literal(scope).alias("scope"),
         "status",
     )
-    text = reports.select("case_id", "status", canonical_json(document, ascii_only=True).alias("report"))
+    return canonical_json(document, ascii_only=True)
+
+
+def report_json(reports: DataFrame, artifact_identity: Mapping, scope: Mapping) -> DataFrame:
+    """Canonical JSON of each report and its hash."""
+    text = reports.select("case_id", "status", report_text(artifact_identity, scope).alias("report"))
     return text.withColumn("report_sha256", line_sha256(F.col("report")))

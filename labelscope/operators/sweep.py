@@ -1,10 +1,13 @@
 """Truncation sweeps and grids over boundary cases."""
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.functions.arrays import joined
 from labelscope.functions.bpe import BpeTokenizer
+from labelscope.functions.canonical import line_sha256
 from labelscope.operators import boundary
 
 DEFAULT_LENGTHS = tuple(range(2, 10))
@@ -31,13 +34,25 @@ def truncation_sweep(cases: DataFrame, tokenizer: BpeTokenizer, lengths=DEFAULT_
     return boundary.limited_report(grid)
 
 
-def sweep_table(reports: DataFrame) -> DataFrame:
-    """Flat text form of sweep reports; array fields are ``|``-joined."""
+def sweep_table(
+    reports: DataFrame, artifact_identity: Mapping, scope: Mapping, fixtures: DataFrame | None = None
+) -> DataFrame:
+    """Flat text form of sweep reports; array fields are ``|``-joined.
+
+    ``fixtures`` (``case_id, base_fixture_path, fixture_raw_sha256``) says where
+    cases come from; without it, or for a case it lacks, both are NULL.
+    """
     d = lambda name: F.col(f"diagnostics.{name}")
+    source = ("base_fixture_path", "fixture_raw_sha256")
+    if fixtures is None:
+        reports = reports.withColumns({name: F.lit(None).cast("string") for name in source})
+    else:
+        reports = reports.join(fixtures.select("case_id", *source), "case_id", "left")
     return reports.select(
-        "case_id", "max_length",
+        "case_id", *source, "max_length",
         F.col("input_identity.canonical_sha256").alias("canonical_input_sha256"),
         boundary.exit_code(F.col("status")).alias("exit_code"),
+        line_sha256(boundary.report_text(artifact_identity, scope)).alias("stdout_sha256"),
         "status", "primary_classification",
         F.col("legacy_mask.cutoff").alias("legacy_cutoff"),
         d("oracle_cutoff").alias("oracle_cutoff"),

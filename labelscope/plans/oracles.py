@@ -122,6 +122,67 @@ reports AS (
 _WS = "[\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}]"
 
 
+def _encoding_json(n: str, ids: str, offsets: str, pieces: str) -> str:
+    return (f"'{{\"attention_mask\":[' || repeat('1,', coalesce({n}, 0)::INT) || '1],\"ids\":[' || concat_ws(',', '1', {ids}) || "
+            f"'],\"offsets\":[' || concat_ws(',', '[0,0]', {offsets}) || '],\"pieces\":[' || concat_ws(',', '\"<bos>\"', {pieces}) || "
+            f"'],\"special_tokens_mask\":[1' || repeat(',0', coalesce({n}, 0)::INT) || '],\"type_ids\":[' || repeat('0,', coalesce({n}, 0)::INT) || '0]}}'")
+
+
+def _names(text: str) -> str:
+    return f"CASE WHEN {text} = '' THEN '[]' ELSE '[\"' || replace({text}, '|', '\",\"') || '\"]' END"
+
+
+def _numbers(text: str) -> str:
+    return f"'[' || replace(coalesce({text}, ''), '|', ',') || ']'"
+
+
+def _norm(raw: str, cut: str) -> str:
+    return (f"'{{\"cross_boundary_output_positions\":[],\"nfc_codepoint_count\":' || length({raw}) || ',\"normalized_codepoint_count\":' || length({cut}) || "
+            f"',\"provenance_complete\":true,\"raw_codepoint_count\":' || length({raw}) || ',\"trailing_normalized_codepoints_removed\":' || (length({raw}) - length({cut})) || '}}'")
+
+
+_CELL = ("string_agg(id, ',' ORDER BY pos) AS ids, string_agg('[' || s || ',' || e || ']', ',' ORDER BY pos) AS offsets, "
+         "string_agg(pj, ',' ORDER BY pos) AS pieces, count(*) AS n")
+_OWNER_JSON = "string_agg(',{\"ownership\":\"' || owner || '\",\"position\":' || pos || ',\"raw_origins\":[' || array_to_string(range(s::BIGINT, e::BIGINT), ',') || ']}', '' ORDER BY pos) AS owners"
+_PREFIX_JSON = "'[{\"ownership\":\"injected_prefix\",\"position\":0,\"raw_origins\":[]}' || coalesce({x}, '') || ']'"
+
+
+def _digests() -> str:
+    """The canonical report of every row of ``reports``, put together piece by piece, and its hash."""
+    piece = "CASE WHEN unicode(p) > 127 THEN '\"\\u' || lpad(lower(to_hex(unicode(p))), 4, '0') || '\"' ELSE to_json(p)::VARCHAR END AS pj"
+    token = _ID.format(p="p") + " AS id"
+    strip = "regexp_replace({x}, '\\s+$', '')"
+    return f""",
+combined_cells AS (SELECT case_id, pos, s, e, owner, {piece}, {token} FROM owned),
+source_cells AS (
+  SELECT case_id, pos, e - length(p) AS s, e, {piece}, {token} FROM (
+    SELECT *, sum(length(p)) OVER (PARTITION BY case_id ORDER BY pos) AS e FROM (
+      SELECT case_id, u.k AS pos, sp[u.k] AS p FROM enc, unnest(range(1, len(sp) + 1)) AS u(k)))),
+whole AS (SELECT case_id, {_CELL}, {_OWNER_JSON} FROM combined_cells GROUP BY case_id),
+limited AS (
+  SELECT case_id, max_length, {_CELL}, {_OWNER_JSON} FROM combined_cells JOIN (SELECT case_id, max_length FROM reports) USING (case_id)
+  WHERE pos < max_length GROUP BY case_id, max_length),
+source_limited AS (
+  SELECT case_id, max_length, {_CELL} FROM source_cells JOIN (SELECT case_id, max_length FROM reports) USING (case_id)
+  WHERE pos < max_length GROUP BY case_id, max_length),
+digested AS (
+  SELECT r.*, sha256('{{"artifact_identity":{{"tokenizer":"open-text"}},"attribution":{{"full":' || {_PREFIX_JSON.replace('{x}', 'w.owners')} ||
+    ',"truncated":' || {_PREFIX_JSON.replace('{x}', 'l.owners')} || '}},"classifications":' || {_names('classes')} ||
+    ',"diagnostics":{{"ambiguous_positions":[],"cross_boundary_positions":' || {_numbers('crossing')} || ',"elimination_causes":' || {_names('causes')} ||
+    ',"full_target_token_count":' || full_n || ',"indeterminate_reasons":' || {_names('reasons')} || ',"masked_retained_target_positions":' || {_numbers('hidden')} ||
+    ',"oracle_cutoff":' || coalesce(oracle::VARCHAR, 'null') || ',"prompt_leakage_positions":' || {_numbers('leak')} ||
+    ',"retained_target_token_count":' || kept_n || ',"supervised_target_token_count":' || shown_n || ',"truncated_target_token_count":' || (full_n - kept_n) ||
+    '}},"encodings":{{"combined_full":' || {_encoding_json('w.n', 'w.ids', 'w.offsets', 'w.pieces')} || ',"combined_truncated":' || {_encoding_json('l.n', 'l.ids', 'l.offsets', 'l.pieces')} ||
+    ',"source_truncated":' || {_encoding_json('s.n', 's.ids', 's.offsets', 's.pieces')} || '}},"input_identity":{{"boundary_codepoint":' || length(source) ||
+    ',"canonical_sha256":"' || {_case_sha('max_length')} || '","case_id":"' || case_id || '","max_length":' || max_length || ',"source_codepoints":' || length(source) ||
+    ',"target_codepoints":' || length(target) || '}},"kind":"token-boundary.differential-report","legacy_mask":{{"algorithm":"standalone-source-token-count","cutoff":' || cutoff ||
+    ',"masked_positions":[' || array_to_string(range(0, least(cutoff, kept)), ',') || '],"supervised_positions":[' || array_to_string(range(least(cutoff, kept), kept), ',') ||
+    ']}},"normalization":{{"combined":' || {_norm('(source || target)', strip.format(x='(source || target)'))} || ',"source":' || {_norm('source', strip.format(x='source'))} ||
+    '}},"primary_classification":"' || prim || '","schema_version":"token-boundary-differential-report-v1","scope":{{"corpus":true}},"status":"' || stat || '"}}' || chr(10)) AS digest
+  FROM reports r JOIN pairs p USING (case_id) LEFT JOIN whole w USING (case_id)
+  LEFT JOIN limited l USING (case_id, max_length) LEFT JOIN source_limited s USING (case_id, max_length))"""
+
+
 def _conv(select: str, turns: str = "conversations") -> str:
     return "WITH " + _CODED.replace("{turns}", turns) + " " + select
 
@@ -134,8 +195,8 @@ def _pair(select: str, extra: str = "", turns: str = "conversations") -> str:
     return "WITH " + _PAIRS.replace("{turns}", turns) + extra + " " + select
 
 
-def _report(select: str, lengths: str = "256") -> str:
-    return "WITH " + _PAIRS.replace("{turns}", "conversations") + _ENCODED + _OWNED + _CUT.replace("{lengths}", lengths) + " " + select
+def _report(select: str, lengths: str = "256", extra: str = "") -> str:
+    return "WITH " + _PAIRS.replace("{turns}", "conversations") + _ENCODED + _OWNED + _CUT.replace("{lengths}", lengths) + extra + " " + select
 
 
 _QUIET = ("(SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 = 0 THEN '' "
@@ -390,6 +451,7 @@ enc AS (SELECT case_id, length(source) AS b,
         "CASE WHEN e <= b - 1 THEN 'source' WHEN e - length(p) >= b THEN 'target' ELSE 'cross_boundary' END") + (
         " SELECT case_id, 'cross_boundary_token' AS primary_classification, "
         "string_agg(CASE WHEN owner = 'cross_boundary' THEN pos END, '|' ORDER BY pos) AS \"cross\" FROM owned GROUP BY 1")
+    out["report_digests"] = _report("SELECT case_id, stat AS status, digest AS report_sha256 FROM digested", extra=_digests())
     out["report_violations"] = _report(
         "SELECT CASE WHEN least(cutoff, kept) % 4 = 1 THEN 'report.legacy_cutoff' WHEN least(cutoff, kept) % 4 = 2 THEN 'report.retained_target_count' "
         "WHEN least(cutoff, kept) % 4 = 3 THEN CASE WHEN stat = 'indeterminate' THEN 'none' ELSE 'report.status' END ELSE 'none' END AS first_code, "
@@ -433,11 +495,14 @@ enc AS (
         crossing + _CUT.replace("{lengths}", "32, 128") +
         " SELECT classes AS classifications, count(*) AS cases FROM reports GROUP BY 1")
     sweep = "64, 128, 256, 512"
+    fixture = "CASE WHEN substr(case_id, 6, instr(substr(case_id, 6), '-') - 1)::BIGINT % 2 = 0 THEN {x} END"
     out["truncation_sweep"] = _report(
-        "SELECT case_id, max_length::BIGINT AS max_length, CASE WHEN stat = 'pass' THEN 0 ELSE 1 END::BIGINT AS exit_code, stat AS status, prim AS primary_classification, "
+        f"SELECT case_id, {fixture.format(x="'cases/' || case_id")} AS base_fixture_path, "
+        f"{fixture.format(x='sha256(source || target)')} AS fixture_raw_sha256, {_case_sha('max_length')} AS canonical_input_sha256, digest AS stdout_sha256, "
+        "max_length::BIGINT AS max_length, CASE WHEN stat = 'pass' THEN 0 ELSE 1 END::BIGINT AS exit_code, stat AS status, prim AS primary_classification, "
         "cutoff AS legacy_cutoff, oracle AS oracle_cutoff, full_n AS full_target_tokens, kept_n AS retained_target_tokens, shown_n AS supervised_target_tokens, "
         "full_n - kept_n AS truncated_target_tokens, coalesce(leak, '') AS prompt_leakage_positions, coalesce(crossing, '') AS cross_boundary_positions, "
-        "causes AS elimination_causes, reasons AS indeterminate_reasons FROM reports", sweep)
+        "causes AS elimination_causes, reasons AS indeterminate_reasons FROM digested JOIN pairs USING (case_id)", sweep, _digests())
     out["sweep_input_digests"] = _pair(
         f"SELECT case_id, max_length::BIGINT AS max_length, {_case_sha('max_length')} AS canonical_input_sha256 "
         f"FROM pairs, unnest([{sweep}]) AS l(max_length)")

@@ -27,6 +27,8 @@ LIMIT = 256
 SWEEP = (64, 128, 256, 512)
 PROBES = ("the end", "h", "\u00e9", "\u0301 tail")
 PAD = 0
+#: Placeholders for the identity and scope blocks of a report.
+IDENTITY = ({"tokenizer": "open-text"}, {"corpus": True})
 
 
 # --- inputs -------------------------------------------------------------------
@@ -560,7 +562,7 @@ def unicode_boundary_classes(spark, d):
 
 def report_digests(spark, d):
     """Canonical report hashes; the identity blocks are placeholders."""
-    return B.report_json(_reports(spark, d), {"tokenizer": "open-text"}, {"corpus": True}).select(
+    return B.report_json(_reports(spark, d), *IDENTITY).select(
         "case_id", "status", "report_sha256")
 
 
@@ -658,11 +660,14 @@ def _sweep(spark, d):
 
 
 def truncation_sweep(spark, d):
-    return _flat(G.sweep_table(_sweep(spark, d)).drop("canonical_input_sha256"))
+    """All 19 columns; the fixtures are those of pairs whose conversation has an even number."""
+    pairs = _pairs(spark, d).where("conv_id % 2 = 0").select(
+        "case_id", F.concat(F.lit("cases/"), "case_id").alias("base_fixture_path"), F.sha2(F.concat("source", "target"), 256).alias("fixture_raw_sha256"))
+    return _flat(G.sweep_table(_sweep(spark, d), *IDENTITY, pairs))
 
 
 def sweep_input_digests(spark, d):
-    return _flat(G.sweep_table(_sweep(spark, d)).select("case_id", "max_length", "canonical_input_sha256"))
+    return _flat(G.sweep_table(_sweep(spark, d), *IDENTITY).select("case_id", "max_length", "canonical_input_sha256"))
 
 
 def retention_matrix(spark, d):

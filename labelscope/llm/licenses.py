@@ -11,8 +11,8 @@ Defined results: a NULL or empty text has no words, places or labels and score
 """
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import pandas as pd
@@ -50,7 +50,7 @@ FAMILIES = (
 #: Licences known by name alone.
 NAMED = (
     ("mit", ("mit licen[cs]e", "expat licen[cs]e", "mit x11 licen[cs]e")), ("isc", ("isc licen[cs]e",)), ("zlib", ("zlib licen[cs]e", "zlib libpng licen[cs]e")),
-    ("unlicense", ("the unlicense",)), ("wtfpl", ("wtfpl")),
+    ("unlicense", ("the unlicense",)), ("wtfpl", ("wtfpl",)),
     ("cc0", ("cc0", "cc zero", "creative commons zero")), ("public-domain", ("released into the public domain", "dedicated to the public domain")),
     ("ms-pl", ("microsoft public licen[cs]e", "ms pl")), ("ms-rl", ("microsoft reciprocal licen[cs]e", "ms rl")),
     ("ncsa", ("university of illinois ncsa open source licen[cs]e", "ncsa licen[cs]e")), ("postgresql", ("postgresql licen[cs]e",)),
@@ -70,12 +70,17 @@ CLAUSES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms"),
     ("zlib", "this software is provided as is without any express or implied warranty"),
 )
+_LEAD = "(?:(?:under|by) the (?:terms of the )?)?"
+#: Words too common to gate by, and one of every base phrase.
+_COMMON = {"mit", "version", "the", "of", "by", "under", "and", "any", "or", "later", "public", "general", "software", "free", "open", "this", "to", "for"}
+_BASE_WORDS = (b"license", b"apache", b"nc")
 _WORD = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
 @dataclass(frozen=True)
 class Rule:
     priority: int  # smaller goes first
+    place: int  # in the order of all rules
     label: str
     keywords: tuple[bytes, ...]
     pattern: re.Pattern
@@ -83,15 +88,17 @@ class Rule:
 
 
 def _keywords(pattern: str) -> tuple[bytes, ...]:
-    """The longest plain words of an expression: a text needs them all."""
-    plain = [w for w in pattern.split() if re.fullmatch(r"[a-z0-9]+", w)]
-    if re.search(r"licen\[cs\]e", pattern):
-        plain.append("licen")
-    return tuple(w.encode() for w in sorted(plain, key=len)[-2:])
+    """A text that meets the expression has one of these words: its longest plain word, or either spelling of licence."""
+    if pattern.startswith(("cc ", "creative ")):
+        return (pattern.split()[0].encode(),)
+    plain = sorted((w for w in pattern.split() if re.fullmatch(r"[a-z0-9]+", w) and w not in _COMMON), key=len)
+    if "licen[cs]e" in pattern and (not plain or len(plain[-1]) < 7):
+        return (b"license", b"licence")
+    return (plain[-1].encode(),)
 
 
 def _rule(priority: int, label: str, words: str, confidence: float) -> Rule:
-    return Rule(priority, label, _keywords(words), re.compile(f"(?<= ){words}(?= )".encode()), confidence)
+    return Rule(priority, -1, label, _keywords(words.removeprefix(_LEAD)), re.compile(f"(?<= ){words}(?= )".encode()), confidence)
 
 
 @lru_cache(maxsize=1)
@@ -100,15 +107,16 @@ def rules() -> tuple[Rule, ...]:
     made = [_rule(0, label, words, 0.99) for label, words in CLAUSES]
     for label, names, versions in FAMILIES:
         for name in names:
-            for version in versions:
+            # The longest version first: 2 1 is not 2. A lead belongs to the detection.
+            for version in sorted(versions, key=lambda v: -len(v.split())):
                 short = version.removesuffix(" 0")
                 tail = short if " " in short else f"{short}(?: 0)?"
                 tag = f"{label}-{short.replace(' ', '.')}"
-                made.append(_rule(1, f"{tag}-or-later", f"{name} (?:version |v )?{tail} or (?:any )?later", 0.98))
-                made.append(_rule(2, tag, f"{name} version {tail}", 0.97))
-                made.append(_rule(2, tag, f"{name} v ?{tail}", 0.95))
+                made.append(_rule(1, f"{tag}-or-later", f"{_LEAD}{name} (?:version |v )?{tail} or (?:any )?later", 0.98))
+                made.append(_rule(2, tag, f"{_LEAD}{name} version {tail}", 0.97))
+                made.append(_rule(2, tag, f"{_LEAD}{name} v ?{tail}", 0.95))
                 made.append(_rule(3, tag, f"version {tail} of the {name}", 0.95))
-                made.append(_rule(4, tag, f"{name} {tail}", 0.8))
+                made.append(_rule(4, tag, f"{_LEAD}{name} {tail}", 0.8))
             if " " in name:
                 made.append(_rule(6, label, f"(?:under|by) the (?:terms of the )?{name}", 0.8))
                 made.append(_rule(7, label, name, 0.6))
@@ -127,29 +135,38 @@ def rules() -> tuple[Rule, ...]:
         for name in names:
             made.append(_rule(5, label, f"(?:under|by) the {name}", 0.9))
             made.append(_rule(7, label, name, 0.6 if label == "all-rights-reserved" else 0.7))
-    return tuple(sorted(made, key=lambda r: r.priority))
+    made.sort(key=lambda r: r.priority)
+    return tuple(replace(r, place=i) for i, r in enumerate(made))
 
 
 @lru_cache(maxsize=1)
-def _gate() -> re.Pattern:
-    """One expression that any text with a rule's rarest keyword meets."""
-    rare = {max(r.keywords, key=len) for r in rules()} | {b"mit", b"apache", b"nc"}
-    return re.compile(b"(?:" + b"|".join(sorted(map(re.escape, rare - {b"mit"}), key=len, reverse=True)) + b")")
+def by_keyword() -> dict[bytes, tuple[Rule, ...]]:
+    """Rules under each of their keywords."""
+    found: dict[bytes, list[Rule]] = {k: [] for k in _BASE_WORDS}
+    for rule in rules():
+        for k in rule.keywords:
+            found.setdefault(k, []).append(rule)
+    return {k: tuple(r) for k, r in found.items()}
+
+
+@lru_cache(maxsize=1)
+def _gate() -> frozenset[bytes]:
+    return frozenset(by_keyword())
 
 
 def split_words(text: bytes) -> list[bytes]:
     return text.lower().translate(_WORD).split()
 
 
-def detect(joined: bytes) -> list[tuple[int, int, int, str, float]]:
+def detect(joined: bytes, hits: Iterable[bytes]) -> list[tuple[int, int, int, str, float]]:
     """``(first word, last word, priority, label, confidence)`` of kept detections.
 
-    ``joined`` holds the words with a blank before and after each.
+    ``joined`` holds the words with a blank before and after each, ``hits`` the
+    keywords among them.
     """
     kept: list[tuple[int, int, int, str, float]] = []
-    for rule in rules():
-        if not all(k in joined for k in rule.keywords):
-            continue
+    index = by_keyword()
+    for rule in sorted({r.place: r for k in hits for r in index[k]}.values(), key=lambda r: r.place):
         for m in rule.pattern.finditer(joined):
             first = joined.count(b" ", 0, m.start()) - 1
             last = first + m.group().count(b" ")
@@ -171,9 +188,11 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 
 def scan(text: bytes) -> tuple:
     words = split_words(text)
+    hits = _gate().intersection(words)
+    if not hits:
+        return len(words), 0, None, None, "", "", 0.0, []
     joined = b" " + b" ".join(words) + b" "
-    base = base_places(joined)
-    found = detect(joined) if base or _gate().search(joined) else []
+    base, found = base_places(joined), detect(joined, hits)
     labels = {label for _, label in base}
     doubt = 1.0
     for _ in base:

@@ -11,7 +11,6 @@ languages change nothing: ties go to the language that sorts first.
 """
 
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,10 +40,22 @@ class Model:
     log_prior: np.ndarray
 
 
-def ngram_buckets(word: bytes) -> list[int]:
-    """Hash buckets of the n-grams of a lower-cased word between two blanks."""
-    w = f" {word.decode('utf-8', 'replace').lower()} "
-    return [zlib.crc32(w[i:i + n].encode()) % BUCKETS for n in ORDERS for i in range(len(w) - n + 1)]
+def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of the n-grams of lower-cased words, each between two blanks, and the word of each."""
+    padded = [f" {w.decode('utf-8', 'replace').lower()} " for w in words]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, padded), np.int64, len(words)))
+    buckets, owners = [], []
+    for n in ORDERS:
+        count = max(0, len(codes) - n + 1)
+        h = np.full(count, n, np.uint32)
+        for k in range(n):
+            h = (h ^ codes[k:k + count]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        whole = owner[:count] == owner[n - 1:n - 1 + count]
+        buckets.append((h % np.uint32(BUCKETS))[whole])
+        owners.append(owner[:count][whole])
+    return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
 def fit(docs: DataFrame, usable: Column, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE) -> Model:
@@ -75,9 +86,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             words.setdefault(lang, Counter()).update(text.split())
         for lang, found in words.items():
-            total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for word, n in found.items():
-                np.add.at(total, ngram_buckets(word), n)
+            buckets, owners = ngrams(list(found))
+            times = np.fromiter(found.values(), np.int64, len(found))[owners]
+            totals[lang] = totals.get(lang, 0) + np.bincount(buckets, times, BUCKETS).astype(np.int64)
     for lang, total in totals.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -93,10 +104,8 @@ def scorer(spark, model: Model):
         size = len(known.languages)
 
         def rows(words: list[bytes]) -> np.ndarray:
-            hashed = [ngram_buckets(w) for w in words]
-            starts = np.cumsum([0, *map(len, hashed)])
-            flat = np.fromiter((b for h in hashed for b in h), np.int64, starts[-1])
-            return segment_sums(known.log_prob[flat].astype(float), starts).reshape(len(words), size)
+            buckets, owners = ngrams(words)
+            return np.stack([np.bincount(owners, known.log_prob[buckets, k], len(words)) for k in range(size)], axis=1) if size else np.zeros((len(words), 0))
 
         cache = kept(("language", name), lambda: WordTable(rows, 400_000))
         for texts in parts:
@@ -124,8 +133,8 @@ def has_letter(words: list[bytes]) -> bool:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``language: struct(lang_pred, score)``."""
-    return docs.withColumn("language", scorer(docs.sparkSession, model)(F.col("text")))
+    """``doc_id, language: struct(lang_pred, score)`` of each whole text."""
+    return docs.select("doc_id", scorer(docs.sparkSession, model)(F.col("text")).alias("language"))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
@@ -144,5 +153,6 @@ def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     meets texts of which no language is likelier than all others together.
     """
     model = fit(docs, fold_of(F.col("doc_id"), 3) != 1)
-    read = predict(docs, model)
-    return read.where((F.col("language.lang_pred") != UNKNOWN) & (F.col("language.score") >= 0.5)).select(*docs.columns)
+    # Rows travel whole in a struct, whatever their columns are called.
+    read = docs.select(F.struct(*docs.columns).alias("_row"), scorer(spark, model)(F.col("text")).alias("_language"))
+    return read.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= 0.5)).select("_row.*")

@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows_per_class: int
     if len(weight) < 2:
         return None
     # Bounded by the sample's size: a few hundred kB.
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(utf8(F.col("text")).alias("text"), "toxic", "half")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(utf8(F.col("text")).alias("text"), "toxic", "half")
     counts = texts.mapInArrow(_count, _COUNTS).groupBy("key").agg(*[
         F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), F.col("n")).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)])
     toxic, clean = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")

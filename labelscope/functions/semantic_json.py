@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from labelscope.functions.strict_json import is_plain
+
 
 class _Duplicate(ValueError):
     pass
@@ -60,5 +62,17 @@ def _forms(texts: pd.Series) -> pd.Series:
     return texts.map(semantic_form)
 
 
+#: Levels of nesting that the JVM canonicalizes; deeper documents go to the helper.
+JVM_DEPTH = 12
+
+
 def semantic_json_sha256(text: Column) -> Column:
-    return F.sha2(F.concat(_forms(text), F.lit("\n")), 256)
+    """SHA-256 of the canonical line of each JSON text, NULL when it is not acceptable.
+
+    A variant keeps its keys in order and prints compactly, which is the canonical
+    form of ASCII text without escapes, fractions, exponents, negative zeros or
+    numbers of ten digits. Other documents are rendered in the helper.
+    """
+    simple = is_plain(text, JVM_DEPTH) & ~text.contains("\\") & (F.octet_length(text) == F.char_length(text))
+    form = F.when(simple, F.to_json(F.try_parse_json(text))).otherwise(_forms(F.when(~simple, text)))
+    return F.sha2(F.concat(form, F.lit("\n")), 256)

@@ -9,6 +9,7 @@ identity provenance; those rows enter the helper as NULL and stay on the JVM.
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,23 +61,30 @@ def nfc(text: Column) -> Column:
     return F.coalesce(_nfc_series(F.when(may_change(text), text)), text)
 
 
-def _clusters(text: str):
-    """Yield (start, end) of runs opened by a combining-class-0 code point."""
-    opened = 0
-    for at, char in enumerate(text):
-        if at and not unicodedata.combining(char):
-            yield opened, at
-            opened = at
-    yield opened, len(text)
+def _origins(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """Clusterwise NFC of ``text`` with the raw interval ``[start, end)`` of each code point, -1 when unknown.
+
+    A cluster is a code point of combining class 0 with the marks after it. One
+    that becomes a single code point gives it the whole cluster; one that NFC
+    leaves alone, mark by mark, maps one to one; any other is unknown.
+    """
+    opens = np.flatnonzero([at == 0 or unicodedata.combining(c) == 0 for at, c in enumerate(text)])
+    closes = np.append(opens[1:], len(text))
+    parts = [text[a:b] for a, b in zip(opens, closes, strict=True)]
+    forms = [unicodedata.normalize("NFC", p) for p in parts]
+    sizes = np.array([len(f) for f in forms], int)
+    kept = np.array([f == p and all(map(_alone, p)) for f, p in zip(forms, parts, strict=True)], bool)
+    cluster = np.repeat(np.arange(len(parts)), sizes)
+    inside = np.arange(len(cluster)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = (sizes == 1)[cluster]
+    each = kept[cluster] & ~whole
+    start = np.where(whole, opens[cluster], np.where(each, opens[cluster] + inside, -1))
+    end = np.where(whole, closes[cluster], np.where(each, start + 1, -1))
+    return "".join(forms), start, end
 
 
-def _cluster_map(raw: str, form: str, base: int):
-    """Origin interval of each normalized code point, or None when unknown."""
-    if len(form) == 1:
-        return [(base, base + len(raw))]
-    if form == raw and all(unicodedata.is_normalized("NFC", c) for c in raw):
-        return [(base + i, base + i + 1) for i in range(len(raw))]
-    return [None] * len(form)
+def _alone(char: str) -> bool:
+    return unicodedata.is_normalized("NFC", char)
 
 
 @lru_cache(maxsize=1)
@@ -115,23 +123,11 @@ def _encoder_offsets(text: str) -> list[int]:
 def _replay_one(text: str | None):
     if text is None:
         return (None,) * 6
-    nfc_text = unicodedata.normalize("NFC", text)
-    forms, origins = [], []
-    for start, end in _clusters(text):
-        form = unicodedata.normalize("NFC", text[start:end])
-        forms.append(form)
-        origins.extend(_cluster_map(text[start:end], form, start))
-    replay_ok = "".join(forms) == nfc_text
-    if not replay_ok:
-        origins = [None] * len(nfc_text)
-    return (
-        nfc_text,
-        [o and o[0] for o in origins],
-        [o and o[1] for o in origins],
-        _encoder_offsets(text),
-        replay_ok,
-        replay_ok and None in origins,
-    )
+    whole = unicodedata.normalize("NFC", text)
+    form, start, end = _origins(text)
+    same = form == whole
+    known = [(int(a), int(b)) if a >= 0 else (None, None) for a, b in zip(start, end, strict=True)] if same else [(None, None)] * len(whole)
+    return (whole, [a for a, _ in known], [b for _, b in known], _encoder_offsets(text), same, same and bool((start < 0).any()))
 
 
 @pandas_udf(_REPLAY_TYPE)

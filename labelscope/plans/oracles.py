@@ -474,7 +474,10 @@ enc AS (SELECT case_id, length(source) AS b,
         "WHEN lang = 'es' AND contains(text, 'e') THEN 'file.sha256' END AS code FROM documents) WHERE code IS NOT NULL "
         "UNION ALL SELECT 'old/doc/' || doc_id, 'file.missing' FROM documents WHERE strlen(text) <= 200")
     out["semantic_props"] = (
-        "SELECT event_id, sha256('{\"k\":' || (props->>'$.k') || '}' || chr(10)) AS semantic_sha256 FROM events")
+        "SELECT event_id, CASE event_id % 4 WHEN 0 THEN sha256(p || chr(10)) "
+        "WHEN 1 THEN sha256('{\"p\":' || p || ',\"z\":[1,{\"a\":true,\"b\":null}],\"é\":\"A/\"}' || chr(10)) "
+        "WHEN 2 THEN sha256('[0,1.5,2000,0,1.2345678901E+10,1E+9,' || p || ']' || chr(10)) END AS semantic_sha256 "
+        "FROM (SELECT event_id, '{\"k\":' || (props->>'$.k') || '}' AS p FROM events)")
     out["golden_drift"] = (
         "SELECT * FROM (SELECT 'doc/' || doc_id AS name, CASE lang WHEN 'de' THEN 'golden.extra' WHEN 'fr' THEN 'golden.missing' "
         "WHEN 'es' THEN 'golden.content' END AS code FROM documents) WHERE code IS NOT NULL")

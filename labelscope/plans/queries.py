@@ -631,8 +631,12 @@ def artifact_manifest(spark, d):
 
 
 def semantic_props(spark, d):
+    """Properties as stored, and inside documents with nesting, fractions, negative zeros and large numbers."""
     events = spark.read.parquet(f"{d}/events.parquet")
-    return events.select("event_id", semantic_json_sha256(F.col("props")).alias("semantic_sha256"))
+    wrapped = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat(
+        F.lit('{"z": [1, {"b": null, "a": true}], "p": '), "props", F.lit(', "é": "\\u0041/"}'))).when(F.col("event_id") % 4 == 2, F.concat(
+            F.lit('[-0.0, 1.50, 2e3, -0, 12345678901, 1e9, '), "props", F.lit("]"))).otherwise(F.concat(F.lit('{"k": 1, "k": '), "props", F.lit("}")))
+    return events.select("event_id", semantic_json_sha256(wrapped).alias("semantic_sha256"))
 
 
 def golden_drift(spark, d):

@@ -339,10 +339,17 @@ def report_violations(reports: DataFrame, tokenizer) -> DataFrame:
 
 
 def file_identities(inventory: DataFrame) -> DataFrame:
-    """``path, byte_length, line_count, sha256, git_blob_sha1`` of ``path, content``."""
+    """``path, byte_length, line_count, sha256, git_blob_sha1`` of ``path, content``.
+
+    A length that the inventory lists (``bytes``) counts where the content was not
+    read; the other identities are NULL there. ``git_mode`` is passed on.
+    """
     content = F.col("content")
+    length = F.octet_length(content).cast("bigint")
+    if "bytes" in inventory.columns:
+        length = F.coalesce(length, F.col("bytes"))
     return inventory.select(
-        "path", F.octet_length(content).cast("bigint").alias("byte_length"), line_count(content).alias("line_count"),
+        "path", *(c for c in inventory.columns if c == "git_mode"), length.alias("byte_length"), line_count(content).alias("line_count"),
         F.sha2(content, 256).alias("sha256"), git_blob_sha1(content).alias("git_blob_sha1"),
     )
 
@@ -353,15 +360,21 @@ def artifact_manifest(inventory: DataFrame) -> DataFrame:
 
 
 def attest_files(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``path, code``: missing, unlisted, or the first identity that changed."""
+    """``path, code``: missing, unlisted, the first identity that changed, or unread.
+
+    ``git_mode`` is compared where both sides carry it.
+    """
+    modes = [c for c in ("git_mode",) if c in inventory.columns and c in manifest.columns]
     actual = file_identities(inventory).select("path", F.struct("*").alias("a"))
-    listed = manifest.select("path", F.struct("byte_length", "line_count", "sha256", "git_blob_sha1").alias("m"))
+    listed = manifest.select("path", F.struct("byte_length", "line_count", "sha256", "git_blob_sha1", *modes).alias("m"))
     changed = lambda f: ~F.col(f"a.{f}").eqNullSafe(F.col(f"m.{f}"))
     code = (
         F.when(F.col("a").isNull(), "file.missing").when(F.col("m").isNull(), "file.unlisted")
-        .when(changed("byte_length"), "file.byte_length").when(changed("line_count"), "file.line_count")
+        .when(changed("byte_length"), "file.byte_length").when(F.col("a.sha256").isNull(), "file.unread").when(changed("line_count"), "file.line_count")
         .when(changed("sha256"), "file.sha256").when(changed("git_blob_sha1"), "file.git_blob_sha1")
     )
+    for mode in modes:
+        code = code.when(changed(mode), "file.git_mode")
     return actual.join(listed, "path", "full_outer").select("path", code.alias("code"))
 
 

@@ -607,13 +607,15 @@ def _inventory(spark, d):
 
 
 def file_drift(spark, d):
-    """German files are gone, French ones grew, Spanish ones changed in place."""
+    """German files are gone, French ones grew, Spanish ones changed in place; some English ones are unread or changed their mode."""
     docs, lang = _documents(spark, d), F.col("lang")
     now = docs.where(lang != "de").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
         F.encode(F.when(lang == "fr", F.concat("text", F.lit("!"))).when(lang == "es", F.replace("text", F.lit("e"), F.lit("a")))
-                 .otherwise(F.col("text")), "UTF-8").alias("content"))
-    listed = _inventory(spark, d).withColumn("path", F.when(F.octet_length("content") > 200, F.col("path"))
+                 .otherwise(F.col("text")), "UTF-8").alias("content"), (F.col("doc_id") % 11 == 0).alias("hidden"),
+        F.when((lang == "en") & (F.col("doc_id") % 7 == 0), "100755").otherwise("100644").alias("git_mode"))
+    now = now.select("path", "git_mode", F.octet_length("content").cast("bigint").alias("bytes"), F.when(~F.col("hidden"), F.col("content")).alias("content"))
+    listed = _inventory(spark, d).withColumn("git_mode", F.lit("100644")).withColumn("path", F.when(F.octet_length("content") > 200, F.col("path"))
                                              .otherwise(F.concat(F.lit("old/"), "path")))
     return R.attest_files(now, R.file_identities(listed)).where(F.col("code").isNotNull())
 

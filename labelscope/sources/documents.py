@@ -7,27 +7,34 @@ from labelscope import schemas as S
 from labelscope.functions.arrays import first_code, let
 from labelscope.functions.strict_json import CASE_RULES, TRACE_RULES, JsonRules, size_code, strict_json
 from labelscope.operators import contract as V
+from labelscope.sources.tables import scan_files
 
 TRACE_FIELDS = ("conversation", "example_id", "kind", "schema_version", "trace")
 CASE_FIELDS = ("case_id", "max_length", "schema_version", "source", "target")
 
 
-def read_raw(spark: SparkSession, path: str, layout: str, max_bytes: int) -> DataFrame:
-    """``record_key, payload`` from one-document files or from JSON lines.
+def line_key(value: Column) -> Column:
+    """File and content of one line; equal lines of a file share it."""
+    return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.md5(value))
 
-    Oversize files are listed but their bytes are never read.
+
+def numbered(key: Column) -> Column:
+    """``key`` with a running number, so that no two rows share it."""
+    return F.concat(key, F.lit("#"), F.monotonically_increasing_id().cast("string"))
+
+
+def read_raw(spark: SparkSession, path: str, layout: str, max_bytes: int, listing: DataFrame | None = None) -> DataFrame:
+    """``record_key, payload, oversize`` from one-document files or from JSON lines.
+
+    Every listed file is a row. Oversize files and hidden ones (which no scan
+    reads) have no payload; an empty file has an empty one.
     """
     if layout == "lines":
-        lines = spark.read.text(path)
-        return lines.select(
-            F.concat(F.col("_metadata.file_path"), F.lit("#"), F.md5("value")).alias("record_key"),
-            F.col("value").cast("binary").alias("payload"), F.lit(False).alias("oversize"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.where(F.col("length") <= max_bytes).select(
-        F.col("path").alias("record_key"), F.col("content").alias("payload"), F.lit(False).alias("oversize"))
-    large = files.where(F.col("length") > max_bytes).select(
-        F.col("path").alias("record_key"), F.lit(None).cast("binary").alias("payload"), F.lit(True).alias("oversize"))
-    return small.unionByName(large)
+        return spark.read.text(path).select(
+            numbered(line_key(F.col("value"))).alias("record_key"), F.col("value").cast("binary").alias("payload"), F.lit(False).alias("oversize"))
+    files = scan_files(spark, path, max_bytes, listing)
+    return files.select(
+        F.col("path").alias("record_key"), F.col("content").alias("payload"), (F.col("bytes") > max_bytes).alias("oversize"))
 
 
 # --- variant helpers ----------------------------------------------------------
@@ -101,7 +108,8 @@ def _segment(value: Column) -> Column:
 def _decoded(raw: DataFrame, rules: JsonRules) -> DataFrame:
     """Adds ``root`` (variant), ``decode_code`` and ``lone``."""
     out = raw.withColumn("_decoded", strict_json(F.col("payload"), rules))
-    size = F.when(F.col("oversize"), rules.codes["size"]).otherwise(size_code(F.col("payload"), rules))
+    size = (F.when(F.col("oversize"), rules.codes["size"]).when(F.col("payload").isNull(), "internal.error")
+            .otherwise(size_code(F.col("payload"), rules)))
     return out.select(
         "record_key",
         F.coalesce(size, F.col("_decoded.code")).alias("decode_code"),
@@ -147,9 +155,9 @@ def decode_traces(raw: DataFrame) -> DataFrame:
     return rows.select("record_key", "example_id", plain.alias("messages"), "trace", code.alias("error_code"))
 
 
-def read_traces(spark: SparkSession, path: str, layout: str = "files") -> tuple[DataFrame, DataFrame]:
+def read_traces(spark: SparkSession, path: str, layout: str = "files", listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid traces (``schemas.TRACES``) and ``record_key, error_code`` rejects."""
-    coded = decode_traces(read_raw(spark, path, layout, S.TRACE_MAX_BYTES))
+    coded = decode_traces(read_raw(spark, path, layout, S.TRACE_MAX_BYTES, listing))
     valid, rejects = V.quarantine_split(coded, "record_key")
     return valid.drop("record_key"), rejects
 
@@ -178,8 +186,8 @@ def decode_cases(raw: DataFrame) -> DataFrame:
     return rows.select("record_key", "case_id", "source", "target", "max_length", code.alias("error_code"))
 
 
-def read_cases(spark: SparkSession, path: str, layout: str = "files") -> tuple[DataFrame, DataFrame]:
+def read_cases(spark: SparkSession, path: str, layout: str = "files", listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid cases (``schemas.CASES``) and ``record_key, error_code`` rejects."""
-    coded = decode_cases(read_raw(spark, path, layout, S.CASE_MAX_BYTES))
+    coded = decode_cases(read_raw(spark, path, layout, S.CASE_MAX_BYTES, listing))
     valid, rejects = V.quarantine_split(coded, "record_key")
     return valid.drop("record_key"), rejects

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from labelscope import schemas as S
 
-# Files past this size are listed without their bytes (Spark reads one file as one value).
-MAX_INVENTORY_BYTES = 1 << 30
+#: A value holds no more bytes; larger files are listed without their content.
+MAX_CONTENT_BYTES = (1 << 31) - 1024
 
 
 def read_sft(spark: SparkSession, path: str) -> DataFrame:
@@ -14,19 +14,41 @@ def read_sft(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.SFT_ROWS).parquet(path)
 
 
-def scan_inventory(spark: SparkSession, root: str, max_bytes: int = MAX_INVENTORY_BYTES) -> DataFrame:
-    """``path, bytes, content`` of every file below ``root``; paths relative to it.
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, bytes, git_mode`` of every file below ``root``, as the file system lists them.
 
-    Spark's file scans leave out files of zero bytes.
+    Spark's scans leave out empty files and names that start with ``_`` or ``.``;
+    this listing has them. Only names and sizes pass the driver, as they do when a
+    scan is planned. Where a catalogue of the files exists, hand that to the
+    readers instead.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    rows = []
+    while files.hasNext():
+        status = files.next()
+        mode = "100755" if status.getPermission().toString()[2] == "x" else "100644"
+        rows.append((status.getPath().toString(), status.getLen(), mode))
+    return spark.createDataFrame(rows, "path string, bytes long, git_mode string")
+
+
+def scan_files(spark: SparkSession, root: str, max_bytes: int, listing: DataFrame | None = None) -> DataFrame:
+    """``path, bytes, content`` (and other columns of ``listing``) of every listed file.
+
+    Content is NULL for files over ``max_bytes``, whose bytes are never read, and
+    for hidden files, which no scan reads.
+    """
+    listed = list_files(spark, root) if listing is None else listing
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(
+        F.col("length") <= max_bytes).select("path", "content")
+    empty = F.when(F.col("bytes") == 0, F.lit("").cast("binary"))
+    return listed.join(found, "path", "left").withColumn("content", F.coalesce("content", empty))
+
+
+def scan_inventory(spark: SparkSession, root: str, max_bytes: int = MAX_CONTENT_BYTES, listing: DataFrame | None = None) -> DataFrame:
+    """``path, bytes, git_mode, content`` of every file below ``root``; paths relative to it."""
     base = root.rstrip("/") + "/"
-    relative = F.substring_index(F.col("path"), base, -1)
-    small = files.where(F.col("length") <= max_bytes).select(
-        relative.alias("path"), F.col("length").alias("bytes"), "content")
-    large = files.where(F.col("length") > max_bytes).select(
-        relative.alias("path"), F.col("length").alias("bytes"), F.lit(None).cast("binary").alias("content"))
-    return small.unionByName(large)
+    return scan_files(spark, root, max_bytes, listing).withColumn("path", F.substring_index("path", base, -1))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

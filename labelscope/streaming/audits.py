@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labelscope.operators import topology
-from labelscope.sources.documents import decode_traces
+from labelscope.sources.documents import decode_traces, line_key, numbered
 
 
 def stream_trace_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON-line traces as they arrive, decoded and coded."""
     lines = spark.readStream.format("text").load(path)
     return decode_traces(lines.select(
-        F.md5("value").alias("record_key"), F.col("value").cast("binary").alias("payload"),
+        line_key(F.col("value")).alias("record_key"), F.col("value").cast("binary").alias("payload"),
         F.lit(False).alias("oversize")))
 
 
@@ -23,7 +23,8 @@ def write_trace_audits(coded: DataFrame, reports: str, rejects: str, checkpoint:
         audits = topology.audit_traces(batch.where(F.col("error_code").isNull()))
         # A batch folder is replaced when a batch is retried.
         topology.audit_report_json(audits).write.mode("overwrite").json(f"{reports}/batch={batch_id}")
-        batch.where(F.col("error_code").isNotNull()).select("record_key", "error_code").write.mode(
+        batch.where(F.col("error_code").isNotNull()).select(
+            numbered(F.col("record_key")).alias("record_key"), "error_code").write.mode(
             "overwrite").json(f"{rejects}/batch={batch_id}")
         batch.unpersist()
 

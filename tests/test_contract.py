@@ -125,13 +125,17 @@ def test_files_and_lines(spark, tmp_path):
         doc = {"schema_version": S.CASE_SCHEMA_VERSION, "case_id": name, "source": source, "target": target, "max_length": limit}
         (folder / f"{name}.json").write_text(json.dumps(doc))
     (folder / "big.json").write_bytes(b" " * (S.CASE_MAX_BYTES + 1))
+    (folder / "empty.json").write_bytes(b"")
+    (folder / "_hidden.json").write_bytes(b"{}")
     valid, rejects = documents.read_cases(spark, str(folder))
     assert {r.case_id: (r.source, r.target, r.max_length) for r in valid.collect()} == CASES
-    assert [r.error_code for r in rejects.collect()] == ["document.size"]
+    assert {r.record_key.rsplit("/", 1)[1]: r.error_code for r in rejects.collect()} == {
+        "big.json": "document.size", "empty.json": "document.size", "_hidden.json": "internal.error"}
     lines = tmp_path / "traces.jsonl"
-    lines.write_text(json.dumps(healthy()) + "\n{}\n")
+    lines.write_text(json.dumps(healthy()) + "\n{}\n{}\n")
     valid, rejects = documents.read_traces(spark, str(lines), "lines")
-    assert valid.count() == 1 and [r.error_code for r in rejects.collect()] == ["root.fields"]
+    assert valid.count() == 1 and [r.error_code for r in rejects.collect()] == ["root.fields"] * 2
+    assert len({r.record_key for r in rejects.collect()}) == 2  # equal lines keep keys of their own
     assert rejects.columns == ["record_key", "error_code"]
 
 

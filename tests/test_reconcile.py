@@ -91,7 +91,17 @@ def test_attestation(spark, tmp_path):
         assert found[name].sha256 == hashlib.sha256(data).hexdigest()
         assert found[name].git_blob_sha1 == hashlib.sha1(b"blob %d\0" % len(data) + data).hexdigest()
         assert (found[name].byte_length, found[name].line_count) == (len(data), len(data.splitlines()))
-    manifest = R.file_identities(inventory).withColumn(
+    # Empty and hidden files are listed too; the bytes of hidden ones are not read.
+    for name, data in (("empty", b""), ("_hidden", b"h"), (".dot", b"")):
+        (root / name).write_bytes(data)
+    (root / "a.txt").chmod(0o755)
+    whole = {r.path: (r.byte_length, r.sha256 is None, r.git_mode) for r in R.file_identities(tables.scan_inventory(spark, str(root))).collect()}
+    assert (whole["empty"], whole["_hidden"], whole[".dot"]) == ((0, False, "100644"), (1, True, "100644"), (0, False, "100644"))
+    small = tables.scan_inventory(spark, str(root), max_bytes=100)
+    before = R.file_identities(inventory).withColumn("git_mode", F.lit("100644"))
+    codes = {r.path: r.code for r in R.attest_files(small, before).collect()}
+    assert codes["a.txt"] == "file.git_mode" and codes["sub/b.bin"] == "file.unread" and codes["c.txt"] is None
+    manifest = R.file_identities(inventory).drop("git_mode").withColumn(
         "sha256", F.when(F.col("path") == "d.txt", "0").otherwise(F.col("sha256"))).where("path <> 'c.txt'").unionByName(
         spark.createDataFrame([("gone", 1, 1, "0", "0")], "path string, byte_length long, line_count long, sha256 string, git_blob_sha1 string"))
     drift = {r.path: r.code for r in R.attest_files(inventory, manifest).collect()}

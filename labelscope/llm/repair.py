@@ -38,8 +38,8 @@ TERMINALS = 50_257
 END_ID = 0
 #: Ids of a shard; the last document of a shard may go over it.
 SHARD_TOKENS = 4 << 20
-ROUNDS = 6
-PAIRS_PER_ROUND = 3000
+ROUNDS = 4
+PAIRS_PER_ROUND = 5000
 #: A pair this rare is no rule.
 LEAST_USES = 6
 _HEADER = struct.Struct("<4sIIQII")

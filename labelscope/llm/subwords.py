@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from labelscope.llm.common import kept
+
 #: U+0130 is left out, since its lower case ends in a mark.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _REGULAR = re.compile(rf"[{_LETTER}\t-\r -~]*\Z")
@@ -26,7 +28,7 @@ _LETTERS = re.compile(rf" ?[{_LETTER}]+\Z")
 class CachedTokenizer:
     """Packed little-endian 32-bit ids of texts."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -41,14 +43,20 @@ class CachedTokenizer:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        wanted = set().union(*(words for words in split if words is not None))
-        new = wanted.difference(self.known)
+        out, missing, new = [], [], set()
+        for words in split:
+            found = list(map(self.known.get, words or ()))
+            out.append(found)
+            holes = [i for i, x in enumerate(found) if x is None] if None in found else ()
+            missing.append(holes)
+            new.update([words[i] for i in holes])
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
-            new = wanted
         self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._whole(text) for text, words in zip(texts, split, strict=True)]
+        for words, found, holes in zip(split, out, missing, strict=True):
+            for i in holes:
+                found[i] = self.known[words[i]]
+        return [b"".join(found) if words is not None else self._whole(text) for text, words, found in zip(texts, split, out, strict=True)]
 
     def _split(self, text: str) -> list[str] | None:
         if not _REGULAR.match(text) or any(s in text for s in self.special):
@@ -80,7 +88,7 @@ class CachedTokenizer:
 
 def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches with the packed ids of their ``text``, each closed by ``end_id``."""
-    tokenizer = CachedTokenizer(path)
+    tokenizer = kept(("subwords", path), lambda: CachedTokenizer(path))
     end = np.array([end_id], "<u4").tobytes()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):

@@ -434,6 +434,15 @@ def sql() -> dict[str, str]:
     out["nonprefix_ownership"] = _report(
         "SELECT case_id, 'indeterminate' AS status, concat_ws('|', 'indeterminate', CASE WHEN crossing IS NOT NULL THEN 'cross_boundary_token' END) AS classifications, "
         "concat_ws('|', CASE WHEN absent THEN 'target.no_attributable_token' END, 'truncation.not_exact_prefix') AS reasons, (kept - 1)::BIGINT AS ambiguous FROM reports")
+    # Marks of two kinds in one cluster, a vowel sign that joins the consonant before it, a separator that only one
+    # side strips, text outside a vocabulary, pieces that left the text; a text with none of its target's letters has one more.
+    out["boundary_reasons"] = _pair(
+        "SELECT case_id, 'indeterminate' AS status, CASE conv_id % 5 "
+        "WHEN 0 THEN CASE WHEN regexp_matches(source || target, '[^ abcdefghixé]') THEN 'encoding.piece_alignment|encoding.unknown_token' END "
+        "WHEN 1 THEN CASE WHEN length(nfc_normalize(chr(4352) || chr(4449))) = 1 THEN 'normalization.cluster_replay|normalization.provenance_ambiguous' END "
+        "WHEN 2 THEN CASE WHEN length(nfc_normalize('a' || chr(789) || chr(768))) = 2 THEN 'normalization.provenance_ambiguous' END "
+        "WHEN 3 THEN 'encoding.piece_alignment|normalization.provenance_ambiguous|normalization.runtime_mismatch' "
+        "ELSE 'encoding.piece_alignment' END AS reasons FROM pairs")
     out["boundary_diagnostics"] = _report(
         "SELECT case_id, cutoff, oracle AS oracle_cutoff, coalesce(leak, '') AS prompt_leakage_positions, "
         "coalesce(hidden, '') AS masked_retained_target_positions, coalesce(crossing, '') AS cross_boundary_positions, '' AS ambiguous_positions, "

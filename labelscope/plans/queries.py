@@ -533,6 +533,24 @@ def nonprefix_ownership(spark, d):
         F.size(F.filter("truncated_attribution", lambda t: t["ownership"] == "ambiguous")).alias("ambiguous")))
 
 
+def boundary_reasons(spark, d):
+    """Cases that cannot be decided, and why: odd marks, a stripped separator, unknown tokens, altered pieces."""
+    k = F.col("conv_id") % 5
+    tail = F.when(k == 1, "\u1100").when(k == 2, "a\u0315\u0300").otherwise("")
+    cases = _pairs(spark, d).select(
+        "case_id", k.alias("kind"), F.concat("source", tail).alias("source"),
+        F.concat(F.when(k == 1, "\u1161").otherwise(""), "target", F.when(k == 3, "\x1c").otherwise("")).alias("target"), "max_length")
+    open_text = B.boundary_report(cases.where("kind in (1, 2, 3)").drop("kind"), TOKENIZER)
+    pinned = B.boundary_report(cases.where("kind = 0").drop("kind"), bpe.pinned_tokenizer())
+    encoded = B.three_encodings(cases.where("kind = 4").drop("kind"), TOKENIZER)
+    names = {f"{n}__{v}" for n in B.ENCODINGS for v in bpe.VECTORS}
+    supplied = encoded.select(*[c for c in encoded.columns if c not in names], *[bpe.as_struct(n) for n in B.ENCODINGS])
+    altered = supplied.withColumns({n: F.col(n).withField("pieces", F.transform(
+        F.col(n)["pieces"], lambda p, i: F.when(i == 1, F.concat(p, F.lit("?"))).otherwise(p))) for n in B.ENCODINGS})
+    reports = open_text.unionByName(pinned).unionByName(B.report_from_encodings(reliable_checkpoint(altered), TOKENIZER))
+    return reports.select("case_id", "status", F.array_join("diagnostics.indeterminate_reasons", "|").alias("reasons"))
+
+
 def boundary_diagnostics(spark, d):
     r = _reports(spark, d)
     g = lambda f: F.col(f"diagnostics.{f}").alias(f)
@@ -698,7 +716,7 @@ QUERIES = (
     audit_invariants, supplied_label_audit, trace_audit_rollup, trace_audit_reports, trace_digests, injected_faults, policy_comparison,
     token_lengths, masked_examples, padded_batches, attention_masks, sampled_examples,
     nfc_documents, stripped_documents, document_pieces, normalization_snapshots, encodings, token_ownership,
-    nonprefix_ownership, boundary_diagnostics, boundary_classes, mask_positions, unicode_boundary_classes, report_digests,
+    nonprefix_ownership, boundary_reasons, boundary_diagnostics, boundary_classes, mask_positions, unicode_boundary_classes, report_digests,
     report_violations, report_violation_rows, file_drift, file_identities, bound_identity, artifact_manifest,
     semantic_props, golden_drift, expectation_mismatches,
     truncation_sweep, sweep_input_digests, retention_matrix, input_matrix,

@@ -22,6 +22,7 @@ from labelscope.functions.arrays import (
 )
 from labelscope.functions.bpe import BpeTokenizer
 from labelscope.functions.canonical import canonical_json, line_sha256
+from labelscope.operators.contract import validate_cases
 
 ENCODINGS = ("source_truncated", "combined_full", "combined_truncated")
 
@@ -424,8 +425,12 @@ def exit_code(status: Column, rejected: Column | None = None) -> Column:
 
 
 def boundary_report(cases: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:
-    """One flat report row per case; raw text stays out."""
-    return limited_report(attributed_cases(cases, tokenizer))
+    """One flat report row per case that meets the contract; raw text stays out.
+
+    Other cases get no report: ``contract.validate_cases`` names their code.
+    """
+    valid = validate_cases(cases).where(F.col("error_code").isNull()).drop("error_code")
+    return limited_report(attributed_cases(valid, tokenizer))
 
 
 def limited_report(attributed: DataFrame) -> DataFrame:

@@ -30,6 +30,8 @@ def local_session(cores: str = "8", app: str = "labelscope", shuffle_partitions:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Audits multiply their input's bytes: a small partition is worth a task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

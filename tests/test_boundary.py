@@ -217,3 +217,24 @@ def test_large_vocabulary_lookup(spark):
     tokenizer = bpe.BpeTokenizer(vocab=vocab, merges=())
     frame = spark.createDataFrame([("一丁a",)], "t string")
     assert frame.select(tokenizer.ids(tokenizer.pieces(F.col("t"))).alias("i")).first().i == [2, 3, 0]
+
+
+def test_cases_outside_the_contract_get_no_report(spark):
+    rows = [("ok", "ab", "c", 4), ("no-length", "ab", "c", None), ("long", "a" * 9000, "c", 4), ("empty", "", "c", 4), ("short", "ab", "c", 1), ("Bad id", "a", "b", 4)]
+    cases = spark.createDataFrame(rows, S.CASES)
+    assert [r.case_id for r in B.boundary_report(cases, pinned_tokenizer()).select("case_id").collect()] == ["ok"]
+
+
+def test_sweep_table_has_every_column(spark):
+    cases = spark.createDataFrame([("ok", "ab", "c", 4)], S.CASES)
+    fixtures = spark.createDataFrame([("ok", "cases/ok.json", "00")], "case_id string, base_fixture_path string, fixture_raw_sha256 string")
+    table = G.sweep_table(G.truncation_sweep(cases, pinned_tokenizer(), (2, 3)), {"t": 1}, {"s": True}, fixtures)
+    # The header of the published table.
+    assert table.columns == [
+        "case_id", "base_fixture_path", "fixture_raw_sha256", "max_length", "canonical_input_sha256", "exit_code", "stdout_sha256",
+        "status", "primary_classification", "legacy_cutoff", "oracle_cutoff", "full_target_tokens", "retained_target_tokens",
+        "supervised_target_tokens", "truncated_target_tokens", "prompt_leakage_positions", "cross_boundary_positions",
+        "elimination_causes", "indeterminate_reasons"]
+    reports = B.boundary_report(cases.withColumn("max_length", F.lit(3)), pinned_tokenizer())
+    row = table.where("max_length = 3").first()
+    assert row.stdout_sha256 == B.report_json(reports, {"t": 1}, {"s": True}).first().report_sha256 and row.fixture_raw_sha256 == "00"

@@ -480,7 +480,7 @@ enc AS (SELECT case_id, length(source) AS b,
     out["file_drift"] = (
         "SELECT path, code FROM (SELECT 'doc/' || doc_id AS path, CASE WHEN lang = 'de' AND strlen(text) > 200 THEN 'file.missing' "
         "WHEN lang <> 'de' AND strlen(text) <= 200 THEN 'file.unlisted' WHEN lang = 'fr' THEN 'file.byte_length' "
-        "WHEN doc_id % 11 = 0 THEN 'file.unread' WHEN lang = 'es' AND contains(text, 'e') THEN 'file.sha256' "
+        "WHEN lang <> 'de' AND doc_id % 11 = 0 THEN 'file.unread' WHEN lang = 'es' AND contains(text, 'e') THEN 'file.sha256' "
         "WHEN lang = 'en' AND doc_id % 7 = 0 THEN 'file.git_mode' END AS code FROM documents) WHERE code IS NOT NULL "
         "UNION ALL SELECT 'old/doc/' || doc_id, 'file.missing' FROM documents WHERE strlen(text) <= 200")
     out["semantic_props"] = (

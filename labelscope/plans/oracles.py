@@ -461,6 +461,7 @@ enc AS (SELECT case_id, length(source) AS b,
         " SELECT case_id, 'cross_boundary_token' AS primary_classification, "
         "string_agg(CASE WHEN owner = 'cross_boundary' THEN pos END, '|' ORDER BY pos) AS \"cross\" FROM owned GROUP BY 1")
     out["report_digests"] = _report("SELECT case_id, stat AS status, digest AS report_sha256 FROM digested", extra=_digests())
+    out["stored_reports"] = _report("SELECT digest AS report_sha256 FROM digested", extra=_digests())
     out["report_violations"] = _report(
         "SELECT CASE WHEN least(cutoff, kept) % 4 = 1 THEN 'report.legacy_cutoff' WHEN least(cutoff, kept) % 4 = 2 THEN 'report.retained_target_count' "
         "WHEN least(cutoff, kept) % 4 = 3 THEN CASE WHEN stat = 'indeterminate' THEN 'none' ELSE 'report.status' END ELSE 'none' END AS first_code, "
@@ -508,6 +509,19 @@ enc AS (
         crossing + _CUT.replace("{lengths}", "32, 128") +
         " SELECT classes AS classifications, count(*) AS cases FROM reports GROUP BY 1")
     sweep = "64, 128, 256, 512"
+    out["stored_sweep"] = _report(
+        "SELECT case_id, max_length::BIGINT AS max_length, oracle::BIGINT AS oracle_cutoff, digest AS stdout_sha256, prim AS primary_classification FROM digested",
+        sweep, _digests())
+    out["sft_rows"] = _pair("SELECT md5(source) AS instruction_md5, md5(target) AS output_md5 FROM pairs")
+    outcome = "SELECT coalesce(error_code, 'valid') AS outcome, count(*) AS documents FROM ({q}) GROUP BY 1"
+    out["trace_lines"] = outcome.format(q=out["trace_document_codes"])
+    out["case_lines"] = outcome.format(q=out["case_document_codes"])
+    out["scanned_files"] = (
+        "SELECT 'source=' || source || '/part=' || part AS path, strlen(t) AS byte_length, n AS line_count, sha256(t) AS sha256 FROM ("
+        "SELECT source, doc_id // 100 AS part, count(*) AS n, string_agg(md5(text) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1, 2) "
+        "UNION ALL SELECT '_SUCCESS', 0, 0, sha256('')")
+    out["manifest_rows"] = (
+        f"SELECT 'doc/' || doc_id AS path, strlen(text) AS byte_length, '100644' AS git_mode, sha256({blob}) AS sha256 FROM documents")
     fixture = "CASE WHEN substr(case_id, 6, instr(substr(case_id, 6), '-') - 1)::BIGINT % 2 = 0 THEN {x} END"
     out["truncation_sweep"] = _report(
         f"SELECT case_id, {fixture.format(x="'cases/' || case_id")} AS base_fixture_path, "

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from labelscope import schemas as S
 from labelscope.functions import bpe, text, unicode
 from labelscope.functions.arrays import joined
-from labelscope.functions.canonical import labels_sha256
+from labelscope.functions.canonical import labels_sha256, line_sha256
 from labelscope.functions.semantic_json import semantic_json_sha256
 from labelscope.operators import boundary as B
 from labelscope.operators import contract as V
@@ -18,8 +18,9 @@ from labelscope.operators import reconcile as R
 from labelscope.operators import sweep as G
 from labelscope.operators import topology as L
 from labelscope.plans import corpus
-from labelscope.session import reliable_checkpoint, ship_package
-from labelscope.sources.documents import decode_cases, decode_traces
+from labelscope.session import reliable_checkpoint, shared_folder, ship_package
+from labelscope.sources.documents import decode_cases, decode_traces, read_cases, read_traces
+from labelscope.sources.tables import read_manifest, read_sft, scan_inventory, write_reports, write_sweep_csv
 
 MERGES = (("t", "h"), ("th", "e"), ("i", "n"), ("in", "g"), ("e", "r"))
 TOKENIZER = bpe.open_text_tokenizer(MERGES)
@@ -252,7 +253,8 @@ def trace_document_codes(spark, d):
     return decode_traces(_trace_documents(spark, d)).select("record_key", "error_code")
 
 
-def case_document_codes(spark, d):
+def _case_documents(spark, d) -> DataFrame:
+    """Raw JSON of every case, some of it broken on purpose."""
     pairs = _pairs(spark, d)
     body = F.to_json(F.struct("case_id", "max_length", F.lit(S.CASE_SCHEMA_VERSION).alias("schema_version"), "source", "target"))
     k = F.col("conv_id") % 6
@@ -262,8 +264,11 @@ def case_document_codes(spark, d):
         .when(k == 3, F.replace(body, F.lit("case-v1"), F.lit("case-v2")))
         .when(k == 4, F.concat(body, F.lit("}")))
         .otherwise(body))
-    raw = pairs.select(F.col("case_id").alias("record_key"), broken.cast("binary").alias("payload"), F.lit(False).alias("oversize"))
-    return decode_cases(raw).select("record_key", "error_code")
+    return pairs.select(F.col("case_id").alias("record_key"), broken.cast("binary").alias("payload"), F.lit(False).alias("oversize"))
+
+
+def case_document_codes(spark, d):
+    return decode_cases(_case_documents(spark, d)).select("record_key", "error_code")
 
 
 # --- topology ---------------------------------------------------------------------
@@ -676,6 +681,73 @@ def expectation_mismatches(spark, d):
     return R.check_expectations(reports, expected, "case_id", ("status", "primary_classification"))
 
 
+# --- sources and sinks: what is derived from the tables, written and read back ---------
+
+
+def sft_rows(spark, d):
+    """Training rows read from a table with more columns than they have."""
+    folder = shared_folder(spark, "sft")
+    _pairs(spark, d).select("case_id", F.col("source").alias("instruction"), F.col("target").alias("output"), "max_length").write.parquet(folder)
+    return read_sft(spark, folder).select(F.md5("instruction").alias("instruction_md5"), F.md5("output").alias("output_md5"))
+
+
+def _outcomes(valid, rejects):
+    both = valid.select(F.lit("valid").alias("outcome")).union(rejects.select("error_code"))
+    return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def trace_lines(spark, d):
+    folder = shared_folder(spark, "traces")
+    _trace_documents(spark, d).select(F.col("payload").cast("string")).write.text(folder)
+    return _outcomes(*read_traces(spark, folder, "lines"))
+
+
+def case_lines(spark, d):
+    folder = shared_folder(spark, "cases")
+    _case_documents(spark, d).select(F.col("payload").cast("string")).write.text(folder)
+    return _outcomes(*read_cases(spark, folder, "lines"))
+
+
+def stored_reports(spark, d):
+    """Canonical report lines as a sink leaves them."""
+    reports = B.report_json(_reports(spark, d), *IDENTITY)
+    lines = spark.read.text(write_reports(reports, shared_folder(spark, "reports"), "1"))
+    return lines.select(line_sha256(F.col("value")).alias("report_sha256"))
+
+
+def stored_sweep(spark, d):
+    folder = shared_folder(spark, "sweep")
+    write_sweep_csv(G.sweep_table(_sweep(spark, d), *IDENTITY), folder)
+    rows = spark.read.option("header", True).csv(folder)
+    return rows.select("case_id", F.col("max_length").cast("bigint"), F.col("oracle_cutoff").cast("bigint"), "stdout_sha256", "primary_classification")
+
+
+def _filed(spark, d) -> DataFrame:
+    """Documents by folder: a source and a hundred ids each."""
+    return _documents(spark, d).select("source", F.floor(F.col("doc_id") / 100).alias("part"), "doc_id", "text")
+
+
+def scanned_files(spark, d):
+    """Files of one line a document, inventoried with the empty marker that their writer leaves."""
+    folder = shared_folder(spark, "files")
+    _filed(spark, d).withColumn("line", F.md5("text")).repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select(
+        "source", "part", "line").write.partitionBy("source", "part").text(folder)
+    found = R.file_identities(scan_inventory(spark, folder))
+    return found.select(F.regexp_replace("path", "/part-[^/]*$", "").alias("path"), "byte_length", "line_count", "sha256")
+
+
+def manifest_rows(spark, d):
+    """Manifests written as JSON documents, one a folder, and read together."""
+    folder = shared_folder(spark, "manifests")
+    identity = F.struct(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("byte_length"),
+        F.lit("100644").alias("git_mode"), F.sha2("text", 256).alias("sha256"))
+    documents = _filed(spark, d).groupBy("source", "part").agg(F.collect_list(identity).alias("files")).select(
+        "source", "part", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("files").alias("kind"), "files")).alias("value"))
+    documents.write.partitionBy("source", "part").text(folder)
+    return read_manifest(spark, folder).select("path", "byte_length", "git_mode", "sha256")
+
+
 # --- sweeps -----------------------------------------------------------------------------
 
 
@@ -719,6 +791,7 @@ QUERIES = (
     nonprefix_ownership, boundary_reasons, boundary_diagnostics, boundary_classes, mask_positions, unicode_boundary_classes, report_digests,
     report_violations, report_violation_rows, file_drift, file_identities, bound_identity, artifact_manifest,
     semantic_props, golden_drift, expectation_mismatches,
+    sft_rows, trace_lines, case_lines, stored_reports, stored_sweep, scanned_files, manifest_rows,
     truncation_sweep, sweep_input_digests, retention_matrix, input_matrix,
 )
 

@@ -345,3 +345,25 @@ def stage_near_dup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     named = docs.join(chosen, "doc_id", "left_semi").withColumn("_row_of_text", F.row_number().over(once)).where("_row_of_text = 1")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+#: All pairs with a common shingle, for the test tables; components by reach.
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n + b.n) AS n, count(*) AS k FROM shingles a
+  JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared WHERE 100 * k >= 80 * (n - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT reach.node, both_ways.y FROM reach JOIN both_ways ON reach.seen = both_ways.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM sets JOIN (SELECT node, min(seen) AS c FROM reach GROUP BY node) r ON r.node = doc_id
+"""

@@ -15,4 +15,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql() -> dict[str, str]:
-    return {"op5_token_rollups": token_counts.OP5_SQL, "op7_host_quality": quality.OP7_SQL}
+    return {"op3_minhash_near_dup": near_dup.OP3_SQL, "op5_token_rollups": token_counts.OP5_SQL, "op7_host_quality": quality.OP7_SQL}

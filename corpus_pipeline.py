@@ -6,11 +6,12 @@ written as Parquet and read again as the next stage's ``docs``.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm.common import shared_folder, table
+from labelscope.llm.common import table
 from labelscope.llm.langid import stage_language
 from labelscope.llm.near_dup import stage_near_dup
 from labelscope.llm.packing import stage_packing
 from labelscope.llm.quality import stage_quality
+from labelscope.session import shared_folder
 
 STAGES = [
     ("language ID", stage_language),

@@ -4,8 +4,6 @@ Every operator reads a NULL text as an empty one, reads only the columns it
 names, and leaves whatever else a table carries alone.
 """
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -46,10 +44,10 @@ _KEPT: dict[tuple, object] = {}
 
 
 def kept(key: tuple, make: Callable[[], object]) -> object:
-    """What a Python worker keeps between its tasks; the latest three things."""
+    """What a Python worker keeps between its tasks: the latest one thing, so that
+    tables of different operators never stand beside each other."""
     if key not in _KEPT:
-        while len(_KEPT) >= 3:
-            del _KEPT[next(iter(_KEPT))]
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -117,13 +115,3 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     running = np.zeros((len(values) + 1, *values.shape[1:]))
     np.cumsum(values, axis=0, out=running[1:])
     return running[starts[1:]] - running[starts[:-1]]
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path below the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="labelscope-")
-    return f"{folder.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

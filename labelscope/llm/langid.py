@@ -27,7 +27,8 @@ BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: Training texts of a language: all, or this many on average when it has more.
 TRAIN_ROWS_PER_LANGUAGE = 4000
-#: The matrix that is broadcast has BUCKETS x this many cells at most.
+#: Languages that are learned, those with most rows: the matrix that is broadcast
+#: has BUCKETS x this many cells at most.
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double"
@@ -62,14 +63,12 @@ def fit(docs: DataFrame, usable: Column, rows_per_language: int = TRAIN_ROWS_PER
     """Learn from the rows of ``docs`` (doc_id, text, lang) where ``usable`` holds."""
     labelled = docs.where(usable & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+             .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     languages = tuple(sorted(sizes))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / sizes[k]))])
-    sample = labelled.where(even_share(F.col("doc_id")) < share[F.col("lang")])
+    sample = labelled.where(even_share(F.col("doc_id")) < F.try_element_at(share, F.col("lang")))
     counted = (sample.select("lang", utf8(F.col("text")).alias("text")).mapInArrow(_count, "lang string, bucket int, n long")
                .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
     counts = np.zeros((BUCKETS, len(languages)))
@@ -107,7 +106,7 @@ def scorer(spark, model: Model):
             buckets, owners = ngrams(words)
             return np.stack([np.bincount(owners, known.log_prob[buckets, k], len(words)) for k in range(size)], axis=1) if size else np.zeros((len(words), 0))
 
-        cache = kept(("language", name), lambda: WordTable(rows, 400_000))
+        cache = kept(("language", name), lambda: WordTable(rows, 150_000))
         for texts in parts:
             names, scores = [], []
             for held, starts in blocks(texts.tolist(), bytes.split):

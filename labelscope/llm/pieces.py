@@ -157,7 +157,7 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 class Encoder:
     """Whole texts to ids, with a bounded table of parts."""
 
-    def __init__(self, model: PieceModel, limit: int = 500_000):
+    def __init__(self, model: PieceModel, limit: int = 350_000):
         self.model, self.limit = model, limit
         if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in model.pieces):
             raise ValueError("a piece holds a blank after another character, or a line end")

@@ -14,13 +14,14 @@ empty table gives an empty result.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import cut, kept, table, utf8
+from labelscope.llm.common import cut, table, utf8
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 SYMBOLS = b"#*$%&|<>"
@@ -42,15 +43,11 @@ _CHUNK = 1 << 20
 _IS_BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, kept by the worker."""
-    size = 1 << max(12, (n - 1).bit_length())
-
-    def make() -> tuple[np.ndarray, np.ndarray]:
-        grow = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
-        return grow(_BASE), grow(_INVERSE)
-
-    return kept(("powers", size), make)
+@lru_cache(maxsize=2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, 2 ** bits of each."""
+    grow = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << bits) - 1, x, np.uint64)]))
+    return grow(_BASE), grow(_INVERSE)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -74,7 +71,7 @@ def _hashes(text: bytes) -> np.ndarray:
     starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers, inverses = _powers(len(codes))
+    powers, inverses = _powers(max(14, (len(codes) - 1).bit_length()))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes + np.uint64(1)) * powers[:len(codes)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverses[starts]

@@ -22,7 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import shared_folder, table
+from labelscope.llm.common import table
+from labelscope.session import shared_folder
 
 KEY = ("doc_id", "version")
 GROUP = ("source", "lang", "version")

@@ -132,7 +132,7 @@ def segments_of(texts: list[bytes], cache: WordTable) -> Iterator[tuple[int, lis
 
 
 def word_scores(weights: Weights) -> WordTable:
-    return WordTable(lambda words: np.array([weights.of(w) for w in words], float), 400_000)
+    return WordTable(lambda words: np.array([weights.of(w) for w in words], float), 200_000)
 
 
 # --- fitting ---------------------------------------------------------------------

@@ -30,16 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.llm.common import shared_folder, table
+from labelscope.llm.common import table
 from labelscope.llm.subwords import tokenized
+from labelscope.session import shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TERMINALS = 50_257
 END_ID = 0
 #: Ids of a shard; the last document of a shard may go over it.
 SHARD_TOKENS = 4 << 20
-ROUNDS = 4
-PAIRS_PER_ROUND = 5000
+#: Words whose ids a worker keeps.
+KNOWN_WORDS = 1_200_000
+ROUNDS = 3
+PAIRS_PER_ROUND = 5093
 #: A pair this rare is no rule.
 LEAST_USES = 6
 _HEADER = struct.Struct("<4sIIQII")
@@ -47,12 +50,13 @@ SHARDS = "task long, number long, n_docs long, n_tokens long, image binary"
 DOCUMENTS = "task long, number long, place long, doc_id long, n_tokens long, ids_crc32 long, before long"
 
 
-def _frequent(keys: np.ndarray, most: int) -> np.ndarray:
-    """Keys that occur ``LEAST_USES`` times or more, most frequent first, ``most`` at most."""
+def _frequent(keys: np.ndarray, most: int, end_id: int) -> np.ndarray:
+    """Pairs met ``LEAST_USES`` times or more that ``end_id`` does not open, most frequent first, ``most`` at most."""
     ordered = np.sort(keys)
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(starts, len(ordered)))
     hit = np.flatnonzero(counts >= LEAST_USES)
+    hit = hit[ordered[starts[hit]] >> np.uint32(16) != end_id]
     if len(hit) > most:
         hit = hit[np.argpartition(-counts[hit], most)[:most]]
     hit = hit[np.lexsort((ordered[starts[hit]], -counts[hit]))]
@@ -71,35 +75,35 @@ def build_grammar(ids: np.ndarray, terminals: int = TERMINALS, end_id: int = END
         if room <= 0 or len(symbols) < 2:
             break
         keys = symbols[:-1] << np.uint32(16) | symbols[1:]
-        inside = symbols[:-1] != end_id
-        chosen = _frequent(keys[inside], room)
+        chosen = _frequent(keys, room, end_id)
         if not len(chosen):
             break
         # A table by multiplicative hash gives each place its pair's rank; of pairs
         # that share a slot the most frequent stays, the others wait for a next round.
         factor = np.uint32(2654435761 + 2 * turn * 40503)
         slot = lambda k: (k * factor) >> np.uint32(14)
-        ranks = np.full(1 << 18, -1, np.int32)
-        ranks[slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        ranks = np.full(1 << 18, -1, np.int16)
+        ranks[slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int16)[::-1]
         rank = ranks[slot(keys)]
-        none = np.int32(len(chosen))
-        hit = (rank >= 0) & inside
-        hit &= chosen[rank] == keys
-        rank[~hit] = none
+        place = np.flatnonzero(rank >= 0)
+        rank = rank[place]
+        place, rank = (x[chosen[rank] == keys[place]] for x in (place, rank))
         # Overlapping pairs: the more frequent one wins, the left one of equals.
-        before = np.concatenate([[none], rank[:-1]])
-        after = np.concatenate([rank[1:], [none]])
-        taken = np.flatnonzero((rank < before) & (rank <= after) & (rank < none))
-        uses = np.bincount(rank[taken], minlength=len(chosen))
+        touch = place[1:] == place[:-1] + 1
+        wins = np.ones(len(place), bool)
+        wins[1:] &= ~touch | (rank[1:] < rank[:-1])
+        wins[:-1] &= ~touch | (rank[:-1] <= rank[1:])
+        taken, rank = place[wins], rank[wins]
+        uses = np.bincount(rank, minlength=len(chosen))
         kept = uses >= LEAST_USES
         if not kept.any():
             break
-        taken = taken[kept[rank[taken]]]
+        taken, rank = taken[kept[rank]], rank[kept[rank]]
         fresh = np.cumsum(kept, dtype=np.uint32) - np.uint32(1) + np.uint32(terminals + len(rules))
         pairs = chosen[kept]
         left, right = pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)
         span = lambda s, rules=rules: np.where(s < terminals, 1, rules[np.where(s < terminals, 0, s - terminals), 2]) if len(rules) else np.ones(len(s))
-        symbols[taken] = fresh[rank[taken]]
+        symbols[taken] = fresh[rank]
         alive = np.ones(len(symbols), bool)
         alive[taken + 1] = False
         symbols = symbols[alive]
@@ -151,16 +155,26 @@ class Shard:
         self.place = np.concatenate([np.arange(self.terminals), self.terminals + np.cumsum(spans, dtype=np.int64) - spans])
         self.flat = np.zeros(self.terminals + int(spans.sum()), "<u4")
         self.flat[:self.terminals] = np.arange(self.terminals)
-        for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):
-            at, n = self.place[self.terminals + i], self.spans[a]
-            self.flat[at:at + n] = self.flat[self.place[a]:self.place[a] + n]
-            self.flat[at + n:at + self.spans[self.terminals + i]] = self.flat[self.place[b]:self.place[b] + self.spans[b]]
-
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        # Rules in turns: those whose symbols are both there, all at once.
+        known = np.arange(len(self.spans)) < self.terminals
+        open_rules = np.arange(rules)
+        while len(open_rules):
+            ready = known[self.left[open_rules]] & known[self.right[open_rules]]
+            now, open_rules = open_rules[ready], open_rules[~ready]
+            if not len(now):
+                raise ValueError("a rule uses a later one")
+            pairs = np.stack([self.left[now], self.right[now]], axis=1).ravel()
+            self.flat[self._places(now + self.terminals)] = self.expand(pairs)
+            known[now + self.terminals] = True
+
+    def _places(self, symbols: np.ndarray) -> np.ndarray:
+        """Where the expansions of ``symbols`` stand in ``flat``, one after another."""
         spans = self.spans[symbols]
         ends = np.cumsum(spans)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.place[symbols] - ends + spans, spans) + np.arange(total)]
+        return np.repeat(self.place[symbols] - ends + spans, spans) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        return self.flat[self._places(symbols)]
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.starts[i]:self.starts[i + 1]])
@@ -190,7 +204,7 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
             return pa.RecordBatch.from_pylist(
                 [{"task": task, "number": number, "n_docs": len(names), "n_tokens": int(lengths.sum()), "image": image}])
 
-        for batch, packed in tokenized(batches, path, end_id):
+        for batch, packed in tokenized(batches, path, end_id, KNOWN_WORDS):
             for doc_id, raw in zip(batch["doc_id"].to_pylist(), packed, strict=True):
                 ids.append(raw)
                 names.append(doc_id)
@@ -201,8 +215,8 @@ def write_shards(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: in
         if ids:
             yield shard()
 
-    # Range partitions keep the order of their numbers; equal ids spread by their text's hash.
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
+    # Range partitions keep the order of their numbers; equal ids spread by their texts' lengths.
+    ordered = docs.select("doc_id", "text", F.octet_length("text").alias("_n")).repartitionByRange("doc_id", "_n").sortWithinPartitions("doc_id", "_n", "text")
     ordered.select("doc_id", "text").mapInArrow(run, SHARDS).write.parquet(folder)
 
 
@@ -214,7 +228,8 @@ def read_shards(spark, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["image"])
-                crcs = [zlib.crc32(shard.document(i).tobytes()) for i in range(len(shard.doc_ids))]
+                whole, ends = memoryview(shard.expand(shard.symbols)).cast("B"), (4 * np.cumsum(shard.lengths)).tolist()
+                crcs = [zlib.crc32(whole[a:b]) for a, b in zip([0, *ends], ends)]
                 n = len(crcs)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row["task"]] * n, pa.int64()), pa.array([row["number"]] * n, pa.int64()), pa.array(range(n), pa.int64()),

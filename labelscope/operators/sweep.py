@@ -35,15 +35,19 @@ def truncation_sweep(cases: DataFrame, tokenizer: BpeTokenizer, lengths=DEFAULT_
 
 
 def sweep_table(
-    reports: DataFrame, artifact_identity: Mapping, scope: Mapping, fixtures: DataFrame | None = None
+    reports: DataFrame, artifact_identity: Mapping | None = None, scope: Mapping | None = None, fixtures: DataFrame | None = None
 ) -> DataFrame:
     """Flat text form of sweep reports; array fields are ``|``-joined.
 
+    ``stdout_sha256`` hashes the whole canonical report, for which identity and
+    scope must be given; it is NULL without them.
+
     ``fixtures`` (``case_id, base_fixture_path, fixture_raw_sha256``) says where
     cases come from; without it, or for a case it lacks, both are NULL.
     """
     d = lambda name: F.col(f"diagnostics.{name}")
     source = ("base_fixture_path", "fixture_raw_sha256")
+    digest = F.lit(None).cast("string") if artifact_identity is None else line_sha256(boundary.report_text(artifact_identity, scope or {}))
     if fixtures is None:
         reports = reports.withColumns({name: F.lit(None).cast("string") for name in source})
     else:
@@ -52,7 +56,7 @@ def sweep_table(
         "case_id", *source, "max_length",
         F.col("input_identity.canonical_sha256").alias("canonical_input_sha256"),
         boundary.exit_code(F.col("status")).alias("exit_code"),
-        line_sha256(boundary.report_text(artifact_identity, scope)).alias("stdout_sha256"),
+        digest.alias("stdout_sha256"),
         "status", "primary_classification",
         F.col("legacy_mask.cutoff").alias("legacy_cutoff"),
         d("oracle_cutoff").alias("oracle_cutoff"),

@@ -100,7 +100,7 @@ class CachedTokenizer:
         self.known.update(zip(words, [raw[a:b + own] for a, b in zip([0, *(x + 4 for x in stops)], stops)]))
 
 
-def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: int = 400_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: int = 600_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches with the packed ids of their ``text``, each closed by ``end_id``."""
     tokenizer = kept(("subwords", path), lambda: CachedTokenizer(path, limit))
     end = np.array([end_id], "<u4").tobytes()

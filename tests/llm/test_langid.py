@@ -48,3 +48,36 @@ def test_stage_keeps_columns_and_clean_rows(spark, odd):
     kept = langid.stage_language(spark, odd, "")
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} >= {1, 2, 6, 7, None} and not {3, 4, 5, 8} & {r.doc_id for r in kept.collect()}
+
+
+def _one_word_languages(spark, count):
+    """``count`` languages of one text each, of words that no other has."""
+    made = [("".join(chr(0x4E00 + 40 * i + k) for k in (0, 1, 2, 3)) + " " + "".join(chr(0x4E00 + 40 * i + k) for k in (5, 6, 7)), f"l{i:04}") for i in range(count)]
+    return spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(made)], "doc_id long, text string, lang string")
+
+
+def test_every_language_is_learned(spark):
+    docs = _one_word_languages(spark, 520)
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.languages) == 520
+    rows = langid.predict(docs, model).select("doc_id", "language.lang_pred").collect()
+    assert all(r.lang_pred == f"l{r.doc_id:04}" for r in rows) and len(rows) == 520
+
+
+def test_blocks_of_languages_change_nothing(spark, odd, monkeypatch):
+    docs = odd.select("doc_id", "text", "lang").union(_one_word_languages(spark, 5).withColumn("doc_id", F.col("doc_id") + 100))
+    docs = docs.union(docs.where("lang = 'fr'").withColumn("lang", F.lit("fr-tied")).withColumn("doc_id", F.col("doc_id") + 200))
+    found = []
+    for at_once in (32, 2):
+        monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", at_once)
+        model = langid.fit(docs, F.lit(True))
+        assert len(model.blocks) == (1 if at_once == 32 else 4)
+        found.append(sorted((str(r.doc_id), r.lang_pred, round(r.score, 5)) for r in langid.predict(docs, model).select("doc_id", "language.*").collect()))
+    assert found[0] == found[1]
+
+
+def test_stage_without_labels_keeps_texts_with_letters(spark, odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.stage_language(spark, unlabelled, "")
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "10", "2", "6", "7", "9", "None"]

@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. A document is its set of word shingles. Equal sets form a class (their hash is
-   the key); one class member, the smallest doc_id, stands for all.
+   the key) and one node, for which the row of the smallest doc_id stands.
 2. Representatives are banded: ``BANDS`` bands of ``ROWS`` MinHash values. A pair
    at the similarity threshold shares no band with probability
    (1 - 0.8 ** ROWS) ** BANDS, about 3e-6.
@@ -19,10 +19,10 @@ No group meets in one task: centres and buckets are split into blocks or left to
 joins that split by size, and pairs inside a joined group are never made.
 
 Defined results: a text without words has the empty set and is linked with
-nothing; fewer words than a shingle make one shingle of them all. Rows that share
-a doc_id are one node of the link graph, whatever their texts, and each is kept
-by its own component. Rows without a doc_id lead no class: they have the
-component of rows with the same set, or NULL, and are kept only without one.
+nothing; fewer words than a shingle make one shingle of them all. A component is
+named by its smallest doc_id, or NULL where no row has one. It keeps the row of
+that id (a missing id goes last) and, if the id repeats with other texts, of the
+smallest text hash; rows equal in both are kept or not together.
 """
 
 from collections.abc import Iterator
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.common import cut, table, utf8
@@ -48,7 +48,9 @@ BATCH, MISS = 42, 1e-6
 BLOCK = 256
 #: Pairs of buckets up to this size are made; those of larger ones are compared in blocks.
 SMALL = 16
-_PREPARED = "doc_id long, n_shingles long, key binary, signature binary"
+_PREPARED = "doc_id long, text_hash long, n_shingles long, key binary, signature binary"
+#: What finds a row again: its text, its id, and whether it has none.
+_PLACE = ["text_hash", "id_or_0", "no_id"]
 
 
 # --- sets and signatures ---------------------------------------------------------
@@ -84,7 +86,7 @@ def signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
 
 
 def prepare(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, key, signature``; key and signature are NULL for the empty set."""
+    """``doc_id, text_hash, n_shingles, key, signature``; key and signature are NULL for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _permutations()
@@ -96,10 +98,16 @@ def prepare(docs: DataFrame, size: int) -> DataFrame:
                 keys.append(set_key(s) if len(s) else None)
                 signatures.append(signature(s, factors, shifts).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
-                ["doc_id", "n_shingles", "key", "signature"])
+                [batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text")).mapInArrow(run, _PREPARED)
+    text = utf8(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, _PREPARED)
+
+
+def place(doc_id: Column, text_hash: Column) -> list[Column]:
+    """The columns ``_PLACE``, none of them NULL."""
+    return [c.alias(n) for c, n in zip((text_hash, F.coalesce(doc_id.cast("long"), F.lit(0)), doc_id.isNull()), _PLACE, strict=True)]
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -160,15 +168,21 @@ def pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, own``: the packed full sets of the documents in ``nodes``; the texts move once."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8(F.col("text")).alias("text"))
+    """``node, own``: the packed full sets of ``nodes`` (node, ``_PLACE``, again); the texts move once.
+
+    Of rows equal in id and text (``again``) one set is taken.
+    """
+    text = utf8(F.col("text"))
+    texts = docs.select(*place(F.col("doc_id"), F.xxhash64(text)), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t, size).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(own, pa.binary())], ["node", "own"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["again"], pa.array(own, pa.binary())], ["node", "again", "own"])
 
-    return texts.join(nodes.select("node").distinct(), "node").select("node", "text").mapInArrow(run, "node long, own binary")
+    sets = cut(texts.join(nodes, _PLACE).select("node", "again", "text").mapInArrow(run, "node long, again boolean, own binary"))
+    once = cut(sets.where("again").groupBy("node").agg(F.first("own").alias("own")))
+    return sets.where("not again").select("node", "own").union(once)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,7 +207,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if (a, salt) != group:
                     group, own = (a, salt), []
                 if b is None:
-                    own.append(this)  # more than one if rows share the doc_id
+                    own.append(this)
                 elif any(_linked(x, this) for x in own):
                     left.append(a)
                     right.append(b)
@@ -253,10 +267,10 @@ def links_across(split: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFram
     """
     large = split.where(F.col("members") > SMALL).select(
         "*", (1 + F.floor((F.col("members") - 1) / BLOCK)).cast("int").alias("blocks"), (1 + F.floor((F.col("outsiders") - 1) / BLOCK)).cast("int").alias("outers"))
-    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    lefts = large.where("outer").select("band", "bucket", place(F.col("outers")).alias("p"), every(F.col("blocks")).alias("q"), F.lit(0).alias("side"), "node", "component")
-    rights = large.select("band", "bucket", every(F.col("outers")).alias("p"), place(F.col("blocks")).alias("q"), F.lit(1).alias("side"), "node", "component")
+    lefts = large.where("outer").select("band", "bucket", block(F.col("outers")).alias("p"), every(F.col("blocks")).alias("q"), F.lit(0).alias("side"), "node", "component")
+    rights = large.select("band", "bucket", every(F.col("outers")).alias("p"), block(F.col("blocks")).alias("q"), F.lit(1).alias("side"), "node", "component")
     needed = least_matches()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,15 +322,20 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (doc_id, text)."""
+def judged(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row of ``docs`` (doc_id, text)."""
     prepared = cut(prepare(docs, size))
-    reps = cut(prepared.where("key is not null and doc_id is not null").groupBy("key").agg(
-        F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = prepared.where("key is not null").groupBy("key").agg(F.min(row).alias("row"), F.first("signature").alias("signature"))
+    # Nodes in the order of the ids: what copies were made from tends to come first, and is the centre of its star.
+    nodes = cut(classes.select("key", "row").orderBy("row").select("key", F.monotonically_increasing_id().alias("node")))
+    reps = cut(classes.join(nodes, "key"))
     bands = band_members(reps)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
     members = cut(bands.join(shared, "bucket").select("band", "bucket", "node", "a"))
-    sets = cut(shingle_sets(docs, members, size))
+    again = prepared.select(*place(F.col("doc_id"), F.col("text_hash"))).groupBy(*_PLACE).agg(F.count("*").alias("n")).where("n > 1").select(*_PLACE, F.lit(True).alias("again"))
+    places = reps.join(members.select("node").distinct(), "node", "left_semi").select("node", *place(F.col("row.doc_id"), F.col("row.text_hash")))
+    sets = shingle_sets(docs, places.join(again, _PLACE, "left").select("node", *_PLACE, F.coalesce("again", F.lit(False)).alias("again")), size)
     # One pair a member first: with the least of all the members it shares a bucket with.
     stars = members.where("node <> a").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
     joined = components(confirmed(pruned(stars, reps), sets))
@@ -324,10 +343,18 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     rest = cut(confirmed(pruned(pairs_across(split), reps), sets).union(links_across(split, reps, sets)))
     if not rest.isEmpty():
         joined = components(joined.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).union(rest))
-    named = reps.select("key", F.col("node")).join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    found = prepared.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = reps.select("key", "node", "row").join(joined, "node", "left").select("key", "row", F.coalesce("component", "node").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("row").alias("chosen"))
+    found = prepared.join(named.join(firsts, "component").select("key", "chosen"), "key", "left")
+    alone = F.col("key").isNull()
+    return found.select(
+        "doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("text_hash") == F.col("chosen.text_hash")))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (doc_id, text)."""
+    return judged(docs, size).drop("text_hash")
 
 
 def op3_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
@@ -338,13 +365,13 @@ def op3_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
 def stage_near_dup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near copies (5-word shingles).
 
-    Rows that repeat an id and its text become one; a row without an id stays,
-    for want of a name to choose it by.
+    Rows equal in id, given or missing, and text become one.
     """
-    chosen = near_duplicates(docs.select("doc_id", "text"), 5).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    named = docs.join(chosen, "doc_id", "left_semi").withColumn("_row_of_text", F.row_number().over(once)).where("_row_of_text = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    chosen = judged(docs.select("doc_id", "text"), 5).where("kept").select(*place(F.col("doc_id"), F.col("text_hash")))
+    # Rows travel whole in a struct, whatever their columns are called.
+    placed = docs.select(F.struct(*docs.columns).alias("_row"), *place(F.col("doc_id"), F.xxhash64(utf8(F.col("text")))))
+    once = Window.partitionBy(*_PLACE).orderBy(F.lit(0))
+    return placed.join(chosen, _PLACE, "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select("_row.*")
 
 
 #: All pairs with a common shingle, for the test tables; components by reach.

@@ -111,3 +111,24 @@ def test_bucket_of_a_common_band_is_compared_across(spark, size):
     texts = {i: " ".join(["same"] * 3 + [f"u{i // 2}x{k}" for k in range(30)] + ([f"y{i}"] if i % 2 else [])) for i in range(60)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("component", F.lit("clash"))
     assert found(near_dup.near_duplicates(docs, size)) == brute(texts, size)
+
+
+def test_rows_without_an_id_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda i: " ".join([*base[:-1], f"end{i}"])
+    other = lambda i: " ".join(f"o{k}" for k in range(99)) + f" last{i}"
+    alone = " ".join(f"u{k}" for k in range(50))
+    docs = spark.createDataFrame(
+        [(None, near(i)) for i in range(5)] + [(None, near(0))] * 3 + [(None, alone)] * 2
+        + [(7, other(0)), (8, other(1)), (8, "a text that no other row has at all")], "doc_id long, text string")
+    got = near_dup.near_duplicates(docs, 2).collect()
+    assert len(got) == 13 and {r.component_id for r in got if r.doc_id is None} == {None}
+    kept = near_dup.stage_near_dup(spark, docs, "").collect()
+    texts = [r.text for r in kept]
+    # One near copy without an id, one of the exact copies, and of id 8 the unique text only.
+    assert sum(t.startswith("w0") for t in texts) == 1 and texts.count(alone) == 1
+    assert sorted((r.doc_id, r.text[:2]) for r in kept if r.doc_id) == [(7, "o0"), (8, "a ")]
+    # A copy goes, whatever its id's other text does; with an id it stays before rows without one.
+    more = docs.union(spark.createDataFrame([(9, near(1)), (7, near(2))], docs.schema))
+    rows = near_dup.stage_near_dup(spark, more, "").collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in rows) == [(0, "u0"), (7, "o0"), (7, "w0"), (8, "a ")]

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import alignment, infill, langid, licenses, near_dup, neighbours, packing, pieces, quality, repair, token_counts, toxicity
+from labelscope.llm import alignment, infill, langid, licenses, lm_scoring, near_dup, neighbours, packing, pieces, quality, repair, token_counts, toxicity
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -12,7 +12,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         toxicity.op1_toxicity, pieces.op2_piece_encoding, near_dup.op3_minhash_near_dup, packing.op4_harmonic_packing,
         token_counts.op5_token_rollups, neighbours.op6_multi_index, quality.op7_host_quality,
         licenses.op8_license_scan, langid.op9_language_id, repair.op10_repair_shards,
-        alignment.op12_pair_alignment, infill.op13_fill_in_middle)}
+        lm_scoring.op11_context_tree, alignment.op12_pair_alignment, infill.op13_fill_in_middle)}
 
 
 def sql() -> dict[str, str]:

@@ -439,15 +439,25 @@ def limited_report(attributed: DataFrame) -> DataFrame:
     The truncated encoding is a slice of the full one, so it is always an exact
     prefix and every diagnostic is arithmetic on the run ends.
     """
-    out = truncate_encodings(attributed)
+    out = with_limits(truncate_encodings(attributed))
+    out = out.withColumn("full_tokens", _own_tokens())
+    out = out.withColumn("kept_tokens", F.slice("full_tokens", F.lit(1), F.col("kept")))
+    return _report_columns(add_classes(out))
+
+
+def with_limits(attributed: DataFrame, source_tokens: Column | None = None) -> DataFrame:
+    """Cutoffs, positions, counts and reasons at ``max_length``, from the run ends alone.
+
+    ``source_tokens`` is the source's own number of tokens, prefix token included.
+    """
     limit = F.col("max_length")
-    cutoff = F.least(F.size("source_raw") + 1, limit)
+    cutoff = F.least(F.size("source_raw") + 1 if source_tokens is None else source_tokens, limit)
     kept = F.least(F.col("token_count"), limit)
-    out = out.withColumns({"cutoff": cutoff, "kept": kept, "mask_end": F.least(cutoff, kept), "exact_prefix": F.lit(True)})
+    out = attributed.withColumns({"cutoff": cutoff, "kept": kept, "mask_end": F.least(cutoff, kept), "exact_prefix": F.lit(True)})
     m, k = F.col("mask_end"), F.col("kept")
     s, c, t, n = F.col("source_end"), F.col("cross_end"), F.col("target_end"), F.col("token_count")
     zero = F.lit(0)
-    out = out.withColumns({
+    return out.withColumns({
         "prompt_leakage_positions": int_range(F.greatest(F.lit(1), m), F.least(s, k)),
         "masked_retained_target_positions": int_range(c, F.least(t, m)),
         "cross_boundary_positions": int_range(s, c),
@@ -460,10 +470,7 @@ def limited_report(attributed: DataFrame) -> DataFrame:
         "base_reasons": F.concat(
             attribution_reasons("source_walk", "source", cutoff, cutoff < limit),
             attribution_reasons("full_walk", "combined", n, F.lit(True))),
-        "full_tokens": _own_tokens(),
     })
-    out = out.withColumn("kept_tokens", F.slice("full_tokens", F.lit(1), k))
-    return _report_columns(add_classes(out))
 
 
 def report_from_encodings(df: DataFrame, tokenizer: BpeTokenizer) -> DataFrame:

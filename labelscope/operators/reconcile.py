@@ -212,9 +212,10 @@ def revalidate_reports(reports: DataFrame, tokenizer) -> DataFrame:
         (lambda o, i: (o == owner) & test(i)) if test else (lambda o, i: o == owner))
     supervised = F.col("legacy_mask.supervised_positions")
     masked = F.col("legacy_mask.masked_positions")
+    # Positions are distinct, so an intersection finds those inside in one pass.
     out = out.withColumns({
-        "_leak": let(supervised, lambda s: owner_at("truncated_attribution", "source", lambda i: F.array_contains(s, i))),
-        "_hidden": let(masked, lambda m: owner_at("truncated_attribution", "target", lambda i: F.array_contains(m, i))),
+        "_leak": F.array_intersect(owner_at("truncated_attribution", "source"), supervised),
+        "_hidden": F.array_intersect(owner_at("truncated_attribution", "target"), masked),
         "_cross": owner_at("full_attribution", "cross_boundary"),
         "_unclear": owner_at("full_attribution", "ambiguous"),
         "_full": F.size(owner_at("full_attribution", "target")),
@@ -355,17 +356,22 @@ def file_identities(inventory: DataFrame) -> DataFrame:
 
 
 def artifact_manifest(inventory: DataFrame) -> DataFrame:
-    return inventory.select(
-        "path", F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """``path, bytes, sha256`` per file; where the content was not read, the listed length and no hash."""
+    return file_identities(inventory).select("path", F.col("byte_length").alias("bytes"), "sha256")
 
 
 def attest_files(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``path, code`` of an inventory with contents against a manifest."""
+    return attest_identities(file_identities(inventory), manifest)
+
+
+def attest_identities(identities: DataFrame, manifest: DataFrame) -> DataFrame:
     """``path, code``: missing, unlisted, the first identity that changed, or unread.
 
     ``git_mode`` is compared where both sides carry it.
     """
-    modes = [c for c in ("git_mode",) if c in inventory.columns and c in manifest.columns]
-    actual = file_identities(inventory).select("path", F.struct("*").alias("a"))
+    modes = [c for c in ("git_mode",) if c in identities.columns and c in manifest.columns]
+    actual = identities.select("path", F.struct("*").alias("a"))
     listed = manifest.select("path", F.struct("byte_length", "line_count", "sha256", "git_blob_sha1", *modes).alias("m"))
     changed = lambda f: ~F.col(f"a.{f}").eqNullSafe(F.col(f"m.{f}"))
     code = (
@@ -379,25 +385,36 @@ def attest_files(inventory: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def bind_identity(inventory: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
-    """The attestation of one listed path."""
-    return attest_files(inventory.where(F.col("path") == path), manifest.where(F.col("path") == path))
+    """``path, code`` of one path; one that is on neither side is missing, too."""
+    found = attest_files(inventory.where(F.col("path") == path), manifest.where(F.col("path") == path))
+    wanted = inventory.sparkSession.range(1).select(F.lit(path).alias("path"))
+    return wanted.join(found.select("path", F.struct("code").alias("found")), "path", "left").select(
+        "path", F.when(F.col("found").isNull(), "file.missing").otherwise(F.col("found.code")).alias("code"))
 
 
 def golden_drift(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """``name, code`` for each difference between two ``name, sha256`` tables."""
-    joined = actual.withColumnRenamed("sha256", "a").join(
-        expected.withColumnRenamed("sha256", "e"), "name", "full_outer")
+    """``name, code`` for each difference between two ``name, sha256`` tables.
+
+    A row is there or not whatever its hash; a NULL hash equals only a NULL one.
+    """
+    side = lambda df, name: df.select("name", F.struct("sha256").alias(name))
+    joined = side(actual, "a").join(side(expected, "e"), "name", "full_outer")
     code = F.when(F.col("e").isNull(), "golden.extra").when(F.col("a").isNull(), "golden.missing").when(
-        F.col("a") != F.col("e"), "golden.content")
+        ~F.col("a.sha256").eqNullSafe(F.col("e.sha256")), "golden.content")
     return joined.select("name", code.alias("code")).where(F.col("code").isNotNull())
 
 
 def check_expectations(results: DataFrame, expected: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """``key, field, expected, observed`` for every field that differs or is absent."""
+    """``key, field, expected, observed`` for every field that differs.
+
+    A result nobody expected, and an expectation without a result, differ in every
+    field, NULL ones included.
+    """
     side = lambda df, name: df.select(
-        key, F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields]).alias(name))
-    both = side(results, "r").join(side(expected, "e"), key, "right")
-    pairs = both.select(key, F.posexplode("e").alias("i", "want"), "r")
+        key, F.array(*[F.col(f).cast("string") for f in fields]).alias(name))
+    both = side(results, "r").join(side(expected, "e"), key, "full_outer")
+    pairs = both.select(key, "r", "e", F.posexplode(F.array(*map(F.lit, fields))).alias("i", "field"))
+    absent = F.col("r").isNull() | F.col("e").isNull()
     return pairs.select(
-        key, "want.field", F.col("want.v").alias("expected"), F.get("r", F.col("i"))["v"].alias("observed"),
-    ).where(~F.col("expected").eqNullSafe(F.col("observed")))
+        key, "field", F.get("e", F.col("i")).alias("expected"), F.get("r", F.col("i")).alias("observed"), absent.alias("absent"),
+    ).where(F.col("absent") | ~F.col("expected").eqNullSafe(F.col("observed"))).drop("absent")

@@ -201,7 +201,7 @@ def _report(select: str, lengths: str = "256", extra: str = "") -> str:
 
 _QUIET = ("(SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND (conv_id + turn) % 5 = 0 THEN '' "
           "ELSE text END AS text FROM conversations)")
-_LONG = ("(SELECT conv_id, turn + d AS turn, role, repeat('x', (8000 + conv_id % 900)::INT) AS text "
+_LONG = ("(SELECT conv_id, turn + d AS turn, role, repeat(text, greatest(1, 8192 // greatest(1, strlen(text)))::INT) AS text "
          "FROM conversations, (VALUES (0), (100)) AS v(d))")
 _STRETCHED = """(SELECT conv_id, turn * 3 + conv_id % 5 AS turn, role, text FROM conversations WHERE conv_id % 3 <> 0
   UNION ALL SELECT -1 - conv_id % 2, conv_id * 64 + turn + k * 1000000, role, text
@@ -233,6 +233,10 @@ sharded AS (SELECT *, (floor(conv_id / 64) * 1048576 + floor(turn / 4096))::BIGI
 ranked AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY conv_id, turn) - 1) // 8 AS batch FROM sharded),
 wide AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch) AS width FROM ranked)"""
 
+_IN_ORDER = _EXAMPLES + """,
+ranked AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM train),
+wide AS (SELECT *, place // 8 AS batch, max(len(ids)) OVER (PARTITION BY place // 8) AS width FROM ranked)"""
+
 _CASE_DOC = ("'{\"case_id\":' || to_json(case_id)::VARCHAR || ',\"max_length\":' || {n} || "
              "',\"schema_version\":\"token-boundary-synthetic-case-v1\",\"source\":' || to_json(source)::VARCHAR || "
              "',\"target\":' || to_json(target)::VARCHAR || '}' || chr(10)")
@@ -341,6 +345,11 @@ def sql() -> dict[str, str]:
         "CASE WHEN e IS NULL THEN '' ELSE 'assistant_target.empty' END AS issue_codes FROM quiet", _QUIET, empties)
     out["supplied_label_audit"] = _trace(
         _AUDIT.format(on="cat <> 'padding'").replace(" el", " (cat = 'assistant')") + " FROM tok GROUP BY 1")
+    number = "substr(example_id, 6)::BIGINT % 4"
+    out["unmatched_labels"] = _trace(
+        f"SELECT example_id, CASE WHEN {number} IN (1, 2) THEN 'labels.missing' END AS code, CASE WHEN {number} NOT IN (1, 2) THEN '' END AS missing_eligible_positions, "
+        f"CASE WHEN {number} NOT IN (1, 2) THEN count(*) END AS tokens FROM tok GROUP BY example_id "
+        f"UNION ALL SELECT 'other-' || example_id, 'trace.missing', NULL, count(*) FROM tok WHERE {number} = 1 GROUP BY example_id")
     out["audit_invariants"] = _trace(
         "SELECT example_id, 'assistant_only' AS policy, 'audit.internal_invariant' AS code, 'damaged' AS labels FROM tok "
         "WHERE (substr(example_id, 6)::BIGINT) % 3 < 2 GROUP BY example_id "
@@ -406,6 +415,8 @@ def sql() -> dict[str, str]:
     padded = "list_concat(labels, list_transform(range(0, width - len(ids)), lambda x: -100))"
     out["padded_batches"] = _pair(
         f"SELECT case_id, shard, batch, width, md5({_joined(padded)}) AS labels_md5 FROM wide", _BATCHES, _STRETCHED)
+    out["dataset_order_batches"] = _pair(
+        f"SELECT case_id, place, batch, width, md5({_joined(padded)}) AS labels_md5 FROM wide", _IN_ORDER, _STRETCHED)
     out["attention_masks"] = _pair(
         "SELECT case_id, len(list_filter(ids, lambda t: t <> 0)) AS attended, width FROM wide", _BATCHES, _STRETCHED)
     out["sampled_examples"] = _pair("SELECT case_id, source, target FROM pairs ORDER BY md5(case_id || ':7'), case_id LIMIT 3")
@@ -477,6 +488,9 @@ enc AS (SELECT case_id, length(source) AS b,
         f"SELECT 'doc/' || doc_id AS path, strlen(text) AS byte_length, {lines.format(t='text')} AS line_count, "
         f"sha256({blob}) AS sha256, {git} AS git_blob_sha1 FROM documents")
     out["artifact_manifest"] = f"SELECT 'doc/' || doc_id AS path, strlen(text) AS bytes, sha256({blob}) AS sha256 FROM documents"
+    out["unread_manifest"] = (
+        f"SELECT path, bytes, CASE WHEN keep THEN sha256 END AS sha256 FROM (SELECT 'doc/' || doc_id AS path, strlen(text) AS bytes, sha256({blob}) AS sha256, "
+        f"md5('doc/' || doc_id) >= '6' AS keep FROM documents)")
     out["bound_identity"] = "SELECT 'doc/5' AS path, NULL::VARCHAR AS code WHERE EXISTS (SELECT 1 FROM documents WHERE doc_id = 5)"
     out["file_drift"] = (
         "SELECT path, code FROM (SELECT 'doc/' || doc_id AS path, CASE WHEN lang = 'de' AND strlen(text) > 200 THEN 'file.missing' "
@@ -492,6 +506,16 @@ enc AS (SELECT case_id, length(source) AS b,
     out["golden_drift"] = (
         "SELECT * FROM (SELECT 'doc/' || doc_id AS name, CASE lang WHEN 'de' THEN 'golden.extra' WHEN 'fr' THEN 'golden.missing' "
         "WHEN 'es' THEN 'golden.content' END AS code FROM documents) WHERE code IS NOT NULL")
+    out["bound_paths"] = (
+        "SELECT * FROM (VALUES ('doc/0', NULL), ('doc/1', 'file.byte_length'), ('doc/2', 'file.missing'), ('doc/3', 'file.unlisted')) AS v(path, code) "
+        "WHERE EXISTS (SELECT 1 FROM documents WHERE path = 'doc/' || doc_id) UNION ALL SELECT 'doc/none', 'file.missing'")
+    out["golden_nulls"] = (
+        "SELECT * FROM (SELECT 'doc/' || doc_id AS name, CASE doc_id % 7 WHEN 0 THEN 'golden.extra' WHEN 3 THEN 'golden.missing' "
+        "WHEN 2 THEN 'golden.content' WHEN 4 THEN 'golden.content' END AS code FROM documents) WHERE code IS NOT NULL")
+    out["unexpected_results"] = (
+        "SELECT doc_id, 'digest' AS field, CASE WHEN doc_id % 5 NOT IN (2, 3) THEN md5(text) END AS expected, CASE WHEN doc_id % 5 <> 0 THEN md5(text) END AS observed "
+        "FROM documents WHERE doc_id % 5 IN (0, 2, 3) UNION ALL "
+        "SELECT doc_id, 'lang', CASE WHEN doc_id % 5 = 0 THEN lang END, CASE WHEN doc_id % 5 = 2 THEN lang END FROM documents WHERE doc_id % 5 IN (0, 2)")
     out["expectation_mismatches"] = _report(
         "SELECT case_id, 'status' AS field, 'pass' AS expected, stat AS observed FROM reports WHERE stat <> 'pass' "
         "UNION ALL SELECT case_id, 'primary_classification', 'aligned', prim FROM reports WHERE prim <> 'aligned'")
@@ -508,6 +532,23 @@ enc AS (
     regexp_extract_all(source, '{_PATTERN}') AS sp, regexp_extract_all(form, '{_PATTERN}') AS cp FROM grid)""" + (
         crossing + _CUT.replace("{lengths}", "32, 128") +
         " SELECT classes AS classifications, count(*) AS cases FROM reports GROUP BY 1")
+    out["turn_matrix"] = f"""WITH enc AS (
+  SELECT u.conv_id || '/' || u.turn || '/' || a.conv_id || '/' || a.turn AS case_id, length(u.text) AS b,
+    regexp_extract_all(regexp_replace(u.text, '\\s+$', ''), '{_PATTERN}') AS sp,
+    regexp_extract_all(regexp_replace(u.text || a.text, '\\s+$', ''), '{_PATTERN}') AS cp
+  FROM conversations u, conversations a WHERE u.role = 'user' AND a.role = 'assistant' AND u.text IS NOT NULL AND a.text IS NOT NULL)""" + (
+        _OWNED + _CUT.replace("{lengths}", "32, 128") + " SELECT classes AS classifications, count(*) AS cases FROM reports GROUP BY 1")
+    every = ", ".join(map(str, range(2, 513)))
+    out["all_lengths_sweep"] = _report(
+        "SELECT max_length::BIGINT AS max_length, prim AS primary_classification, count(*) AS cells, sum(cutoff)::BIGINT AS legacy_cutoff, "
+        "sum(oracle)::BIGINT AS oracle_cutoff, sum(kept_n)::BIGINT AS retained_target_tokens, sum(shown_n)::BIGINT AS supervised_target_tokens, "
+        "sum(full_n - kept_n)::BIGINT AS truncated_target_tokens, sum(length(coalesce(leak, '')))::BIGINT AS leak_letters FROM reports GROUP BY 1, 2", every)
+    out["sweep_lookups"] = _report(
+        "SELECT case_id, max_length::BIGINT AS max_length, CASE WHEN stat = 'pass' THEN 0 ELSE 1 END::BIGINT AS exit_code, stat AS status, "
+        "prim AS primary_classification, cutoff AS legacy_cutoff, oracle AS oracle_cutoff, full_n AS full_target_tokens, kept_n AS retained_target_tokens, "
+        "shown_n AS supervised_target_tokens, coalesce(leak, '') AS prompt_leakage_positions, coalesce(crossing, '') AS cross_boundary_positions, "
+        "causes AS elimination_causes, reasons AS indeterminate_reasons FROM reports JOIN pairs USING (case_id) "
+        "WHERE max_length = 2 + (conv_id * 37 + turn * 11) % 511", every)
     sweep = "64, 128, 256, 512"
     out["stored_sweep"] = _report(
         "SELECT case_id, max_length::BIGINT AS max_length, oracle::BIGINT AS oracle_cutoff, digest AS stdout_sha256, prim AS primary_classification FROM digested",
@@ -516,10 +557,22 @@ enc AS (
     outcome = "SELECT coalesce(error_code, 'valid') AS outcome, count(*) AS documents FROM ({q}) GROUP BY 1"
     out["trace_lines"] = outcome.format(q=out["trace_document_codes"])
     out["case_lines"] = outcome.format(q=out["case_document_codes"])
+    # CR, LF and CRLF each end one line.
+    ends = "(len(regexp_extract_all(t, '\\r\\n|\\n|\\r')) + CASE WHEN t = '' OR right(t, 1) IN (chr(10), chr(13)) THEN 0 ELSE 1 END)"
     out["scanned_files"] = (
-        "SELECT 'source=' || source || '/part=' || part AS path, strlen(t) AS byte_length, n AS line_count, sha256(t) AS sha256 FROM ("
-        "SELECT source, doc_id // 100 AS part, count(*) AS n, string_agg(md5(text) || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1, 2) "
+        f"SELECT 'source=' || source || '/part=' || part AS path, strlen(t) AS byte_length, {ends}::BIGINT AS line_count, sha256(t) AS sha256 FROM ("
+        "SELECT source, doc_id // 100 AS part, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1, 2) "
         "UNION ALL SELECT '_SUCCESS', 0, 0, sha256('')")
+    out["line_offsets"] = (
+        "SELECT 'source=' || source AS path, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", "
+        "strlen(t) AS size, CASE WHEN strlen(t) <= 2000 THEN md5(t) END AS payload_md5 "
+        "FROM (SELECT source, doc_id, replace(replace(text, chr(13), ' '), chr(10), ' ') AS t FROM documents)")
+    out["manifest_codes"] = (
+        "SELECT doc_id, code AS error_code, CASE WHEN code IS NULL THEN sha256(text) END AS sha256 FROM (SELECT *, CASE doc_id % 16 "
+        "WHEN 1 THEN 'manifest.file.sha256' WHEN 2 THEN 'manifest.duplicate_key' WHEN 3 THEN 'manifest.file.byte_length' WHEN 4 THEN 'manifest.number' "
+        "WHEN 5 THEN 'manifest.file.byte_length' WHEN 6 THEN 'manifest.file.git_mode' WHEN 7 THEN 'manifest.file.fields' WHEN 8 THEN 'manifest.version' "
+        "WHEN 9 THEN 'manifest.kind' WHEN 10 THEN 'manifest.fields' WHEN 11 THEN 'manifest.files' WHEN 12 THEN 'manifest.file.type' "
+        "WHEN 13 THEN 'manifest.file.duplicate' WHEN 14 THEN 'manifest.json' WHEN 15 THEN 'manifest.size' END AS code FROM documents)")
     out["manifest_rows"] = (
         f"SELECT 'doc/' || doc_id AS path, strlen(text) AS byte_length, '100644' AS git_mode, sha256({blob}) AS sha256 FROM documents")
     fixture = "CASE WHEN substr(case_id, 6, instr(substr(case_id, 6), '-') - 1)::BIGINT % 2 = 0 THEN {x} END"

@@ -13,14 +13,17 @@ from labelscope.functions.canonical import labels_sha256, line_sha256
 from labelscope.functions.semantic_json import semantic_json_sha256
 from labelscope.operators import boundary as B
 from labelscope.operators import contract as V
+from labelscope.operators import ordering as O
 from labelscope.operators import preprocess as P
 from labelscope.operators import reconcile as R
+from labelscope.operators import seams as M
 from labelscope.operators import sweep as G
 from labelscope.operators import topology as L
 from labelscope.plans import corpus
 from labelscope.session import reliable_checkpoint, shared_folder, ship_package
-from labelscope.sources.documents import decode_cases, decode_traces, read_cases, read_traces
-from labelscope.sources.tables import read_manifest, read_sft, scan_inventory, write_reports, write_sweep_csv
+from labelscope.sources.documents import decode_cases, decode_manifests, decode_traces, read_cases, read_manifest, read_traces
+from labelscope.sources.files import file_inventory, read_lines, walk_files
+from labelscope.sources.tables import read_sft, write_reports, write_sweep_csv
 
 MERGES = (("t", "h"), ("th", "e"), ("i", "n"), ("in", "g"), ("e", "r"))
 TOKENIZER = bpe.open_text_tokenizer(MERGES)
@@ -124,8 +127,9 @@ def message_codes(spark, d):
 
 
 def content_limits(spark, d):
-    """Running size limit with every text blown up to just under its own limit."""
-    turns = _turns(spark, d).withColumn("text", F.repeat(F.lit("x"), 8000 + F.col("conv_id").cast("int") % 900))
+    """Running size limit with every text repeated up to just under its own limit."""
+    copies = F.greatest(F.lit(1), F.floor(F.lit(8192) / F.greatest(F.lit(1), F.octet_length("text")))).cast("int")
+    turns = _turns(spark, d).withColumn("text", F.repeat("text", copies))
     long = turns.unionByName(turns.withColumn("turn", F.col("turn") + 100))
     return corpus.assemble_conversations(long).select("conv_id", "error_code")
 
@@ -360,6 +364,17 @@ def supplied_label_audit(spark, d):
         "off_policy_supervision_positions", "missing_eligible_positions"))
 
 
+def unmatched_labels(spark, d):
+    """Labels of some traces are not there, and some labels have no trace."""
+    traces = _traces(spark, d)
+    number = F.regexp_extract("example_id", "[0-9]+", 0).cast("long") % 4
+    labels = traces.select(
+        F.when(number == 1, F.concat(F.lit("other-"), "example_id")).otherwise(F.col("example_id")).alias("example_id"),
+        L.build_labels(F.col("trace"), F.col("messages"), S.ASSISTANT_ONLY).alias("labels"), number.alias("n")).where("n <> 2").drop("n")
+    audits = L.audit_labels(traces, labels, S.ASSISTANT_ONLY)
+    return _flat(audits.select("example_id", "code", "missing_eligible_positions", F.size("labels").alias("tokens")))
+
+
 def trace_audit_rollup(spark, d):
     audits = L.audit_traces(_quiet_traces(spark, d))
     p = lambda f: F.sum(F.col(f"policies.assistant_only.{f}")).alias(f)
@@ -454,6 +469,14 @@ def padded_batches(spark, d):
         F.md5(joined(F.col("labels"))).alias("labels_md5")))
 
 
+def dataset_order_batches(spark, d):
+    """Batches that run through the table in order, over a table whose order begins with a hot key."""
+    pairs = corpus.reply_pairs(_stretched(spark, d), LIMIT)
+    rows = P.preprocess_pairs(pairs, TOKENIZER, LIMIT, keep=("case_id", "conv_id", "turn"))
+    padded = P.pad_collate(O.dataset_batches(rows, ("conv_id", "turn"), 8).withColumn("shard", F.lit(0)), PAD)
+    return _flat(padded.select("case_id", "place", "batch", F.size("input_ids").alias("width"), F.md5(joined(F.col("labels"))).alias("labels_md5")))
+
+
 def attention_masks(spark, d):
     rows = _batches(spark, d)
     mask = P.attention_mask(F.col("input_ids"), PAD)
@@ -655,6 +678,43 @@ def artifact_manifest(spark, d):
     return R.artifact_manifest(_inventory(spark, d))
 
 
+def bound_paths(spark, d):
+    """Five paths bound: as listed, changed, listed only, there only, and on neither side."""
+    there = _inventory(spark, d).where(~F.col("path").isin("doc/2"))
+    listed = R.file_identities(_inventory(spark, d).where(~F.col("path").isin("doc/3")).withColumn(
+        "content", F.when(F.col("path") == "doc/1", F.concat("content", F.lit("!").cast("binary"))).otherwise(F.col("content"))))
+    out = None
+    for path in ("doc/0", "doc/1", "doc/2", "doc/3", "doc/none"):
+        one = R.bind_identity(there, listed, path)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def unread_manifest(spark, d):
+    """The manifest of a listing of which some files were not read."""
+    files = _inventory(spark, d).withColumn("bytes", F.octet_length("content").cast("bigint"))
+    hidden = F.md5("path") < "6"
+    return R.artifact_manifest(files.withColumn("content", F.when(~hidden, F.col("content"))))
+
+
+def golden_nulls(spark, d):
+    """Hashes that are NULL on either side or both, and names on one side only."""
+    docs, n = _documents(spark, d), F.col("doc_id") % 7
+    name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("name")
+    digest = F.sha2("text", 256)
+    expected = docs.where(n != 0).select(name, F.when(~n.isin(1, 2), digest).alias("sha256"))
+    actual = docs.where(n != 3).select(name, F.when(~n.isin(1, 4), digest).alias("sha256"))
+    return R.golden_drift(actual, expected)
+
+
+def unexpected_results(spark, d):
+    """Results nobody expected, expectations without a result, and NULL fields, over whole texts."""
+    docs, n = _documents(spark, d), F.col("doc_id") % 5
+    results = docs.where(n != 0).select("doc_id", F.md5("text").alias("digest"), F.when(n != 1, F.col("lang")).alias("lang"))
+    expected = docs.where(n != 2).select("doc_id", F.when(n != 3, F.md5("text")).alias("digest"), F.when(n != 1, F.col("lang")).alias("lang"))
+    return R.check_expectations(results, expected, "doc_id", ("digest", "lang"))
+
+
 def semantic_props(spark, d):
     """Properties as stored, and inside documents with nesting, fractions, negative zeros and large numbers."""
     events = spark.read.parquet(f"{d}/events.parquet")
@@ -728,14 +788,27 @@ def _filed(spark, d) -> DataFrame:
 
 
 def scanned_files(spark, d):
-    """Files of one line a document, inventoried with the empty marker that their writer leaves."""
+    """Files of whole texts, listed and hashed by executors, with the empty marker that their writer leaves.
+
+    The checksum files that a local file system keeps beside each are left out.
+    """
     folder = shared_folder(spark, "files")
-    _filed(spark, d).withColumn("line", F.md5("text")).repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select(
-        "source", "part", "line").write.partitionBy("source", "part").text(folder)
-    found = R.file_identities(scan_inventory(spark, folder))
+    _filed(spark, d).repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select(
+        "source", "part", "text").write.partitionBy("source", "part").text(folder)
+    found = file_inventory(spark, folder).where(~F.col("path").rlike(r"(^|/)\.[^/]*\.crc$"))
     return found.select(F.regexp_replace("path", "/part-[^/]*$", "").alias("path"), "byte_length", "line_count", "sha256")
 
 
+def line_offsets(spark, d):
+    """Whole texts as lines, keyed by file and byte offset; long ones have no payload."""
+    folder = shared_folder(spark, "lines")
+    line = F.translate("text", "\r\n", "  ")
+    _filed(spark, d).repartition("source").sortWithinPartitions("source", "doc_id").select("source", line.alias("value")).write.partitionBy("source").text(folder)
+    written = walk_files(spark, folder).where(F.col("path").rlike("/part-[^/]*$"))
+    lines = read_lines(spark, folder, 2000, split_bytes=50_000, files=written)
+    return lines.select(F.regexp_replace("path", "/part-[^/]*$", "").alias("path"), "offset", "size", F.md5("payload").alias("payload_md5"))
+
+
 def manifest_rows(spark, d):
     """Manifests written as JSON documents, one a folder, and read together."""
     folder = shared_folder(spark, "manifests")
@@ -748,6 +821,27 @@ def manifest_rows(spark, d):
     return read_manifest(spark, folder).select("path", "byte_length", "git_mode", "sha256")
 
 
+def manifest_codes(spark, d):
+    """A manifest for each document, most of them damaged in one way."""
+    n = F.col("doc_id") % 16
+    digest = F.when(n == 1, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256))
+    entry = F.concat(
+        F.lit('{"path":"doc/'), F.col("doc_id").cast("string"), F.when(n == 2, '","path":"x').otherwise(""), F.lit('","byte_length":'),
+        F.when(n == 3, F.lit("-1")).when(n == 4, F.lit("1.5")).when(n == 5, F.lit('"7"')).otherwise(F.octet_length("text").cast("string")),
+        F.lit(',"git_mode":"'), F.when(n == 6, "120000").otherwise("100644"), F.lit('","sha256":"'), digest, F.lit('"'),
+        F.when(n == 7, ',"owner":1').otherwise(""), F.lit("}"))
+    document = F.concat(
+        F.lit('{"schema_version":'), F.when(n == 8, "2").otherwise("1"), F.when(n == 9, ',"kind":7').when(n == 10, "").otherwise(',"kind":"files"'),
+        F.lit(',"files":'), F.when(n == 11, "null").when(n == 12, "[3]").when(n == 13, F.concat(F.lit("["), entry, F.lit(","), entry, F.lit("]")))
+        .otherwise(F.concat(F.lit("["), entry, F.lit("]"))), F.when(n == 14, "").otherwise("}"))
+    raw = _documents(spark, d).select(
+        F.col("doc_id").cast("string").alias("record_key"), document.cast("binary").alias("payload"), (n == 15).alias("oversize"))
+    coded = decode_manifests(raw, "files")
+    return coded.select(
+        F.col("record_key").cast("long").alias("doc_id"), "error_code",
+        F.when(F.col("error_code").isNull(), F.get("files", F.lit(0))["sha256"]).alias("sha256"))
+
+
 # --- sweeps -----------------------------------------------------------------------------
 
 
@@ -778,6 +872,31 @@ def input_matrix(spark, d):
     return G.input_matrix_counts(G.input_matrix(sources, PROBES), TOKENIZER, (32, 128))
 
 
+def all_lengths_sweep(spark, d):
+    """Every length from 2 to 512, from intervals: cells and sums by length and class."""
+    rows = G.expand_intervals(G.sweep_intervals(_pairs(spark, d), TOKENIZER))
+    total = lambda c: F.sum(c).cast("bigint").alias(c)
+    return rows.groupBy(F.col("max_length").cast("bigint").alias("max_length"), "primary_classification").agg(
+        F.count(F.lit(1)).alias("cells"), total("legacy_cutoff"), total("oracle_cutoff"), total("retained_target_tokens"), total("supervised_target_tokens"),
+        total("truncated_target_tokens"), F.sum(F.length("prompt_leakage_positions")).alias("leak_letters"))
+
+
+def sweep_lookups(spark, d):
+    """A length of its own for every pair, looked up in the intervals."""
+    pairs = _pairs(spark, d)
+    wanted = pairs.select("case_id", (2 + F.pmod(F.col("conv_id") * 37 + F.col("turn") * 11, F.lit(511))).cast("int").alias("max_length"))
+    return _flat(G.at_lengths(G.sweep_intervals(pairs, TOKENIZER), wanted).select(
+        "case_id", "max_length", "exit_code", "status", "primary_classification", "legacy_cutoff", "oracle_cutoff", "full_target_tokens",
+        "retained_target_tokens", "supervised_target_tokens", "prompt_leakage_positions", "cross_boundary_positions", "elimination_causes", "indeterminate_reasons"))
+
+
+def turn_matrix(spark, d):
+    """Every user turn against every assistant turn, counted by classes without their pairs."""
+    turns = _turns(spark, d)
+    side = lambda role, name: turns.where((F.col("role") == role) & F.col("text").isNotNull()).select(F.col("text").alias(name))
+    return M.matrix_counts(side("user", "source"), side("assistant", "target"), TOKENIZER, (32, 128))
+
+
 QUERIES = (
     sft_prompts, concatenated_pairs, case_identities, case_codes,
     message_codes, content_limits, conversation_codes, turn_order_codes, quarantine_counts, redacted_rejects,
@@ -785,14 +904,14 @@ QUERIES = (
     trace_exit_codes, trace_codes, trace_part_codes, trace_document_codes, case_document_codes,
     trace_summaries, padding_starts, eligible_positions, boundary_positions, token_category_counts, built_labels,
     label_codes, label_counts, supervised_positions, supervised_runs, label_digests, empty_targets,
-    audit_invariants, supplied_label_audit, trace_audit_rollup, trace_audit_reports, trace_digests, injected_faults, policy_comparison,
-    token_lengths, masked_examples, padded_batches, attention_masks, sampled_examples,
+    audit_invariants, supplied_label_audit, unmatched_labels, trace_audit_rollup, trace_audit_reports, trace_digests, injected_faults, policy_comparison,
+    token_lengths, masked_examples, padded_batches, dataset_order_batches, attention_masks, sampled_examples,
     nfc_documents, stripped_documents, document_pieces, normalization_snapshots, encodings, token_ownership,
     nonprefix_ownership, boundary_reasons, boundary_diagnostics, boundary_classes, mask_positions, unicode_boundary_classes, report_digests,
     report_violations, report_violation_rows, file_drift, file_identities, bound_identity, artifact_manifest,
-    semantic_props, golden_drift, expectation_mismatches,
-    sft_rows, trace_lines, case_lines, stored_reports, stored_sweep, scanned_files, manifest_rows,
-    truncation_sweep, sweep_input_digests, retention_matrix, input_matrix,
+    bound_paths, unread_manifest, golden_nulls, unexpected_results, semantic_props, golden_drift, expectation_mismatches,
+    sft_rows, trace_lines, case_lines, stored_reports, stored_sweep, scanned_files, line_offsets, manifest_rows, manifest_codes,
+    truncation_sweep, sweep_input_digests, retention_matrix, input_matrix, all_lengths_sweep, sweep_lookups, turn_matrix,
 )
 
 

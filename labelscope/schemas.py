@@ -118,6 +118,9 @@ SFT_ROWS = T.StructType([
     T.StructField("instruction", T.StringType()),
     T.StructField("output", T.StringType()),
 ])
+MANIFEST_SCHEMA_VERSION = 1
+MANIFEST_MAX_BYTES = 64 << 20
+GIT_MODES = ("100644", "100755")
 MANIFEST_FILE = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("byte_length", T.LongType()),

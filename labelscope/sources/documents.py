@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from labelscope import schemas as S
 from labelscope.functions.arrays import first_code, let
-from labelscope.functions.strict_json import CASE_RULES, TRACE_RULES, JsonRules, size_code, strict_json
+from labelscope.functions.strict_json import CASE_RULES, MANIFEST_RULES, TRACE_RULES, JsonRules, size_code, strict_json
 from labelscope.operators import contract as V
+from labelscope.sources.files import SPLIT_BYTES, read_lines
 from labelscope.sources.tables import scan_files
 
 TRACE_FIELDS = ("conversation", "example_id", "kind", "schema_version", "trace")
@@ -23,12 +24,20 @@ def numbered(key: Column) -> Column:
     return F.concat(key, F.lit("#"), F.monotonically_increasing_id().cast("string"))
 
 
-def read_raw(spark: SparkSession, path: str, layout: str, max_bytes: int, listing: DataFrame | None = None) -> DataFrame:
+def read_raw(
+    spark: SparkSession, path: str, layout: str, max_bytes: int, listing: DataFrame | None = None, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """``record_key, payload, oversize`` from one-document files or from JSON lines.
 
     Every listed file is a row. Oversize files and hidden ones (which no scan
-    reads) have no payload; an empty file has an empty one.
+    reads) have no payload; an empty file has an empty one. ``offsets`` are lines
+    keyed by file and byte offset, the same however files are split; hidden files
+    are read, and oversize lines never held.
     """
+    if layout == "offsets":
+        lines = read_lines(spark, path, max_bytes, split_bytes, listing)
+        return lines.select(
+            F.concat("path", F.lit("#"), F.col("offset").cast("string")).alias("record_key"), "payload", (F.col("size") > max_bytes).alias("oversize"))
     if layout == "lines":
         return spark.read.text(path).select(
             numbered(line_key(F.col("value"))).alias("record_key"), F.col("value").cast("binary").alias("payload"), F.lit(False).alias("oversize"))
@@ -155,9 +164,11 @@ def decode_traces(raw: DataFrame) -> DataFrame:
     return rows.select("record_key", "example_id", plain.alias("messages"), "trace", code.alias("error_code"))
 
 
-def read_traces(spark: SparkSession, path: str, layout: str = "files", listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def read_traces(
+    spark: SparkSession, path: str, layout: str = "files", listing: DataFrame | None = None, split_bytes: int = SPLIT_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """Valid traces (``schemas.TRACES``) and ``record_key, error_code`` rejects."""
-    coded = decode_traces(read_raw(spark, path, layout, S.TRACE_MAX_BYTES, listing))
+    coded = decode_traces(read_raw(spark, path, layout, S.TRACE_MAX_BYTES, listing, split_bytes))
     valid, rejects = V.quarantine_split(coded, "record_key")
     return valid.drop("record_key"), rejects
 
@@ -186,8 +197,69 @@ def decode_cases(raw: DataFrame) -> DataFrame:
     return rows.select("record_key", "case_id", "source", "target", "max_length", code.alias("error_code"))
 
 
-def read_cases(spark: SparkSession, path: str, layout: str = "files", listing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def read_cases(
+    spark: SparkSession, path: str, layout: str = "files", listing: DataFrame | None = None, split_bytes: int = SPLIT_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """Valid cases (``schemas.CASES``) and ``record_key, error_code`` rejects."""
-    coded = decode_cases(read_raw(spark, path, layout, S.CASE_MAX_BYTES, listing))
+    coded = decode_cases(read_raw(spark, path, layout, S.CASE_MAX_BYTES, listing, split_bytes))
     valid, rejects = V.quarantine_split(coded, "record_key")
     return valid.drop("record_key"), rejects
+
+
+# --- manifests ----------------------------------------------------------------
+
+MANIFEST_FIELDS = ("files", "kind", "schema_version")
+_FILE_FIELDS = tuple(S.MANIFEST_FILE.fieldNames())
+
+
+def _file(value: Column) -> Column:
+    kinds = {"byte_length": "BIGINT", "line_count": "BIGINT"}
+    typed = lambda f: _typed(_field(value, f), kinds.get(f, "STRING"), "bigint" if f in kinds else "string")
+    return F.struct(*[typed(f).alias(f) for f in _FILE_FIELDS])
+
+
+def _file_code(value: Column) -> Column:
+    """The first rule that an entry breaks; a field may be absent, ``path`` and ``sha256`` not."""
+    entry = _object(value)
+    known = F.size(F.array_except(F.map_keys(entry), F.array(*map(F.lit, _FILE_FIELDS)))) == 0
+    named = F.array_contains(F.map_keys(entry), "path") & F.array_contains(F.map_keys(entry), "sha256")
+    rules = {
+        "path": lambda v: F.length(v) > 0, "byte_length": lambda v: v >= 0, "line_count": lambda v: v >= 0,
+        "git_mode": lambda v: v.isin(*S.GIT_MODES), "sha256": lambda v: v.rlike(r"\A[0-9a-f]{64}\z"), "git_blob_sha1": lambda v: v.rlike(r"\A[0-9a-f]{40}\z"),
+    }
+    return let(_file(value), lambda f: F.coalesce(
+        F.when(entry.isNull(), "manifest.file.type").when(~(known & named), "manifest.file.fields"),
+        *[F.when(F.array_contains(F.map_keys(entry), n) & ~F.coalesce(rule(f[n]), F.lit(False)), f"manifest.file.{n}") for n, rule in rules.items()]))
+
+
+def decode_manifests(raw: DataFrame, kind: str | None = None) -> DataFrame:
+    """``record_key, files, error_code`` of raw manifests; the first rule broken has the say."""
+    root = F.col("root")
+    rows = _decoded(raw, MANIFEST_RULES).select(
+        "record_key", "decode_code",
+        F.when(_object(root).isNull(), "manifest.root").when(~_has_fields(root, MANIFEST_FIELDS), "manifest.fields").alias("root_code"),
+        _int(_field(root, "schema_version")).alias("version"), _string(_field(root, "kind")).alias("kind"), _array(_field(root, "files")).alias("_files"))
+    told = F.col("kind").isNotNull() if kind is None else F.col("kind") == kind
+    rows = rows.withColumn("files", F.transform("_files", _file))
+    paths = F.transform("files", lambda f: f["path"])
+    code = F.coalesce(
+        "decode_code", "root_code",
+        F.when(~F.coalesce(F.col("version") == S.MANIFEST_SCHEMA_VERSION, F.lit(False)), "manifest.version"),
+        F.when(~F.coalesce(told, F.lit(False)), "manifest.kind"), F.when(F.col("_files").isNull(), "manifest.files"),
+        first_code(F.transform("_files", _file_code)),
+        F.when(F.size(F.array_distinct(paths)) < F.size(paths), "manifest.file.duplicate"))
+    return rows.select("record_key", "files", code.alias("error_code"))
+
+
+def read_manifests(
+    spark: SparkSession, path: str, layout: str = "files", kind: str | None = None, listing: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``record_key`` and one row per listed file of the manifests that meet the contract, and ``record_key, error_code`` rejects."""
+    coded = decode_manifests(read_raw(spark, path, layout, S.MANIFEST_MAX_BYTES, listing), kind)
+    valid, rejects = V.quarantine_split(coded, "record_key")
+    return valid.select("record_key", F.explode("files").alias("f")).select("record_key", "f.*"), rejects
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file listed in the valid JSON manifests of ``path``."""
+    return read_manifests(spark, path)[0].drop("record_key")

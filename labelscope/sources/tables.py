@@ -51,12 +51,6 @@ def scan_inventory(spark: SparkSession, root: str, max_bytes: int = MAX_CONTENT_
     return scan_files(spark, root, max_bytes, listing).withColumn("path", F.substring_index("path", base, -1))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file listed in a JSON manifest."""
-    document = spark.read.schema(S.MANIFEST).json(path, multiLine=True)
-    return document.select(F.explode("files").alias("f")).select("f.*")
-
-
 def write_reports(reports: DataFrame, path: str, run_id: str) -> str:
     """Write canonical ``report`` lines below a new run folder.
 

@@ -11,10 +11,12 @@ Defined results: a NULL or empty text has no words, places or labels and score
 """
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +99,8 @@ def _keywords(pattern: str) -> tuple[bytes, ...]:
     return (plain[-1].encode(),)
 
 
-def _rule(priority: int, label: str, words: str, confidence: float) -> Rule:
-    return Rule(priority, -1, label, _keywords(words.removeprefix(_LEAD)), re.compile(f"(?<= ){words}(?= )".encode()), confidence)
+def _rule(priority: int, label: str, words: str, confidence: float, keywords: tuple[bytes, ...] | None = None) -> Rule:
+    return Rule(priority, -1, label, keywords or _keywords(words.removeprefix(_LEAD)), re.compile(f"(?<= ){words}(?= )".encode()), confidence)
 
 
 @lru_cache(maxsize=1)
@@ -117,6 +119,11 @@ def rules() -> tuple[Rule, ...]:
                 made.append(_rule(2, tag, f"{_LEAD}{name} v ?{tail}", 0.95))
                 made.append(_rule(3, tag, f"version {tail} of the {name}", 0.95))
                 made.append(_rule(4, tag, f"{_LEAD}{name} {tail}", 0.8))
+                if " " not in name:  # name and version in one word
+                    for mark, confidence in (("v", 0.95), ("", 0.8)):
+                        word = (f"{name}{mark}{short.split()[0]}".encode(),)
+                        made.append(_rule(1, f"{tag}-or-later", f"{_LEAD}{name}{mark}{tail} or (?:any )?later", confidence, word))
+                        made.append(_rule(2, tag, f"{_LEAD}{name}{mark}{tail}", confidence, word))
             if " " in name:
                 made.append(_rule(6, label, f"(?:under|by) the (?:terms of the )?{name}", 0.8))
                 made.append(_rule(7, label, name, 0.6))
@@ -158,30 +165,55 @@ def split_words(text: bytes) -> list[bytes]:
     return text.lower().translate(_WORD).split()
 
 
-def detect(joined: bytes, hits: Iterable[bytes]) -> list[tuple[int, int, int, str, float]]:
+class _Outermost:
+    """Intervals of which none holds another, by start and so by end."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, first: int, last: int) -> bool:
+        i = bisect_right(self.starts, first)
+        return i > 0 and self.ends[i - 1] >= last
+
+    def add(self, first: int, last: int) -> None:
+        """Those that the new one holds go: what they hold it holds too."""
+        i, j = bisect_left(self.starts, first), bisect_right(self.ends, last)
+        self.starts[i:max(i, j)] = [first]
+        self.ends[i:max(i, j)] = [last]
+
+
+def blanks_of(joined: bytes) -> list[int]:
+    return np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20).tolist()
+
+
+def detect(joined: bytes, hits: Iterable[bytes], blanks: list[int] | None = None) -> list[tuple[int, int, int, str, float]]:
     """``(first word, last word, priority, label, confidence)`` of kept detections.
 
     ``joined`` holds the words with a blank before and after each, ``hits`` the
-    keywords among them.
+    keywords among them, ``blanks`` the blanks' places.
     """
-    kept: list[tuple[int, int, int, str, float]] = []
+    blanks = blanks_of(joined) if blanks is None else blanks
+    kept, outermost = [], _Outermost()
     index = by_keyword()
     for rule in sorted({r.place: r for k in hits for r in index[k]}.values(), key=lambda r: r.place):
         for m in rule.pattern.finditer(joined):
-            first = joined.count(b" ", 0, m.start()) - 1
+            first = bisect_left(blanks, m.start()) - 1
             last = first + m.group().count(b" ")
-            if not any(a <= first and last <= b for a, b, *_ in kept):
+            if not outermost.holds(first, last):
+                outermost.add(first, last)
                 kept.append((first, last, rule.priority, rule.label, rule.confidence))
     return sorted(kept)
 
 
-def base_places(joined: bytes) -> list[tuple[int, str]]:
+def base_places(joined: bytes, blanks: list[int] | None = None) -> list[tuple[int, str]]:
+    blanks = blanks_of(joined) if blanks is None else blanks
     places = []
     for phrase, label in BASE:
         needle = f" {phrase} ".encode()
         at = joined.find(needle)
         while at >= 0:
-            places.append((joined.count(b" ", 0, at), label))
+            places.append((bisect_left(blanks, at), label))
             at = joined.find(needle, at + 1)
     return places
 
@@ -192,7 +224,8 @@ def scan(text: bytes) -> tuple:
     if not hits:
         return len(words), 0, None, None, "", "", 0.0, []
     joined = b" " + b" ".join(words) + b" "
-    base, found = base_places(joined), detect(joined, hits)
+    blanks = blanks_of(joined)
+    base, found = base_places(joined, blanks), detect(joined, hits, blanks)
     labels = {label for _, label in base}
     doubt = 1.0
     for _ in base:

@@ -1,5 +1,8 @@
 import random
 import re
+import time
+
+import pytest
 
 from labelscope.llm import licenses
 
@@ -57,3 +60,43 @@ def test_odd_rows(spark, odd, none):
     assert out.count() == odd.count() and licenses.scan_licenses(none).count() == 0
     assert (got[3].n_words, got[3].n_base, got[3].first_word, got[3].base_labels, got[3].labels, got[3].score) == (0, 0, None, "", "", 0.0)
     assert got[8].n_words == 2 and got[6].n_words > 9000
+
+
+def by_definition(text):
+    """Every rule on the whole text without a gate, in order; a match inside an earlier one is dropped."""
+    joined = b" " + b" ".join(licenses.split_words(text)) + b" "
+    kept = []
+    for rule in licenses.rules():
+        for m in rule.pattern.finditer(joined):
+            first = joined[:m.start()].count(b" ") - 1
+            last = first + m.group().count(b" ")
+            if not any(a <= first and last <= b for a, b, *_ in kept):
+                kept.append((first, last, rule.priority, rule.label, rule.confidence))
+    return sorted(kept)
+
+
+def test_gate_and_suppression_equal_the_definition():
+    draw = random.Random(8)
+    words = ("gnu general public license version v 2 3 1 0 or later any gpl lgplv2 gplv3 agplv3 gpl3 apache mit under the terms of cc by nc sa 4 creative commons "
+             "attribution noncommercial bsd clause licence mozilla mpl x licensed").split()
+    for _ in range(400):
+        text = " ".join(draw.choice(words) for _ in range(draw.randint(0, 60))).encode()
+        joined = b" " + b" ".join(licenses.split_words(text)) + b" "
+        assert licenses.detect(joined, licenses._gate().intersection(licenses.split_words(text))) == by_definition(text), text
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("GPLv3", "gpl-3"), ("released under GPLv2 or later", "gpl-2-or-later"), ("LGPLv2.1", "lgpl-2.1"), ("AGPLv3", "agpl-3"), ("GPL3", "gpl-3"), ("MPLv2.0", "mpl-2")])
+def test_names_joined_with_versions(text, label):
+    assert licenses.scan(text.encode())[5].split(",") == [label]
+
+
+def test_many_licence_names_take_linear_time():
+    text = b"GPL version 2 Apache License 2.0 MIT license BSD 3 clause LGPLv2.1 under the MIT license CC BY NC 4.0 MPL 2 "
+    def seconds(copies):
+        start = time.perf_counter()
+        licenses.scan(text * copies)
+        return time.perf_counter() - start
+    seconds(10)
+    few, many = seconds(500), seconds(4000)  # some 10,000 and 80,000 words
+    assert many < 24 * few  # a quadratic scan takes 64 times as long

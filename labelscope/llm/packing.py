@@ -151,5 +151,5 @@ def op4_harmonic_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: pieces of what the stages before kept."""
-    return pack(docs)
+    """Pipeline stage, the last: pieces of what the stages before kept, each with its token ids."""
+    return pack(docs, with_ids=True)

@@ -1,8 +1,10 @@
 import collections
 
 import corpus_pipeline
+import numpy as np
 from labelscope.llm import langid, near_dup, packing, quality
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,6 +30,14 @@ def test_stages_and_their_result(spark, tmp_path):
     assert set(packed.doc_id) == kept
     whole = packed.groupby("doc_id").agg(length=("length", "sum"), tokens=("doc_tokens", "first"))
     assert (whole.length == whole.tokens).all()
+    # The ids that the pipeline hands out are the tokenizer's, and fill each sequence in order.
+    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for doc_id, pieces in packed.sort_values("start").groupby("doc_id"):
+        ids = np.frombuffer(b"".join(pieces.ids), "<u4").tolist()
+        assert ids == [*tokenizer.encode(texts[doc_id], add_special_tokens=False).ids, packing.END_ID]
+    for _, pieces in packed.sort_values("offset").groupby("sequence_id"):
+        assert pieces.offset.tolist() == np.cumsum([0, *pieces.length[:-1]]).tolist()
 
 
 def test_clean_documents_stay(spark):

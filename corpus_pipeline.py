@@ -20,7 +20,7 @@ STAGES = [
     ("packing", stage_packing),
 ]
 
-#: A learned model and packing by arrival have no SQL; tests hold the result against a brute-force version.
+#: A learned model and packing by arrival have no SQL; tests hold each stage against its operator and the packed ids against the tokenizer.
 ORACLE_SQL = None
 
 

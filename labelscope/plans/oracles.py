@@ -337,6 +337,9 @@ def sql() -> dict[str, str]:
     out["supervised_runs"] = _trace(
         "SELECT l.example_id, l.policy, coalesce(string_agg(s || '-' || e, '|' ORDER BY s), '') AS runs FROM "
         "(SELECT DISTINCT example_id, policy FROM lab) l LEFT JOIN runs USING (example_id, policy) GROUP BY 1, 2", extra=islands)
+    out["token_runs"] = _trace("SELECT example_id, policy, s AS run_start, e AS run_end FROM runs", extra=islands)
+    out["token_categories"] = _trace(
+        "SELECT example_id, cat AS category, count(*) AS tokens, sum(pos)::BIGINT AS pos_sum, sum(token)::BIGINT AS id_sum FROM tok GROUP BY 1, 2")
     out["label_digests"] = _trace(_LABEL_LISTS.format(
         cols="sha256('[' || string_agg(label, ',' ORDER BY pos) || ']' || chr(10)) AS labels_sha256"))
     empties = ", quiet AS (SELECT example_id, string_agg(CASE WHEN role = 'assistant' AND len(w) = 0 THEN i END, '|' ORDER BY i) AS e FROM msg GROUP BY 1)"
@@ -417,6 +420,9 @@ def sql() -> dict[str, str]:
         f"SELECT case_id, shard, batch, width, md5({_joined(padded)}) AS labels_md5 FROM wide", _BATCHES, _STRETCHED)
     out["dataset_order_batches"] = _pair(
         f"SELECT case_id, place, batch, width, md5({_joined(padded)}) AS labels_md5 FROM wide", _IN_ORDER, _STRETCHED)
+    out["mapped_batches"] = (
+        "SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, length(text) AS chars, "
+        "count(*) OVER (PARTITION BY (row_number - 1) // 7) AS rows FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS row_number FROM documents)")
     out["attention_masks"] = _pair(
         "SELECT case_id, len(list_filter(ids, lambda t: t <> 0)) AS attended, width FROM wide", _BATCHES, _STRETCHED)
     out["sampled_examples"] = _pair("SELECT case_id, source, target FROM pairs ORDER BY md5(case_id || ':7'), case_id LIMIT 3")
@@ -512,6 +518,9 @@ enc AS (SELECT case_id, length(source) AS b,
     out["golden_nulls"] = (
         "SELECT * FROM (SELECT 'doc/' || doc_id AS name, CASE doc_id % 7 WHEN 0 THEN 'golden.extra' WHEN 3 THEN 'golden.missing' "
         "WHEN 2 THEN 'golden.content' WHEN 4 THEN 'golden.content' END AS code FROM documents) WHERE code IS NOT NULL")
+    out["stored_golden_drift"] = (
+        "SELECT * FROM (SELECT 'doc/' || doc_id AS name, CASE doc_id % 61 WHEN 0 THEN 'golden.missing' WHEN 1 THEN 'golden.extra' "
+        "WHEN 3 THEN 'golden.content' WHEN 4 THEN 'golden.content' END AS code FROM documents) WHERE code IS NOT NULL")
     out["unexpected_results"] = (
         "SELECT doc_id, 'digest' AS field, CASE WHEN doc_id % 5 NOT IN (2, 3) THEN md5(text) END AS expected, CASE WHEN doc_id % 5 <> 0 THEN md5(text) END AS observed "
         "FROM documents WHERE doc_id % 5 IN (0, 2, 3) UNION ALL "

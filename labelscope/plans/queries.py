@@ -11,13 +11,16 @@ from labelscope.functions import bpe, text, unicode
 from labelscope.functions.arrays import joined
 from labelscope.functions.canonical import labels_sha256, line_sha256
 from labelscope.functions.semantic_json import semantic_json_sha256
+from labelscope.operators import batched as A
 from labelscope.operators import boundary as B
 from labelscope.operators import contract as V
+from labelscope.operators import digests as N
 from labelscope.operators import ordering as O
 from labelscope.operators import preprocess as P
 from labelscope.operators import reconcile as R
 from labelscope.operators import seams as M
 from labelscope.operators import sweep as G
+from labelscope.operators import tokens as K
 from labelscope.operators import topology as L
 from labelscope.plans import corpus
 from labelscope.session import reliable_checkpoint, shared_folder, ship_package
@@ -341,6 +344,23 @@ def supervised_runs(spark, d):
     return _flat(rows.select("example_id", "policy", _runs(L.supervised_runs(F.col("labels"))).alias("runs")))
 
 
+def token_runs(spark, d):
+    """Supervised runs one token a row, in blocks of 32 positions so that runs cross borders."""
+    tokens, segments, roles = K.trace_rows(_traces(spark, d))
+    labelled = None
+    for policy in S.POLICIES:
+        one = K.policy_labels(K.categories(tokens, segments, roles, 32), policy).withColumn("policy", F.lit(policy))
+        labelled = one if labelled is None else labelled.unionByName(one)
+    return K.supervised_runs(labelled, ("example_id", "policy"), 32).withColumnsRenamed({"start": "run_start", "end": "run_end"})
+
+
+def token_categories(spark, d):
+    """Tokens of each category one token a row."""
+    tokens, segments, roles = K.trace_rows(_traces(spark, d))
+    return K.categories(tokens, segments, roles, 32).groupBy("example_id", "category").agg(
+        F.count(F.lit(1)).alias("tokens"), F.sum("pos").alias("pos_sum"), F.sum(F.col("token_id").cast("long")).alias("id_sum"))
+
+
 def label_digests(spark, d):
     return L.with_policies(_traces(spark, d)).select(
         "example_id", "policy", labels_sha256(F.col("labels")).alias("labels_sha256"))
@@ -477,6 +497,17 @@ def dataset_order_batches(spark, d):
     return _flat(padded.select("case_id", "place", "batch", F.size("input_ids").alias("width"), F.md5(joined(F.col("labels"))).alias("labels_md5")))
 
 
+def _word_counts(batch):
+    """A user's function: words and characters of a batch of texts."""
+    return batch.assign(words=batch["text"].str.count(r"[^\x20\x09-\x0D]+"), chars=batch["text"].str.len(), rows=len(batch))
+
+
+def mapped_batches(spark, d):
+    """Whole texts through a function of batches of 7 rows, in the order of ids; only the last batch is shorter."""
+    docs = _documents(spark, d).select("doc_id", "text")
+    return A.ordered_map(docs, ("doc_id",), _word_counts, 7, "doc_id long, words long, chars long, rows long")
+
+
 def attention_masks(spark, d):
     rows = _batches(spark, d)
     mask = P.attention_mask(F.col("input_ids"), PAD)
@@ -707,6 +738,17 @@ def golden_nulls(spark, d):
     return R.golden_drift(actual, expected)
 
 
+def stored_golden_drift(spark, d):
+    """Two stored inventories of whole texts of which one bucket in many differs."""
+    docs, n = _documents(spark, d), F.col("doc_id") % 61
+    name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("name")
+    paths = shared_folder(spark, "actual"), shared_folder(spark, "expected")
+    actual = F.when(n == 3, F.sha2(F.concat("text", F.lit(".")), 256)).when(n != 4, F.sha2("text", 256))
+    N.store_inventory(docs.where(n != 0).select(name, actual.alias("sha256")), paths[0], 8, 8)
+    N.store_inventory(docs.where(n != 1).select(name, F.sha2("text", 256).alias("sha256")), paths[1], 8, 8)
+    return N.stored_drift(spark, *paths)
+
+
 def unexpected_results(spark, d):
     """Results nobody expected, expectations without a result, and NULL fields, over whole texts."""
     docs, n = _documents(spark, d), F.col("doc_id") % 5
@@ -903,13 +945,13 @@ QUERIES = (
     long_conversation_codes, long_turn_orders, gapped_reply_pairs, gated_traces,
     trace_exit_codes, trace_codes, trace_part_codes, trace_document_codes, case_document_codes,
     trace_summaries, padding_starts, eligible_positions, boundary_positions, token_category_counts, built_labels,
-    label_codes, label_counts, supervised_positions, supervised_runs, label_digests, empty_targets,
+    label_codes, label_counts, supervised_positions, supervised_runs, token_runs, token_categories, label_digests, empty_targets,
     audit_invariants, supplied_label_audit, unmatched_labels, trace_audit_rollup, trace_audit_reports, trace_digests, injected_faults, policy_comparison,
-    token_lengths, masked_examples, padded_batches, dataset_order_batches, attention_masks, sampled_examples,
+    token_lengths, masked_examples, padded_batches, dataset_order_batches, mapped_batches, attention_masks, sampled_examples,
     nfc_documents, stripped_documents, document_pieces, normalization_snapshots, encodings, token_ownership,
     nonprefix_ownership, boundary_reasons, boundary_diagnostics, boundary_classes, mask_positions, unicode_boundary_classes, report_digests,
     report_violations, report_violation_rows, file_drift, file_identities, bound_identity, artifact_manifest,
-    bound_paths, unread_manifest, golden_nulls, unexpected_results, semantic_props, golden_drift, expectation_mismatches,
+    bound_paths, unread_manifest, golden_nulls, stored_golden_drift, unexpected_results, semantic_props, golden_drift, expectation_mismatches,
     sft_rows, trace_lines, case_lines, stored_reports, stored_sweep, scanned_files, line_offsets, manifest_rows, manifest_codes,
     truncation_sweep, sweep_input_digests, retention_matrix, input_matrix, all_lengths_sweep, sweep_lookups, turn_matrix,
 )

@@ -161,7 +161,7 @@ def _lines_from(path: str, start: int, stop: int, limit: int) -> Iterator[tuple[
     began: int | None = 0 if start == 0 else None  # None: the line began in an earlier split
     size, held, carry = 0, [], b""
     at = max(0, start - 1)  # the byte before says whether a line begins at ``start``
-    chunks, ended = _chunks(path, at), False
+    chunks, ended = _chunks(path, at, min(CHUNK, stop - at)), False
     while not ended:
         chunk = next(chunks, b"")
         ended = not chunk

@@ -559,9 +559,6 @@ enc AS (
         "causes AS elimination_causes, reasons AS indeterminate_reasons FROM reports JOIN pairs USING (case_id) "
         "WHERE max_length = 2 + (conv_id * 37 + turn * 11) % 511", every)
     sweep = "64, 128, 256, 512"
-    out["stored_sweep"] = _report(
-        "SELECT case_id, max_length::BIGINT AS max_length, oracle::BIGINT AS oracle_cutoff, digest AS stdout_sha256, prim AS primary_classification FROM digested",
-        sweep, _digests())
     out["sft_rows"] = _pair("SELECT md5(source) AS instruction_md5, md5(target) AS output_md5 FROM pairs")
     outcome = "SELECT coalesce(error_code, 'valid') AS outcome, count(*) AS documents FROM ({q}) GROUP BY 1"
     out["trace_lines"] = outcome.format(q=out["trace_document_codes"])
@@ -585,13 +582,18 @@ enc AS (
     out["manifest_rows"] = (
         f"SELECT 'doc/' || doc_id AS path, strlen(text) AS byte_length, '100644' AS git_mode, sha256({blob}) AS sha256 FROM documents")
     fixture = "CASE WHEN substr(case_id, 6, instr(substr(case_id, 6), '-') - 1)::BIGINT % 2 = 0 THEN {x} END"
-    out["truncation_sweep"] = _report(
-        f"SELECT case_id, {fixture.format(x="'cases/' || case_id")} AS base_fixture_path, "
-        f"{fixture.format(x='sha256(source || target)')} AS fixture_raw_sha256, {_case_sha('max_length')} AS canonical_input_sha256, digest AS stdout_sha256, "
+    flat = (
         "max_length::BIGINT AS max_length, CASE WHEN stat = 'pass' THEN 0 ELSE 1 END::BIGINT AS exit_code, stat AS status, prim AS primary_classification, "
         "cutoff AS legacy_cutoff, oracle AS oracle_cutoff, full_n AS full_target_tokens, kept_n AS retained_target_tokens, shown_n AS supervised_target_tokens, "
-        "full_n - kept_n AS truncated_target_tokens, coalesce(leak, '') AS prompt_leakage_positions, coalesce(crossing, '') AS cross_boundary_positions, "
-        "causes AS elimination_causes, reasons AS indeterminate_reasons FROM digested JOIN pairs USING (case_id)", sweep, _digests())
+        "full_n - kept_n AS truncated_target_tokens, {n}coalesce(leak, ''){m} AS prompt_leakage_positions, {n}coalesce(crossing, ''){m} AS cross_boundary_positions, "
+        "{n}causes{m} AS elimination_causes, {n}reasons{m} AS indeterminate_reasons FROM digested JOIN pairs USING (case_id)")
+    hashes = f"{_case_sha('max_length')} AS canonical_input_sha256, digest AS stdout_sha256, "
+    out["truncation_sweep"] = _report(
+        f"SELECT case_id, {fixture.format(x="'cases/' || case_id")} AS base_fixture_path, "
+        f"{fixture.format(x='sha256(source || target)')} AS fixture_raw_sha256, {hashes}{flat.format(n='', m='')}", sweep, _digests())
+    out["stored_sweep"] = _report(
+        "SELECT case_id, NULL::VARCHAR AS base_fixture_path, NULL::VARCHAR AS fixture_raw_sha256, "
+        f"{hashes}{flat.format(n='nullif(', m=", '')")}", sweep, _digests())
     out["sweep_input_digests"] = _pair(
         f"SELECT case_id, max_length::BIGINT AS max_length, {_case_sha('max_length')} AS canonical_input_sha256 "
         f"FROM pairs, unnest([{sweep}]) AS l(max_length)")

@@ -818,10 +818,12 @@ def stored_reports(spark, d):
 
 
 def stored_sweep(spark, d):
+    """All 19 columns as a CSV reader gets them back; an empty cell is NULL."""
     folder = shared_folder(spark, "sweep")
-    write_sweep_csv(G.sweep_table(_sweep(spark, d), *IDENTITY), folder)
+    table = _flat(G.sweep_table(_sweep(spark, d), *IDENTITY))
+    write_sweep_csv(table, folder)
     rows = spark.read.option("header", True).csv(folder)
-    return rows.select("case_id", F.col("max_length").cast("bigint"), F.col("oracle_cutoff").cast("bigint"), "stdout_sha256", "primary_classification")
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
 
 
 def _filed(spark, d) -> DataFrame:

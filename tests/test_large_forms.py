@@ -49,7 +49,7 @@ def islands(positions):
     return [tuple(r) for r in out]
 
 
-@pytest.mark.parametrize("block", [1, 7, 64])
+@pytest.mark.parametrize("block", [1, 7])
 def test_token_rows_give_the_categories_and_runs_of_whole_traces(spark, block):
     draw = random.Random(block)
     made = [random_example(draw, f"e{i}") for i in range(8)]
@@ -91,7 +91,7 @@ def test_no_tokens(spark):
 sized = lambda batch: pd.DataFrame({"id": batch["id"], "rows": len(batch)})
 
 
-@pytest.mark.parametrize("size", [1, 7, 1000, 50_000])
+@pytest.mark.parametrize("size", [7, 50_000])
 def test_a_function_sees_batches_of_the_size_asked_for(spark, size):
     rows = spark.range(0, 25_000, numPartitions=3)
     got = batched.batched_map(rows, sized, size, "id long, rows long").withColumn("p", F.spark_partition_id()).collect()

@@ -43,7 +43,7 @@ def texts(seed, count, longest):
 
 
 @pytest.mark.parametrize(("seed", "tokenizer"), [
-    (1, open_text_tokenizer(MERGES)), (2, pinned_tokenizer()), (3, open_text_tokenizer(())),
+    (1, open_text_tokenizer(MERGES)), (2, pinned_tokenizer()),
     (4, BpeTokenizer(vocab={"<unk>": 0, "<bos>": 1, " ": 2, "t": 3, "h": 4, "e": 5, "th": 6, "a": 7}, merges=(("t", "h"),)))])
 def test_random_texts(spark, seed, tokenizer):
     sources, targets, lengths = texts(seed, 20, 12), texts(seed + 50, 20, 12), (2, 3, 5, 9, 14, 30)
@@ -78,12 +78,12 @@ def flat(frame):
     return Counter(tuple(r) for r in frame.select(*columns).collect())
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
+@pytest.mark.parametrize("seed", [0, 1])
 def test_intervals_expand_to_the_reports_of_every_length(spark, seed):
     if seed:
         sources, targets = texts(seed, 12, 40), texts(seed + 9, 12, 40)
         rows = [(f"c{i}", s, t, 8) for i, (s, t) in enumerate(zip(sources, targets, strict=True))]
-        tokenizer = open_text_tokenizer(MERGES) if seed == 1 else pinned_tokenizer()
+        tokenizer = open_text_tokenizer(MERGES)
     else:
         rows, tokenizer = [(k, *v) for k, v in CASES.items()], pinned_tokenizer()
     cases = spark.createDataFrame(rows, S.CASES)

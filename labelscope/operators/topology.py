@@ -143,18 +143,22 @@ def policy_audits(rows: DataFrame) -> DataFrame:
     }).drop("_cells", "_categories")
 
 
-def audit_labels(traces: DataFrame, labels: DataFrame, policy: str) -> DataFrame:
+def audit_labels(traces: DataFrame, labels: DataFrame, policy: str, unmatched: bool = False) -> DataFrame:
     """Audit a table ``example_id, labels`` against one policy.
 
-    ``code`` is NULL for an audited row. A trace without labels and labels without
-    a trace are rows too, with ``labels.missing`` or ``trace.missing`` and no audit.
+    With ``unmatched`` a trace without labels and labels without a trace are rows
+    too, with the error code ``labels.missing`` or ``trace.missing`` and no audit.
     """
     require_policy(policy)
+    if not unmatched:
+        return policy_audits(traces.join(labels, "example_id").withColumn("policy", F.lit(policy)))
     sides = traces.withColumn("_trace", F.lit(True)).join(labels.withColumn("_labels", F.lit(True)), "example_id", "full_outer")
-    code = F.when(F.col("_trace").isNull(), "trace.missing").when(F.col("_labels").isNull(), "labels.missing")
-    out = policy_audits(sides.withColumns({"policy": F.lit(policy), "code": code}).drop("_trace", "_labels"))
-    given = {"example_id", "policy", "code", *traces.columns, *labels.columns}
-    return out.withColumns({c: F.when(F.col("code").isNull(), F.col(c)) for c in out.columns if c not in given})
+    absent = F.when(F.col("_trace").isNull(), "trace.missing").when(F.col("_labels").isNull(), "labels.missing")
+    out = policy_audits(sides.withColumns({"policy": F.lit(policy), "_absent": absent}).drop("_trace", "_labels"))
+    given = {"example_id", "policy", "error_code", "_absent", *traces.columns, *labels.columns}
+    alone = F.col("_absent").isNotNull()
+    return out.withColumns({
+        "error_code": F.coalesce("_absent", "error_code"), **{c: F.when(~alone, F.col(c)) for c in out.columns if c not in given}}).drop("_absent")
 
 
 def with_policies(traces: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ from labelscope.operators import tokens as K
 from labelscope.operators import topology as L
 from labelscope.plans import corpus
 from labelscope.session import reliable_checkpoint, shared_folder, ship_package
-from labelscope.sources.documents import decode_cases, decode_manifests, decode_traces, read_cases, read_manifest, read_traces
+from labelscope.sources.documents import decode_cases, decode_manifests, decode_traces, read_cases, read_traces
 from labelscope.sources.files import file_inventory, read_lines, walk_files
-from labelscope.sources.tables import read_sft, write_reports, write_sweep_csv
+from labelscope.sources.tables import read_manifest, read_sft, write_reports, write_sweep_csv
 
 MERGES = (("t", "h"), ("th", "e"), ("i", "n"), ("in", "g"), ("e", "r"))
 TOKENIZER = bpe.open_text_tokenizer(MERGES)
@@ -391,8 +391,8 @@ def unmatched_labels(spark, d):
     labels = traces.select(
         F.when(number == 1, F.concat(F.lit("other-"), "example_id")).otherwise(F.col("example_id")).alias("example_id"),
         L.build_labels(F.col("trace"), F.col("messages"), S.ASSISTANT_ONLY).alias("labels"), number.alias("n")).where("n <> 2").drop("n")
-    audits = L.audit_labels(traces, labels, S.ASSISTANT_ONLY)
-    return _flat(audits.select("example_id", "code", "missing_eligible_positions", F.size("labels").alias("tokens")))
+    audits = L.audit_labels(traces, labels, S.ASSISTANT_ONLY, unmatched=True)
+    return _flat(audits.select("example_id", F.col("error_code").alias("code"), "missing_eligible_positions", F.size("labels").alias("tokens")))
 
 
 def trace_audit_rollup(spark, d):

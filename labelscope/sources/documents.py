@@ -258,8 +258,3 @@ def read_manifests(
     coded = decode_manifests(read_raw(spark, path, layout, S.MANIFEST_MAX_BYTES, listing), kind)
     valid, rejects = V.quarantine_split(coded, "record_key")
     return valid.select("record_key", F.explode("files").alias("f")).select("record_key", "f.*"), rejects
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file listed in the valid JSON manifests of ``path``."""
-    return read_manifests(spark, path)[0].drop("record_key")

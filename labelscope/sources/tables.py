@@ -51,6 +51,13 @@ def scan_inventory(spark: SparkSession, root: str, max_bytes: int = MAX_CONTENT_
     return scan_files(spark, root, max_bytes, listing).withColumn("path", F.substring_index("path", base, -1))
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file listed in the JSON manifests of ``path`` that meet the contract; ``documents.read_manifests`` has the rejects."""
+    from labelscope.sources.documents import read_manifests  # it reads files through this module
+
+    return read_manifests(spark, path)[0].drop("record_key")
+
+
 def write_reports(reports: DataFrame, path: str, run_id: str) -> str:
     """Write canonical ``report`` lines below a new run folder.
 
